@@ -1,6 +1,5 @@
 """User functions."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from catalogue.columns import place
@@ -19,12 +18,6 @@ from tablewright import (
 from tablewright.plans.steps import FunctionStep
 
 
-def size_class(quantity, flag, limit):
-    if flag is None:
-        return None
-    return f"{flag}-{'big' if quantity >= limit else 'small'}"
-
-
 @query(
     "row_function",
     """SELECT *, CASE WHEN flag IS NULL THEN NULL WHEN l_quantity >= 25 THEN flag || '-big'
@@ -32,6 +25,12 @@ def size_class(quantity, flag, limit):
        FROM (SELECT l_orderkey, l_quantity, nullif(l_returnflag, 'N') AS flag FROM lineitem)""",
 )
 def _(t):
+    # Functions defined inside travel to the workers by value, without their module.
+    def size_class(quantity, flag, limit):
+        if flag is None:
+            return None
+        return f"{flag}-{'big' if quantity >= limit else 'small'}"
+
     fn = RowFunction(
         name="size_class",
         params={"quantity": "float", "flag": "str", "limit": "int"},
@@ -51,15 +50,14 @@ def _(t):
     return place(t("lineitem"), fn, bind, append_name="net")
 
 
-def halved(x: pd.Series, floor: float) -> pd.Series:
-    return (x / 2).clip(lower=floor)
-
-
 @query(
     "series_function",
     "SELECT *, greatest(l_quantity / 2, 5.0) AS halved_l_quantity FROM lineitem",
 )
 def _(t):
+    def halved(x, floor):
+        return (x / 2).clip(lower=floor)
+
     fn = SeriesFunction(
         name="halved", params={"x": "column", "floor": "float"}, fn=halved, returns="double", rowwise=True
     )
@@ -92,12 +90,11 @@ def _(t):
     return place(t("lineitem"), TableFunction(name="per_order", params={"least": "int"}, fn=per_order), {"least": "3"})
 
 
-def long_names(part: pd.DataFrame) -> pd.DataFrame:
-    return part.loc[part["p_name"].str.len() > 10, ["p_partkey", "p_name"]]
-
-
 @query("chunk_function", "SELECT p_partkey, p_name FROM part WHERE length(p_name) > 10")
 def _(t):
+    def long_names(part):
+        return part.loc[part["p_name"].str.len() > 10, ["p_partkey", "p_name"]]
+
     fn = ChunkFunction(name="long_names", fn=long_names, schema="p_partkey long, p_name string")
     return place(t("part"), fn, {})
 

@@ -95,7 +95,8 @@ def _(t):
 
 @query(
     "validate_table",
-    f"""SELECT {id_sql('not_empty', '', 'lineitem')} AS result_id, 1 AS rows_passed, 0 AS rows_failed, 1.0 AS pass_rate
+    f"""SELECT {id_sql('not_empty', '', 'lineitem')} AS result_id, CAST(1 AS BIGINT) AS rows_passed,
+            CAST(0 AS BIGINT) AS rows_failed, CAST(1 AS DOUBLE) AS pass_rate
         FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0
         UNION ALL
         SELECT {id_sql('mean_below', '', 'lineitem')}, CAST(m < 20 AS INTEGER), CAST(m >= 20 AS INTEGER),
@@ -106,12 +107,11 @@ def _(t):
     return counts(compose(lines(t, *steps), "lineitem", "validations"))
 
 
-def odd(v):
-    return v is not None and int(v) % 2 == 1
-
-
 @query("validate_row_function", counts_sql("lineitem", "odd", "l_linenumber", "l_linenumber % 2 = 1"))
 def _(t):
+    def odd(v):
+        return v is not None and int(v) % 2 == 1
+
     fn = RowFunction(name="odd", params={"v": "int"}, kind="validation", fn=odd, returns="boolean")
     return counts(compose(lines(t, FunctionStep(fn, {"v": cols("l_linenumber")})), "lineitem", "validations"))
 

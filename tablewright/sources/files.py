@@ -33,14 +33,19 @@ def infer_schema(spark: SparkSession, paths: str | list[str]) -> T.StructType:
     return read_csv(spark, paths).schema
 
 
+def with_file_block(df: DataFrame) -> DataFrame:
+    """Add the file of each row and the block in the file; also for a stream of files."""
+    position = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    return df.select("*", *[p.alias(n) for p, n in zip(position, ORDER_COLUMNS, strict=False)])
+
+
 def with_file_order(df: DataFrame) -> DataFrame:
     """Add the position of each row: file, block in the file, row in the block.
 
     Rows of one block share a task, in which the generated ids grow, so the three columns order
     rows as the files do however Spark packs blocks into tasks.
     """
-    position = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return df.select("*", *[p.alias(n) for p, n in zip(position, ORDER_COLUMNS, strict=True)])
+    return with_file_block(df).select("*", F.monotonically_increasing_id().alias(ORDER_COLUMNS[2]))
 
 
 def file_stem(path: Column) -> Column:

@@ -8,18 +8,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewright.errors import StorageError
-from tablewright.sources.files import ORDER_COLUMNS, with_file_order
+from tablewright.sources.files import ORDER_COLUMNS, with_file_block
 from tablewright.sources.ingest import IngestResult, ingest_frame
 from tablewright.sources.store import TableStore
 
 
 def csv_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """A stream over the CSV files of a folder, each read once, oldest first. Every row keeps its
-    position, so the first of several rows with one key is the first in (file, row) order."""
+    file and block, and a micro-batch numbers the rows in them, so the first of several rows with
+    one key is the first in (file, row) order."""
     reader = spark.readStream.option("header", True).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return with_file_order(reader.csv(folder))
+    return with_file_block(reader.csv(folder))
 
 
 def ingest_batch(
@@ -32,7 +33,10 @@ def ingest_batch(
     done = dict(latest.notes.get("streams", {})) if latest else {}
     if done.get(stream, -1) >= batch_id:
         return None
-    order = [F.col(name) for name in ORDER_COLUMNS] if ORDER_COLUMNS[0] in batch.columns else None
+    order = None
+    if ORDER_COLUMNS[0] in batch.columns:
+        batch = batch.select("*", F.monotonically_increasing_id().alias(ORDER_COLUMNS[2]))
+        order = [F.col(name) for name in ORDER_COLUMNS]
     result = ingest_frame(store, table, batch, method, order=order, streams={**done, stream: batch_id})
     if not result.ok:
         raise StorageError(f"batch {batch_id} of stream {stream!r}: {result.error or result.diff}")

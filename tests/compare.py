@@ -24,12 +24,11 @@ def connect(folder: str):
 
 
 def cell(value):
-    if isinstance(value, decimal.Decimal):
-        value = float(value)
-    if isinstance(value, bool):
-        return int(value)
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}") if value % 1 else int(value) if math.isfinite(value) else value
+    """Numbers compare by value, whatever their type; doubles must agree in every digit."""
+    if isinstance(value, decimal.Decimal | bool | int):
+        return float(value)
+    if isinstance(value, float) and math.isnan(value):
+        return "nan"
     return value
 
 

@@ -1,0 +1,291 @@
+import csv
+import json
+import os
+
+import pytest
+from helpers import values
+from pyspark.sql import functions as F
+
+from tablewright import (
+    ColumnFunction,
+    Filter,
+    FunctionSet,
+    FunctionStep,
+    Pivot,
+    Rename,
+    RowFunction,
+    SqlFunction,
+    TableFunction,
+    TableStore,
+    ValueFunction,
+    Workspace,
+    cols,
+    compose,
+    results_report,
+    run_set_across,
+    validate_across,
+)
+from tablewright.errors import PlanError
+from tablewright.naming import short_id
+from tablewright.plans.report import REPORT_COLUMNS
+from tablewright.plans.steps import select_steps
+from tablewright.plans.verdicts import verdict_counts
+from tablewright.sources.export import export_snapshot_csv, write_report_csv
+
+double = ColumnFunction(name="dbl", params={"x": "column"}, fn=lambda x: x * 2)
+positive = ColumnFunction(name="positive", params={"x": "column"}, kind="validation", fn=lambda x: x > 0)
+ordered = ColumnFunction(
+    name="ordered", params={"a": "column", "b": "column"}, kind="validation", fn=lambda a, b: b >= a
+)
+not_empty = ValueFunction(name="not_empty", kind="validation", fn=lambda: F.count(F.lit(1)) > 0)
+
+
+@pytest.fixture(scope="module")
+def sales(spark):
+    return spark.createDataFrame([("r1", 10), ("r2", 20), ("r3", 30)], "id string, val long")
+
+
+@pytest.fixture(scope="module")
+def multi(spark):
+    rows = [("r1", 10, 11, 12), ("r2", 20, 21, 22), ("r3", 30, 31, 32)]
+    return spark.createDataFrame(rows, "id string, a long, b long, c long")
+
+
+def run(spark, df, steps, run_type="all", set_name=None, store=None):
+    return compose(Workspace(spark, store).add("t", df, steps), "t", run_type, set_name)
+
+
+def outcome(run):
+    return [(r.function_name, r.status, r.rows_affected, r.rows_passed, r.rows_failed) for r in run.results().collect()]
+
+
+def test_chain(spark, sales):
+    steps = [FunctionStep(double, {"x": cols("val")}), Filter("val", "gte", "20")]
+    result = run(spark, sales, steps)
+    assert values(result.frame) == [("r2", 20, 40), ("r3", 30, 60)]
+    assert result.frame.columns == ["id", "val", "dbl_val"]
+    assert outcome(result) == [("dbl", "ok", 3, None, None), ("filter", "ok", 2, None, None)]
+
+
+def test_run_types(spark, sales):
+    steps = [
+        FunctionSet("mixed", [FunctionStep(double, {"x": cols("val")}), FunctionStep(positive, {"x": cols("val")})]),
+        FunctionStep(positive, {"x": cols("val")}),
+        Filter("val", "gt", "10"),
+    ]
+    names = lambda *args: [e.function_name for e in run(spark, sales, steps, *args).entries]
+    assert names("transforms") == ["dbl", "filter"]
+    assert names("validations") == ["positive", "positive"]
+    assert names("set", "mixed") == ["dbl", "positive"]
+    assert names("all") == ["dbl", "positive", "positive", "filter"]
+    assert names("everything") == []
+
+
+def test_tail_steps_run_last_and_once(spark):
+    steps = [Rename({"a": "b"}), Filter("a", "eq", "1")]
+    assert [type(s).__name__ for _, s in select_steps(steps, "all")] == ["Filter", "Rename"]
+    with pytest.raises(PlanError):
+        Workspace(spark).add("t", None, [Rename({"a": "b"}), Rename({"c": "d"})])
+
+
+def test_a_set_behaves_like_its_members(spark, sales):
+    members = [FunctionStep(double, {"x": cols("val")}), FunctionStep(double, {"x": cols("dbl_val")})]
+    together = run(spark, sales, [FunctionSet("s", members)])
+    apart = run(spark, sales, members)
+    assert values(together.frame) == values(apart.frame)
+    assert outcome(together) == outcome(apart)
+
+
+def test_counts_per_bundle(spark, multi):
+    steps = [FunctionStep(ordered, {"a": cols("a", "c"), "b": cols("b", "a")})]
+    result = run(spark, multi, steps)
+    assert outcome(result) == [("ordered", "ok", None, 3, 0), ("ordered", "ok", None, 0, 3)]
+    rows = result.results().collect()
+    assert [r.bundle_key for r in rows] == ["a\x1fb", "c\x1fa"]
+    assert [r.label for r in rows] == ["a_b", "c_a"]
+    assert rows[0].result_id == short_id("ordered", "a\x1fb", "t")
+    assert [r.pass_rate for r in rows] == [1.0, 0.0]
+
+
+def test_failures_stay_where_they_are(spark, sales):
+    needs = ColumnFunction(name="needs", params={"x": "column", "n": "int"}, fn=lambda x, n: x + n)
+    number = ColumnFunction(name="number", params={"x": "column"}, kind="validation", fn=lambda x: x + 1)
+    broken = TableFunction(name="broken", fn=lambda df: df.select("missing"))
+    steps = [
+        FunctionStep(needs, {"x": cols("val")}),
+        FunctionStep(double, {"x": cols("gone")}),
+        FunctionStep(double),
+        FunctionStep(broken),
+        Filter("gone", "eq", "1"),
+        Pivot("id", {"gone": ("sum",)}),
+        FunctionStep(number, {"x": cols("val")}),
+        FunctionStep(positive, {"x": cols("gone", "val")}),
+        FunctionStep(positive),
+        FunctionStep(double, {"x": cols("val")}),
+    ]
+    result = run(spark, sales, steps)
+    assert outcome(result) == [
+        ("needs", "failed", 3, None, None),
+        ("dbl", "failed", None, None, None),
+        ("dbl", "failed", None, None, None),
+        ("broken", "failed", None, None, None),
+        ("filter", "failed", None, None, None),
+        ("pivot", "failed", None, None, None),
+        ("number", "failed", None, None, None),
+        ("positive", "failed", None, None, None),
+        ("positive", "ok", None, 3, 0),
+        ("positive", "failed", None, None, None),
+        ("dbl", "ok", 3, None, None),
+    ]
+    assert result.frame.columns == ["id", "val", "dbl_val"]
+    errors = [r.error for r in result.results().collect()]
+    assert "'n'" in errors[0]
+    assert "gone" in errors[1]
+
+
+def test_null_verdict_fails_and_rows_are_whole(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", float("nan")), ("d", -1.0)], "id string, x double")
+    result = run(spark, df, [FunctionStep(positive, {"x": cols("x")}), FunctionStep(not_empty)], "validations")
+    assert outcome(result) == [("positive", "ok", None, 2, 2), ("not_empty", "ok", None, 1, 0)]
+    assert values(result.failing(result.checks[0].result_id), "id") == [("b",), ("d",)]
+    rows = result.failing_rows("id").collect()
+    assert sorted((r.key, json.loads(r.row_json)["x"]) for r in rows) == [("b", None), ("d", -1.0)]
+    assert result.failing(result.checks[1].result_id).count() == 0
+    assert verdict_counts(df, result.checks).count() == 2
+    assert verdict_counts(df, []).count() == 0
+
+
+def test_empty_table_has_no_pass_rate(spark, sales):
+    result = run(spark, sales.limit(0), [FunctionStep(positive, {"x": cols("val")}), FunctionStep(not_empty)])
+    rows = result.results().collect()
+    assert [(r.rows_passed, r.rows_failed, r.pass_rate) for r in rows] == [(0, 0, None), (0, 1, 0.0)]
+
+
+def test_validations_read_the_raw_table(spark, sales):
+    steps = [Filter("val", "gt", "10"), FunctionStep(positive, {"x": cols("val")})]
+    assert outcome(run(spark, sales, steps))[1] == ("positive", "ok", None, 3, 0)
+
+
+def refusing(value):
+    """A function that fails on one value; nested, so that it travels by value."""
+
+    def refuse(v):
+        if v == value:
+            raise ValueError(f"{value} is refused")
+        return v
+
+    return refuse
+
+
+def test_run_time_failure_is_found_and_left_out(spark, sales, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    fragile = RowFunction(name="fragile", params={"v": "int"}, fn=refusing(20), returns="long")
+    steps = [FunctionStep(double, {"x": cols("val")}), FunctionStep(fragile, {"v": cols("val")}), Filter("val", "gt", "10")]
+    done = run(spark, sales, steps, store=store).execute()
+    got = [(r.function_name, r.status, r.rows_affected) for r in done.results.orderBy("step_no").collect()]
+    assert got == [("dbl", "ok", 3), ("fragile", "failed", None), ("filter", "ok", 2)]
+    assert "20 is refused" in done.results.filter("status = 'failed'").first().error
+    assert values(store.snapshots("t").read()) == [("r2", 20, 40), ("r3", 30, 60)]
+
+
+def test_run_time_verdict_failure_stays_alone(spark, sales):
+    refuse = refusing(20)
+    fragile = RowFunction(
+        name="fragile", params={"v": "int"}, kind="validation", fn=lambda v: bool(refuse(v)), returns="boolean"
+    )
+    steps = [FunctionStep(fragile, {"v": cols("val")}), FunctionStep(positive, {"x": cols("val")})]
+    done = run(spark, sales, steps).execute()
+    assert [(r.function_name, r.status, r.rows_passed) for r in done.results.orderBy("step_no").collect()] == [
+        ("fragile", "failed", None), ("positive", "ok", 3),
+    ]
+
+
+def test_snapshots(spark, sales, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    assert store.snapshot_meta("t") == {"exists": False, "row_count": 0, "columns": []}
+    assert export_snapshot_csv(store, "t", str(tmp_path / "none")) is None
+    steps = [Filter("val", "gt", "10"), FunctionStep(double, {"x": cols("val")})]
+    done = run(spark, sales, steps, "all", store=store).execute()
+    assert done.version == 1
+    assert [r.rows_affected for r in done.results.orderBy("step_no").collect()] == [2, 2]
+    assert run(spark, sales, steps, "all", store=store).execute().version == 2
+    assert store.snapshots("t").numbers() == [2]
+    assert len(store.snapshots("t").folder.child("parts").names()) == 1
+    assert store.snapshot_meta("t") == {"exists": True, "row_count": 2, "columns": ["id", "val", "dbl_val"]}
+    checks = run(spark, sales, [FunctionStep(positive, {"x": cols("val")})], "validations", store=store)
+    assert checks.execute().version is None
+    assert store.snapshots("t").numbers() == [2]
+
+
+def test_csv_export_keeps_empty_fields(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([("a,\nb", None), (None, 1.5)], "s string, x double")
+    store.write_snapshot("t", df)
+    assert export_snapshot_csv(store, "t", str(tmp_path / "out")) == 2
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    rows = [r for r in csv.reader(text.splitlines(keepends=True)) if r != ["s", "x"]]
+    assert sorted(rows) == [["", "1.5"], ["a,\nb", ""]]
+
+
+def test_report(spark, sales, tmp_path):
+    steps = [FunctionStep(positive, {"x": cols("val")}), Filter("gone", "eq", "1"), Filter("val", "gt", "10")]
+    report = results_report(run(spark, sales, steps).results())
+    assert report.columns == list(REPORT_COLUMNS)
+    assert [(r.function_name, r.status, r.rows_passed, r.source_name) for r in report.collect()] == [
+        ("positive", "ok", 3, "t"), ("filter", "failed", None, "t"), ("filter", "ok", None, "t"),
+    ]
+    assert write_report_csv(report, str(tmp_path / "report")) == 3
+    part = next(p for p in os.listdir(tmp_path / "report") if p.startswith("part-"))
+    with open(tmp_path / "report" / part, newline="") as handle:
+        lines = list(csv.DictReader(handle))
+    assert [line["pass_rate"] for line in lines] == ["100.0%", "", ""]
+    assert results_report(run(spark, sales, []).results()).count() == 0
+
+
+def crash():
+    raise RuntimeError("source is gone")
+
+
+def test_across_tables(spark, sales, multi):
+    in_set = lambda *names: FunctionSet("s", [FunctionStep(positive, {"x": cols(*names)})])
+    ws = (
+        Workspace(spark)
+        .add("b", multi, [in_set("a", "b")])
+        .add("a", sales, [in_set("val")])
+        .add("c", sales, [in_set("gone")])
+        .add("d", crash, [in_set("val")])
+        .add("e", sales, [FunctionStep(double, {"x": cols("val")})])
+    )
+    rows = [(r.source_name, r.status, r.rows_passed, r.pass_rate) for r in validate_across(ws, "positive").collect()]
+    assert rows == [("a", "ok", 3, 1.0), ("b", "ok", 6, 1.0), ("c", "failed", None, None), ("d", "failed", None, None)]
+    assert results_report(validate_across(ws, "positive")).first().result_id == short_id("positive", "a", "a")
+    assert [(r.source_name, r.status, r.rows_passed) for r in validate_across(ws, "dbl").collect()] == [("e", "ok", None)]
+    assert validate_across(ws, "unknown").count() == 0
+    report = results_report(run_set_across(ws, "s")).collect()
+    assert [(r.source_name, r.function_name, r.status) for r in report] == [
+        ("a", "positive", "ok"), ("b", "positive", "ok"), ("b", "positive", "ok"), ("c", "positive", "failed"),
+        ("d", None, "failed"),
+    ]
+    assert "source is gone" in report[-1].error
+
+
+def test_partial_failure_across_bundles(spark, sales):
+    steps = [FunctionStep(positive, {"x": cols("gone")}), FunctionStep(positive, {"x": cols("val")})]
+    row = validate_across(Workspace(spark).add("t", sales, steps), "positive").first()
+    assert (row.status, row.rows_passed, row.rows_failed) == ("failed", 3, 0)
+    assert "gone" in row.error
+
+
+def test_results_do_not_depend_on_partitions(spark, multi):
+    steps = [
+        FunctionStep(ordered, {"a": cols("a"), "b": cols("b")}),
+        Pivot("id", {"a": ("sum", "count")}, ("b",)),
+        FunctionStep(SqlFunction(name="all", text="SELECT * FROM {source_table}", reads="working")),
+    ]
+    seen = set()
+    for partitions in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        result = run(spark, multi.repartition(partitions), steps)
+        seen.add((tuple(values(result.frame)), tuple(outcome(result))))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(seen) == 1
