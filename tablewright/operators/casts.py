@@ -12,18 +12,23 @@ from pyspark.sql import types as T
 from tablewright.naming import col, field_of
 from tablewright.types import MIGRATION_TYPES, as_text, spark_type, type_name
 
-# Characters removed from a formatted number, and accounting negatives.
-NUMBER_NOISE = r"[\s,$%€£¥()]"
-PARENTHESIZED = r"^\(.*\)$"
-
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i:[+-]?(inf|infinity|nan))$"
-_DATE_HEAD = r"^\s*(\d{1,7})([-/ \\])(\d{1,2})\2(\d{1,2})"
-_TIME_TAIL = (
-    r"(?:[ T]\s*(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,9}))?)?"
-    r"\s*(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)?\s*)"
+# Characters removed from a formatted number (white space, digit groups, currency,
+# percent and accounting signs).
+NUMBER_NOISE = " \t\n\f\r,$%€£¥()"
+
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = (
+    rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+    r"|^(?i:[+-]?(?:inf|infinity|nan))$"
 )
-_DATE = _DATE_HEAD + "(?:" + _TIME_TAIL + r"|\s*)$"
-_TIMESTAMP = _DATE_HEAD + _TIME_TAIL + "?$"
+_PARENTHESIZED = r"(?d)^ *\(.*\) *\z"
+# Groups: year, separator, month, day, clock. Anything behind the clock but a zone is refused.
+_MOMENT = (
+    r"^\s*0*(\d{2,4})([-/ \\])(\d{1,2})\2(\d{1,2})"
+    r"(?:[ T]\s*(\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)\s*(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)?\s*%s)$"
+)
+_DATE = _MOMENT % r"|\s*"
+_TIMESTAMP = (_MOMENT % "").removesuffix(")$") + ")?$"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -33,10 +38,14 @@ def _is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, (*_INTEGRAL, *_FRACTIONAL, T.DecimalType))
 
 
-def text_to_double(text: Column) -> Column:
-    """Strict number parsing: no ``1d`` suffix, ``_`` only between digits."""
-    plain = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+# The expressions below name their input as few times as possible: a filter evaluates every mention.
+
+
+def text_to_double(text: Column, noise: str = "") -> Column:
+    """Strict number parsing without the ``noise`` characters: no ``1d`` suffix, ``_`` only
+    between digits."""
+    clean = F.translate(text, noise, "") if noise else text
+    return F.when(clean.rlike(_NUMBER), F.translate(text, noise + "_", "").try_cast("double"))
 
 
 def double_to(number: Column, target: T.DataType) -> Column:
@@ -48,9 +57,9 @@ def double_to(number: Column, target: T.DataType) -> Column:
 
 def formatted_number(text: Column, target: T.DataType) -> Column:
     """Read ``$1,234.50``, ``12.5%`` and ``(2,500)`` as numbers."""
-    sign = F.when(F.trim(text).rlike(PARENTHESIZED), -1).otherwise(1)
-    scale = F.when(F.contains(text, F.lit("%")), 0.01).otherwise(1.0)
-    bare = text_to_double(F.regexp_replace(text, NUMBER_NOISE, ""))
+    sign = F.when(text.rlike(_PARENTHESIZED), -1).otherwise(1)
+    scale = F.when(text.contains("%"), 0.01).otherwise(1.0)
+    bare = text_to_double(text, NUMBER_NOISE)
     return double_to(bare * sign * scale, target)
 
 
@@ -58,27 +67,19 @@ def text_to_boolean(text: Column) -> Column:
     return F.when(F.trim(text) == text, text.try_cast("boolean"))
 
 
-def _ymd(text: Column, pattern: str) -> Column:
-    part = lambda n: F.regexp_extract(text, pattern, n)
-    year = F.when(F.length(part(1)) < 4, F.lpad(part(1), 4, "0")).otherwise(part(1))
-    return F.concat_ws("-", year, F.lpad(part(3), 2, "0"), F.lpad(part(4), 2, "0"))
-
-
 def text_to_date(text: Column) -> Column:
     """A full ``y-m-d`` date (also with ``/``), with or without a valid time behind it."""
-    return F.when(text.rlike(_DATE), text_to_timestamp_parts(text, _DATE)).cast("date")
+    return _moment(text, _DATE).cast("date")
 
 
 def text_to_timestamp(text: Column) -> Column:
-    return F.when(text.rlike(_TIMESTAMP), text_to_timestamp_parts(text, _TIMESTAMP))
+    return _moment(text, _TIMESTAMP)
 
 
-def text_to_timestamp_parts(text: Column, pattern: str) -> Column:
-    part = lambda n: F.regexp_extract(text, pattern, n)
-    two = lambda n: F.lpad(F.when(part(n) == "", "0").otherwise(part(n)), 2, "0")
-    fraction = F.substring(F.rpad(part(8), 6, "0"), 1, 6)
-    clock = F.concat(two(5), F.lit(":"), two(6), F.lit(":"), two(7), F.lit("."), fraction)
-    return F.concat(_ymd(text, pattern), F.lit(" "), clock).try_cast("timestamp_ntz")
+def _moment(text: Column, pattern: str) -> Column:
+    """Rewrite an accepted spelling as ``y-m-d clock`` and cast that. Years have two to four
+    digits; leading zeros give short ones the four a cast asks for."""
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "00$1-$3-$4 $5").try_cast("timestamp_ntz"))
 
 
 def number_text(number: Column) -> Column:

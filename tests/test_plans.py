@@ -1,0 +1,99 @@
+"""What the physical plans must and must not contain."""
+
+import os
+import pathlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from tablewright import ColumnFunction, DateCondition, DateRange, Filter, FunctionStep, Join, Pivot, Workspace, cols, compose
+from tablewright.operators import keys as K
+from tablewright.operators.columns import broadcast_scalar
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+
+
+def plan(df):
+    return df.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def pushed(df):
+    return " ".join(re.findall(r"PushedFilters: \[(.*?)\]", plan(df)))
+
+
+def read_columns(df):
+    return re.findall(r"ReadSchema: struct<(.*?)>", plan(df))
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
+def test_filters_reach_the_scan(table):
+    assert "GreaterThan(l_quantity,25.0)" in pushed(Filter("l_quantity", "gt", "25").apply(table("lineitem")))
+    dates = DateRange([[DateCondition("l_shipdate", "1996-01-01", "1996-12-31")]]).apply(table("lineitem"))
+    assert "GreaterThanOrEqual(l_shipdate,1996-01-01T00:00)" in pushed(dates)
+    assert "LessThan(l_shipdate,1997-01-01T00:00)" in pushed(dates)
+    groups = [[DateCondition("l_shipdate", end="1996-01-01")], [DateCondition("l_shipdate", start="1999-01-01")]]
+    assert "Or(" in pushed(DateRange(groups).apply(table("lineitem")))
+
+
+def test_only_needed_columns_are_read(table):
+    df = Pivot("l_linestatus", {"l_quantity": ("sum",)}, ("l_returnflag",)).apply(table("lineitem"))
+    assert read_columns(df) == ["l_quantity:double,l_returnflag:string,l_linestatus:string"]
+    joined = Join(table("customer"), [("o_custkey", "c_custkey")], keep_columns=("c_name",)).apply(table("orders"))
+    assert "c_custkey:bigint,c_name:string" in read_columns(joined)
+    conflicts = K.append_conflicts(table("orders"), table("orders"), "o_orderkey")
+    assert set(read_columns(conflicts)) == {"o_orderkey:bigint"}
+
+
+def test_all_validations_share_one_scan(table, spark):
+    check = ColumnFunction(name="p", params={"x": "column"}, kind="validation", fn=lambda x: x > 0)
+    steps = [FunctionStep(check, {"x": cols("l_tax", "l_discount")}), FunctionStep(check, {"x": cols("l_quantity")})]
+    run = compose(Workspace(spark).add("lineitem", table("lineitem"), steps), "lineitem", "validations")
+    assert read_columns(run.results()) == ["l_quantity:double,l_discount:double,l_tax:double"]
+    assert len(read_columns(run.failing_rows("l_orderkey"))) == 1
+
+
+def test_a_chain_of_steps_is_one_stage(table, spark):
+    double = ColumnFunction(name="d", params={"x": "column"}, fn=lambda x: x * 2)
+    steps = [Filter("l_quantity", "gt", "10"), FunctionStep(double, {"x": cols("l_tax")}), Filter("d_l_tax", "lt", "0.1")]
+    text = plan(compose(Workspace(spark).add("t", table("lineitem"), steps), "t").frame)
+    assert "Exchange" not in text
+    assert text.count("Scan parquet") == 2  # once in the tree, once in the details
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(table):
+    for df in (
+        K.key_violations(table("lineitem"), "l_orderkey"),
+        K.first_rows(table("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"]),
+        Pivot("l_linestatus", {"l_quantity": ("sum",)}, ("l_suppkey",), ("F", "O")).apply(table("lineitem")),
+    ):
+        text = plan(df)
+        before = re.search(r"Exchange.*?\n.*?(Hash|Sort|ObjectHash)Aggregate", text, re.S)
+        assert before is not None
+        assert "Window" not in text
+
+
+def test_scalar_is_a_subquery_not_a_join(table):
+    text = plan(broadcast_scalar(table("lineitem"), "m", F.avg("l_quantity")))
+    assert "Subquery" in text
+    assert "Join" not in text
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_no_plan_pairs_all_rows_or_leaves_the_batches(spark, name):
+    text = plan(contract.queries()[name](spark, FOLDER))
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroupsInPandas"):
+        assert word not in text, word
+
+
+def test_the_library_names_no_forbidden_means():
+    root = pathlib.Path(__file__).parent.parent
+    source = "\n".join(p.read_text() for d in ("tablewright", "catalogue") for p in (root / d).rglob("*.py"))
+    for word in ("localCheckpoint", "crossJoin", "broadcast(", "toPandas", "applyInPandas", ".rdd", ".cache()"):
+        assert word not in source, word
