@@ -45,21 +45,37 @@ def _keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(col(key).alias("__k")).filter("__k is not null").distinct()
 
 
+def existing_keys(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """``__k``: the batch's keys that the base has, each once because the base is unique.
+
+    The base streams past the batch's keys: a small batch is broadcast by its measured size and
+    the base is not shuffled. The other way round, the whole base would be.
+    """
+    return base.select(col(key).alias("__b")).join(_keys(batch, key), _key_match("__b", "__k"), "left_semi").select(
+        F.col("__b").alias("__k")
+    )
+
+
 def new_rows(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Batch rows whose key the base does not have."""
-    return batch.join(base.select(col(key).alias("__k")), _key_match(key, "__k"), "left_anti")
+    return batch.join(existing_keys(base, batch, key), _key_match(key, "__k"), "left_anti")
 
 
 def existing_rows(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Batch rows whose key the base already has."""
-    return batch.join(base.select(col(key).alias("__k")), _key_match(key, "__k"), "left_semi")
+    return batch.join(existing_keys(base, batch, key), _key_match(key, "__k"), "left_semi")
 
 
 def kept_rows(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Base rows that an upsert of the batch leaves alone."""
+    """Base rows that an upsert of the batch leaves alone; the base streams past the batch's keys."""
     return base.join(_keys(batch, key), _key_match(key, "__k"), "left_anti")
 
 
+def replaced_rows(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Base rows that an upsert of the batch replaces."""
+    return base.join(_keys(batch, key), _key_match(key, "__k"), "left_semi")
+
+
 def append_conflicts(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """``key, n_rows, reason`` of everything that makes an append of the batch fail.
 
@@ -69,7 +85,7 @@ def append_conflicts(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     inside = key_violations(batch, key)
     text = to_text(col(name), field_of(batch, key).dataType).alias("key")
     reason = F.when(col(name).isNull(), "null").otherwise("repeated")
-    taken = existing_rows(base, _keys(batch, key).withColumnRenamed("__k", name), key)
+    taken = existing_keys(base, batch, key).select(col("__k").alias(name))
     return inside.select(text, "n_rows", reason.alias("reason")).unionByName(
         taken.select(text, F.lit(1).cast("long").alias("n_rows"), F.lit("exists").alias("reason"))
     )

@@ -80,8 +80,10 @@ def split_join(
     partners in some salts and none in others, so its unmatched copies are dropped and truly
     unmatched rows are added by an anti join over the hot keys alone.
     """
-    hot_left = hot_hashes(left, left_keys, share)
-    hot_right = [h for h in hot_hashes(right, right_keys, share) if h not in set(hot_left)]
+    # AQE splits the kept side of an outer join by itself; only the other side is searched.
+    hot_left = hot_hashes(left, left_keys, share) if how != "left" else []
+    hot_right = hot_hashes(right, right_keys, share) if how != "right" else []
+    hot_right = [h for h in hot_right if h not in set(hot_left)]
     l_side = _salted(left, left_keys, hot_left, hot_right, salts, "__l")
     r_side = _salted(right, right_keys, hot_right, hot_left, salts, "__r")
     on = [col(a) == col(b) for a, b in zip(left_keys, right_keys, strict=True)]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.naming import col
+from tablewright.operators.casts import to_text
 from tablewright.sources.store import TableStore
-from tablewright.types import normalize_frame
 
 
 def json_safe(df: DataFrame) -> DataFrame:
@@ -32,9 +32,20 @@ def json_rows(df: DataFrame) -> DataFrame:
     return safe.select(row_json(safe).alias("row_json"))
 
 
+# Quotes are doubled and spaces kept, so any CSV reader gets back what was written.
+_CSV = {
+    "header": True,
+    "nullValue": "",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def _write(df: DataFrame, path: str) -> None:
     """A folder of CSV files with headers, NULL as an empty field."""
-    normalize_frame(df).write.option("header", True).option("nullValue", "").csv(path)
+    text = [to_text(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
+    df.select(text).write.options(**_CSV).csv(path)
 
 
 def export_snapshot_csv(store: TableStore, table: str, path: str) -> int | None:
@@ -59,4 +70,4 @@ def write_report_csv(report: DataFrame, path: str) -> int:
     """Write a results report (one row per function and table) as one CSV file."""
     ordered = format_report(report).coalesce(1)
     _write(ordered, path)
-    return report.sparkSession.read.option("header", True).option("multiLine", True).csv(path).count()
+    return report.sparkSession.read.options(header=True, escape='"', multiLine=True).csv(path).count()

@@ -16,17 +16,33 @@ from tablewright.types import normalize_frame
 ORDER_COLUMNS = ("__file", "__block", "__row")
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Header CSV as vocabulary types. Without a schema one extra pass infers it.
+# Quotes inside quoted fields are doubled, and a time alone is text.
+_CSV = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd[ ]['T']HH:mm[:ss][.SSSSSS]"}
 
-    Times without a zone become TIMESTAMP, as everywhere in this library.
+
+def read_csv(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Header CSV as vocabulary types. Without a schema one extra pass infers it; with one, a
+    value of another type is an error.
+
+    ``multi_line`` allows line breaks inside quotes. Such a file cannot be split, so each is read
+    by one task.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.options(**_CSV, multiLine=multi_line)
     if schema is not None:
-        return reader.schema(schema).csv(paths)
+        return reader.options(enforceSchema=False, mode="FAILFAST").schema(schema).csv(paths)
     df = normalize_frame(reader.option("inferSchema", True).csv(paths))
-    zoned = {f.name: col(f.name).cast("timestamp_ntz") for f in df.schema if isinstance(f.dataType, T.TimestampType)}
-    return df.withColumns(zoned) if zoned else df
+    wider = {f.name: col(f.name).cast(_WIDER[type(f.dataType)]) for f in df.schema if type(f.dataType) in _WIDER}
+    return df.withColumns(wider) if wider else df
+
+
+# Inferred types are widened: whole numbers to BIGINT or HUGEINT, times without a zone to TIMESTAMP.
+_WIDER = {
+    T.IntegerType: T.LongType(),
+    T.DecimalType: T.DecimalType(38, 0),
+    T.TimestampType: T.TimestampNTZType(),
+}
 
 
 def infer_schema(spark: SparkSession, paths: str | list[str]) -> T.StructType:

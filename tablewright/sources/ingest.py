@@ -52,10 +52,11 @@ def ingest_csv(
     method: str | None = None,
     confirm_drift: bool = False,
     schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> IngestResult:
     """Ingest all files in one batch; rows keep the order of (file, row)."""
     try:
-        batch = with_file_order(read_csv(store.spark, paths, schema))
+        batch = with_file_order(read_csv(store.spark, paths, schema, multi_line))
     except PySparkException as cause:
         return IngestResult(error=f"cannot read {paths!r}: {cause}")
     order = [F.col(name) for name in ORDER_COLUMNS]
@@ -173,7 +174,7 @@ def _rewrite_touched(
     base = rows.read(before)
     part = F.regexp_extract(F.col("_metadata.file_path"), r"/parts/([0-9a-f]+)/", 1)
     located = base.select(col(key), part.alias(_PART))
-    hit = K.existing_rows(fresh, located, key).select(_PART).distinct()
+    hit = K.replaced_rows(located, fresh, key).select(_PART).distinct()
     touched = {row[_PART] for row in hit.collect()}
     untouched = [p for p in before.parts if p not in touched]
     if not touched:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewright import TableSpec, TableStore, ingest_csv, ingest_frame, ingest_group
 from tablewright.errors import PlanError, StorageError
 from tablewright.operators import keys as K
-from tablewright.sources.files import infer_schema, list_files, match_tables
+from tablewright.sources.files import infer_schema, list_files, match_tables, read_csv
 from tablewright.sources.store import alphabetical
 from tablewright.types import describe
 
@@ -147,7 +147,7 @@ def test_inference_and_groups(spark, store, tmp_path):
     csv(folder, "sales_02.csv", "id,val", "b,2")
     csv(folder, "costs.csv", "id,day,at", "1,2024-01-02,2024-01-02 03:04:05")
     assert describe(infer_schema(spark, str(folder / "costs.csv"))) == [
-        ("id", "INTEGER"), ("day", "DATE"), ("at", "TIMESTAMP"),
+        ("id", "BIGINT"), ("day", "DATE"), ("at", "TIMESTAMP"),
     ]
     listing = list_files(spark, str(folder))
     assert values(listing, "stem", "pattern") == [("costs", None), ("sales_01", r"sales_\d+"), ("sales_02", r"sales_\d+")]
@@ -161,6 +161,22 @@ def test_inference_and_groups(spark, store, tmp_path):
     assert values(store.read("sales")) == [("a", 1), ("b", 2)]
 
 
+def test_quotes_spaces_and_wide_numbers(spark, tmp_path):
+    path = csv(tmp_path, "q.csv", "t,h,s", '10:00:00,99999999999999999999,"say ""hi"", ok"', "11:00:00,1, x ")
+    df = read_csv(spark, path)
+    assert describe(df.schema) == [("t", "VARCHAR"), ("h", "HUGEINT"), ("s", "VARCHAR")]
+    assert values(df, "t", "s") == [("10:00:00", 'say "hi", ok'), ("11:00:00", " x ")]
+    broken = csv(tmp_path, "m.csv", "s,n", '"a', 'b",1')
+    assert values(read_csv(spark, broken, multi_line=True)) == [("a\nb", 1)]
+
+
+def test_explicit_schema_loses_nothing(sales, spark, tmp_path):
+    path = csv(tmp_path, "e.csv", "id,val", "a,1", "b,x")
+    schema = spark.createDataFrame([], "id string, val long").schema
+    assert ingest_csv(sales, "sales", path, schema=schema).error
+    assert ingest_csv(sales, "sales", v1(tmp_path), schema=schema).rows_ingested == 2
+
+
 def test_summaries_and_column_order(spark, store):
     for name in ("one", "two"):
         store.register(TableSpec(name, "z", spark.createDataFrame([], "z int, a int").schema))

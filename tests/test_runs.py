@@ -217,14 +217,15 @@ def test_snapshots(spark, sales, tmp_path):
     assert store.snapshots("t").numbers() == [2]
 
 
-def test_csv_export_keeps_empty_fields(spark, tmp_path):
+def test_csv_export_keeps_values(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
-    df = spark.createDataFrame([("a,\nb", None), (None, 1.5)], "s string, x double")
+    df = spark.createDataFrame([('a,\n"b"', None), (" x ", 1.5), (None, 1e20), ("", 100.0)], "s string, x double")
     store.write_snapshot("t", df)
-    assert export_snapshot_csv(store, "t", str(tmp_path / "out")) == 2
+    assert export_snapshot_csv(store, "t", str(tmp_path / "out")) == 4
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     rows = [r for r in csv.reader(text.splitlines(keepends=True)) if r != ["s", "x"]]
-    assert sorted(rows) == [["", "1.5"], ["a,\nb", ""]]
+    assert sorted(rows) == [["", "100.0"], ["", "1e+20"], [" x ", "1.5"], ['a,\n"b"', ""]]
+    assert '"",100.0' in text
 
 
 def test_report(spark, sales, tmp_path):
