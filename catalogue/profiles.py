@@ -1,7 +1,7 @@
 """Row counts, key profiles, table summaries."""
 
 from catalogue.registry import query
-from tablewright.operators.profile import key_profile, row_count, table_summaries
+from tablewright.operators.profile import key_profile, preview, row_count, table_summaries
 
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -38,3 +38,9 @@ def _(t):
 )
 def _(t):
     return table_summaries({n: (t(n), i) for i, n in enumerate(NAMES)}).select("table_name", "n_rows")
+
+
+# Which rows a preview shows is not defined, so there is no SQL to compare it with.
+@query("row_preview")
+def _(t):
+    return preview(t("lineitem"))

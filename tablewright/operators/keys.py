@@ -99,7 +99,7 @@ def append(base: DataFrame, batch: DataFrame) -> DataFrame:
 def upsert(base: DataFrame, batch: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """A batch row replaces the base row with its key; the first copy of a repeated key counts."""
     winners = first_rows(batch, key, order).select([col(c) for c in base.columns])
-    return kept_rows(base, winners, key).unionByName(winners)
+    return kept_rows(base, batch, key).unionByName(winners)
 
 
 def skip(base: DataFrame, batch: DataFrame, key: str, order: list[Column | str]) -> DataFrame:

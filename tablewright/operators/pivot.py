@@ -18,6 +18,11 @@ AGGREGATIONS = ("sum", "avg", "min", "max", "count")
 _AGGREGATE = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 _PIVOT = "__pivot"
 
+# Up to this many output cells, each is a conditional aggregate: one shuffle of one row per index
+# tuple and task. Beyond, Spark's pivot first aggregates per (index, value): two shuffles, but no
+# row is tested against every value.
+FEW_CELLS = 24
+
 
 def pivot_values(df: DataFrame, column: str) -> list[str]:
     """The distinct non-null values as text, sorted. They become column names, so their number is
@@ -42,8 +47,8 @@ def pivot(
 
     One pair names its columns after the pivot values, several append ``_sum(amt)``. A NULL pivot
     value makes no column but keeps its index row. Without an index, rows are grouped by every
-    column that is neither pivoted nor aggregated. Both aggregations of a Spark pivot combine
-    map-side, so a hot index value does not collect in one task.
+    column that is neither pivoted nor aggregated. All aggregations combine map-side, so a hot
+    index value does not collect in one task.
     """
     pivot_field = field_of(df, column)
     pairs = [(field_of(df, name).name, how) for name, how in aggregates]
@@ -59,7 +64,6 @@ def pivot(
 
     # The same pair twice is computed once and projected twice.
     unique = list(dict.fromkeys(pairs))
-    aggs = [_AGGREGATE[how](col(name)).alias(f"a{i}") for i, (name, how) in enumerate(unique)]
     needed = list(dict.fromkeys(name for name, _ in unique))
     narrow = df.select(
         *[col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
@@ -67,10 +71,17 @@ def pivot(
         to_text(col(pivot_field.name), pivot_field.dataType).alias(_PIVOT),
     )
     keys = [f"__g{i}" for i in range(len(groups))]
-    wide = narrow.groupBy(keys).pivot(_PIVOT, list(values)).agg(*aggs)
-    # Cells are addressed by position: values that differ only in case are legal.
     slots = {(v, pair): f"__c{i}_{j}" for i, v in enumerate(values) for j, pair in enumerate(unique)}
-    wide = wide.toDF(*keys, *slots.values())
+    if len(slots) <= FEW_CELLS:
+        aggs = [
+            _AGGREGATE[how](F.when(F.col(_PIVOT) == value, col(name))).alias(slot)
+            for (value, (name, how)), slot in slots.items()
+        ]
+        wide = narrow.groupBy(keys).agg(*aggs)
+    else:
+        aggs = [_AGGREGATE[how](col(name)).alias(f"a{j}") for j, (name, how) in enumerate(unique)]
+        # Cells are addressed by position: values that differ only in case are legal.
+        wide = narrow.groupBy(keys).pivot(_PIVOT, list(values)).agg(*aggs).toDF(*keys, *slots.values())
 
     cells: list[tuple[str, Column]] = []
     for value in values:

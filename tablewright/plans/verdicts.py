@@ -105,4 +105,6 @@ def all_failing_rows(base: DataFrame, checks: list[Check], key: str) -> DataFram
     rows = json_safe(rows.filter(F.size("__failed") > 0))
     whole = row_json(rows.select([col(c) for c in base.columns]))
     text = to_text(col(field.name), field.dataType)
-    return rows.select(F.explode("__failed").alias("result_id"), text.alias("key"), whole.alias("row_json"))
+    # One JSON string per row, however many checks the row fails.
+    slim = rows.select("__failed", text.alias("key"), whole.alias("row_json"))
+    return slim.select(F.explode("__failed").alias("result_id"), "key", "row_json")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +52,7 @@ class Folder:
         """Publish a file in one rename. Fails when it exists: somebody else was first."""
         if self.exists(name):
             raise StorageError(f"{self.url(name)} already exists")
-        draft = f"_draft-{name}"
+        draft = f"_draft-{uuid.uuid4().hex}-{name}"
         stream = self._fs.create(self._at(draft), True)
         try:
             stream.write(bytearray(json.dumps(value).encode("utf-8")))

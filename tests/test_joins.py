@@ -153,6 +153,19 @@ def test_pivot_values_may_differ_in_case_or_equal_an_index_name(spark):
     assert [tuple(r) for r in out.collect()] == [("x", 2, 1, 3)]
 
 
+def test_few_and_many_cells_agree(spark, monkeypatch):
+    from tablewright.operators import pivot as module
+
+    df = spark.range(200).selectExpr("id % 7 AS g", "nullif(id % 4, 3) AS p", "nullif(id % 5, 0) AS v")
+    step = Pivot("p", [("v", ("sum", "count", "avg", "min", "max", "sum"))], ("g",))
+    few = step.apply(df)
+    monkeypatch.setattr(module, "FEW_CELLS", 0)
+    many = step.apply(df)
+    assert few.columns == many.columns
+    assert few.dtypes == many.dtypes
+    assert values(few) == values(many)
+
+
 def test_pivot_checks(quarters):
     for bad in (("", {"amount": ("sum",)}), ("quarter", {}), ("quarter", {"amount": ("median",)})):
         with pytest.raises(PlanError):
