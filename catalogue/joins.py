@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import query
 from tablewright import Filter, FunctionSet, FunctionStep, Join, Rename, ValueFunction, Workspace, compose
-from tablewright.operators.columns import effective_columns
+from tablewright.plans.run import effective_columns
 
 # Suppliers numbered 20 higher: some line items have no supplier, some suppliers no line items.
 SHIFTED = ("s_suppkey + 20 AS supp_no", "s_name", "s_nationkey")
@@ -164,7 +164,8 @@ def _(t):
                  ('o_orderstatus'), ('o_totalprice')) c(name) GROUP BY 1""",
 )
 def _(t):
-    frame = compose(shop(t), "lineitem_raw", "transforms").frame
-    names = [name for name, _ in effective_columns(frame)]
+    workspace = shop(t)
+    names = [name for name, _ in effective_columns(workspace, "lineitem_raw", position=1)]
     each = F.explode(F.array(*[F.lit(n) for n in names])).alias("column_name")
+    frame = compose(workspace, "lineitem_raw", "transforms").frame
     return frame.agg(F.count(F.lit(1)).alias("n_rows")).select(each, "n_rows")

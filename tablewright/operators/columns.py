@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from tablewright.errors import PlanError, UnknownColumnError
-from tablewright.naming import col, field_of, unused_name
+from tablewright.naming import col, unused_name
 
 
 @dataclass(frozen=True)
@@ -72,18 +72,3 @@ def broadcast_scalar(df: DataFrame, name: str, aggregate: Column, over: DataFram
     source = over if over is not None else df
     value = source.agg(aggregate.alias("value")).scalar()
     return append_columns(df, [(name, value)])
-
-
-def effective_columns(df: DataFrame) -> list[tuple[str, str]]:
-    """Columns a later step can bind, with their Spark types; joined columns included."""
-    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-
-
-__all__ = [
-    "Rename",
-    "append_columns",
-    "broadcast_scalar",
-    "effective_columns",
-    "field_of",
-    "replace_columns",
-]

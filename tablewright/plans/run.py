@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import PlanError, TransformedCycleError
-from tablewright.functions.binding import Call
+from tablewright.functions.binding import Call, require_columns
 from tablewright.naming import normalize_label, short_id
 from tablewright.operators.joins import Join
 from tablewright.plans import verdicts as V
@@ -25,6 +25,7 @@ from tablewright.plans.steps import (
 )
 from tablewright.plans.workspace import Workspace
 from tablewright.session import cut_lineage
+from tablewright.types import describe
 
 RESULT_SCHEMA = (
     "step_no int, source_name string, function_name string, function_type string, set_name string, "
@@ -222,13 +223,17 @@ def compose(
     *,
     path: tuple[str, ...] | None = None,
     settle: Callable[[DataFrame], DataFrame] | None = None,
+    before: int | None = None,
 ) -> Composed:
     """Plan a run. Transforms and built-in steps chain on the working frame, validations read the
     raw table. A step that cannot be planned is recorded as failed and the chain goes on from the
-    last good frame. ``settle`` materializes the frame after each step."""
+    last good frame. ``settle`` materializes the frame after each step; ``before`` leaves out the
+    step at that position of the list and all behind it."""
     base = workspace.raw(table)
     fold = _Fold(workspace, table, base, path or (table,), settle)
     for position, step in select_steps(workspace.steps(table), run_type, set_name):
+        if before is not None and position >= before:
+            continue
         if is_builtin(step):
             fold.builtin(position, step)
         else:
@@ -241,6 +246,12 @@ def compose(
     return Composed(workspace, table, run_type, set_name, base, fold.frame, tuple(fold.entries))
 
 
+def effective_columns(workspace: Workspace, table: str, position: int) -> list[tuple[str, str]]:
+    """Columns the step at a position can bind, with their types: those of the table, and what
+    earlier steps added, such as the columns of joined tables. Nothing is computed."""
+    return describe(compose(workspace, table, "transforms", before=position).frame.schema)
+
+
 class _Fold:
     def __init__(self, workspace, table, base, path, settle):
         self.table, self.base, self.frame = table, base, base
@@ -310,8 +321,6 @@ class _Fold:
 
 def checked_calls(member: FunctionStep) -> list[Call]:
     """A validation's calls; an unbound column parameter fails the function."""
-    from tablewright.functions.binding import require_columns
-
     calls = member.calls()
     require_columns(member.function.params, member.bind)
     return calls

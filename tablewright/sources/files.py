@@ -74,6 +74,12 @@ def file_pattern(stem: Column) -> Column:
     return F.when(stem.rlike(r"\d"), F.regexp_replace(stem, r"\d+", r"\\d+"))
 
 
+def name_pattern(path: str) -> str | None:
+    """:func:`file_pattern` of one file, while planning."""
+    stem = re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1])
+    return re.sub(r"\d+", r"\\d+", stem) if re.search(r"\d", stem) else None
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """``path, length, stem, pattern`` of the files in a folder. Their content is not read."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)

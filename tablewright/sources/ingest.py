@@ -18,7 +18,15 @@ from tablewright.errors import StorageError
 from tablewright.naming import col, field_of
 from tablewright.operators import keys as K
 from tablewright.operators.casts import plain_cast
-from tablewright.sources.files import ORDER_COLUMNS, read_csv, with_file_order
+from tablewright.sources.files import (
+    ORDER_COLUMNS,
+    infer_schema,
+    list_files,
+    match_tables,
+    name_pattern,
+    read_csv,
+    with_file_order,
+)
 from tablewright.sources.store import TableSpec, TableStore
 from tablewright.sources.versions import Version, VersionedTable
 from tablewright.types import SchemaDiff, normalize_frame, schema_diff
@@ -45,6 +53,16 @@ class IngestResult:
         return self.diff is not None
 
 
+def register_csv(
+    store: TableStore, name: str, key: str, paths: str | list[str], method: str = "upsert"
+) -> TableSpec:
+    """Declare a table from sample files: inferred column types, and the pattern of the first
+    file's name for the files to come. No row is stored."""
+    first = paths if isinstance(paths, str) else paths[0]
+    schema = infer_schema(store.spark, paths)
+    return store.register(TableSpec(name, key, schema, method, name_pattern(first)))
+
+
 def ingest_csv(
     store: TableStore,
     table: str,
@@ -185,8 +203,6 @@ def _rewrite_touched(
 
 def ingest_group(store: TableStore, folder: str, glob: str = "*.csv", **options) -> dict[str, IngestResult]:
     """Ingest every file of a folder into the table its name matches, one batch per table."""
-    from tablewright.sources.files import list_files, match_tables
-
     specs = store.specs()
     listing = match_tables(list_files(store.spark, folder, glob), [(s.name, s.pattern) for s in specs])
     results = {}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablewright.errors import PlanError, StorageError
 from tablewright.naming import col
 from tablewright.operators.keys import METHODS
-from tablewright.operators.profile import table_summaries
+from tablewright.operators.profile import key_profile, table_summaries
 from tablewright.sources.folder import Folder
 from tablewright.sources.versions import Version, VersionedTable
 from tablewright.types import shared_columns, type_name
@@ -103,6 +103,10 @@ class TableStore:
         """Columns and row count of every table, newest first."""
         return table_summaries({n: (self.read(n), self._record(n)["registered_at"]) for n in self.names()})
 
+    def profile(self, name: str) -> DataFrame:
+        """Row count and number of distinct keys of a stored table."""
+        return key_profile(self.read(name), self.spec(name).key)
+
     # Snapshots -------------------------------------------------------------------------------
 
     def snapshots(self, name: str) -> VersionedTable:

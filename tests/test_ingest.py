@@ -8,6 +8,7 @@ from tablewright import TableSpec, TableStore, ingest_csv, ingest_frame, ingest_
 from tablewright.errors import PlanError, StorageError
 from tablewright.operators import keys as K
 from tablewright.sources.files import infer_schema, list_files, match_tables, read_csv
+from tablewright.sources.ingest import register_csv
 from tablewright.sources.store import alphabetical
 from tablewright.types import describe
 
@@ -177,6 +178,18 @@ def test_explicit_schema_loses_nothing(sales, spark, tmp_path):
     assert ingest_csv(sales, "sales", v1(tmp_path), schema=schema).rows_ingested == 2
 
 
+def test_registration_from_a_file(store, tmp_path):
+    path = csv(tmp_path, "sales-2025.04.csv", "id,val", "a,1", "a,2")
+    spec = register_csv(store, "sales", "id", path, "append")
+    assert (spec.pattern, describe(spec.schema)) == (r"sales-\d+.\d+", [("id", "VARCHAR"), ("val", "BIGINT")])
+    assert store.read("sales").count() == 0
+    assert tuple(store.profile("sales").first()) == (0, 0, False)
+    with pytest.raises(PlanError):
+        register_csv(store, "other", "nope", path)
+    with pytest.raises(PlanError):
+        register_csv(store, "other", "id", path, "merge")
+
+
 def test_summaries_and_column_order(spark, store):
     for name in ("one", "two"):
         store.register(TableSpec(name, "z", spark.createDataFrame([], "z int, a int").schema))

@@ -4,11 +4,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright import Filter, Join, Pivot, TableSpec, TableStore, Workspace, compose
+from tablewright import Filter, Join, Pivot, Rename, TableSpec, TableStore, Workspace, compose
 from tablewright.errors import PlanError, TransformedCycleError, UnknownColumnError
 from tablewright.naming import transformed_id
 from tablewright.operators.joins import equi_join
 from tablewright.operators.skew import hot_hashes
+from tablewright.plans.run import effective_columns
 
 
 @pytest.fixture(scope="module")
@@ -91,6 +92,15 @@ def test_transformed_side_is_composed_when_never_run(spark):
     assert compose(ws, "left_plain", "transforms").frame.count() == 4
 
 
+def test_effective_columns(spark):
+    left = spark.createDataFrame([(1, "x")], "id long, v string")
+    steps = [Join("plain", [("id", "id")]), Filter("amount", "gt", "1"), Rename({"v": "w"})]
+    ws = workspace(spark).add("t", left, steps)
+    assert effective_columns(ws, "t", 0) == [("id", "BIGINT"), ("v", "VARCHAR")]
+    assert [name for name, _ in effective_columns(ws, "t", 1)] == ["id", "v", "id_1", "amount"]
+    assert [name for name, _ in effective_columns(ws, "t", 3)] == ["id", "w", "id_1", "amount"]
+
+
 def test_lineage(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     ws = workspace(spark, store)
