@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tablewright.errors import PlanError
 from tablewright.naming import col, distinct_names, field_of
 from tablewright.operators.casts import plain_cast
-from tablewright.operators.skew import plan_bytes, split_join
+from tablewright.operators.skew import HOT_ROWS, plan_bytes, split_join
 
 # The join types.
 JOIN_TYPES = ("inner", "left", "right", "full")
@@ -47,11 +47,13 @@ def equi_join(
     how: str = "inner",
     keep: str | Sequence[str] = "all",
     skew: str = "auto",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All left columns, then all right columns; both copies of a key are kept.
 
     A repeated name gets ``_1``, ``_2``…. NULL keys never match. ``keep`` prunes the right side.
-    ``skew="split"`` spreads hot keys; ``"auto"`` does so for a large side that AQE cannot split.
+    ``skew="split"`` spreads the keys with more than ``hot_rows`` rows; ``"auto"`` does so for a
+    large side that AQE cannot split.
     """
     left_keys = [field_of(left, a) for a, _ in on]
     right_keys = [field_of(right, b) for _, b in on]
@@ -70,7 +72,7 @@ def equi_join(
     rk = [f"__rk{i}" for i in range(len(rights))]
 
     if skew == "split" or (skew == "auto" and _needs_split(l_side, r_side, how)):
-        joined = split_join(l_side, r_side, lk, rk, how)
+        joined = split_join(l_side, r_side, lk, rk, how, hot_rows)
     else:
         joined = l_side.join(r_side, reduce(and_, [col(a) == col(b) for a, b in zip(lk, rk, strict=True)]), how)
     return joined.select([col(n) for n in names])
@@ -86,6 +88,7 @@ class Join:
     use_transformed: bool = False
     keep_columns: str | tuple[str, ...] = "all"
     skew: str = "auto"
+    hot_rows: int = HOT_ROWS
 
     kind = "join"
     tail_rank = 0
@@ -112,4 +115,5 @@ class Join:
             raise PlanError(f"no workspace to find table {self.right!r} in")
         else:
             right, consumed = tables.resolve(self.right, "transformed" if self.use_transformed else "raw")
-        return equi_join(df, right, self.on, self.how, self.keep_columns, self.skew), consumed
+        joined = equi_join(df, right, self.on, self.how, self.keep_columns, self.skew, self.hot_rows)
+        return joined, consumed

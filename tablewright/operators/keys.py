@@ -104,7 +104,7 @@ def upsert(base: DataFrame, batch: DataFrame, key: str, order: list[Column | str
 
 def skip(base: DataFrame, batch: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """Base rows, plus the first batch row of every key the base does not have."""
-    fresh = first_rows(new_rows(base, batch, key), key, order)
+    fresh = new_rows(base, first_rows(batch, key, order), key)
     return base.unionByName(fresh.select([col(c) for c in base.columns]))
 
 

@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from tablewright.naming import col
 
-TRACKED = 10_000
-MAX_HOT = 500
-SALTS = 32
-SHARE = 0.001
+# A key with more rows than this is hot, and one salt of it holds about as many.
+HOT_ROWS = 1_000_000
+# Keys a sketch tracks; one holding more than about 3.5 / TRACKED of the rows is always found.
+TRACKED = 20_000
+MAX_HOT = 5_000
+# Rows with a NULL key match nothing and need no partner, so they may go anywhere.
+NULL_SALTS = 4_096
+
 
 def _key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[col(k) for k in keys])
@@ -30,36 +34,50 @@ def _all_present(keys: list[str]) -> Column:
     return reduce(and_, [col(k).isNotNull() for k in keys])
 
 
-def _row_salt(df: DataFrame, salts: int) -> Column:
-    """A salt that depends only on the row and its input partition, so a task that is run again
+def _row_hash(df: DataFrame) -> Column:
+    """A number that depends only on the row and its input partition, so a task that is run again
     after a lost executor sends every row to the same place."""
     hashable = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts)).cast("int")
+    return F.xxhash64(*hashable, F.spark_partition_id())
 
 
-def hot_hashes(df: DataFrame, keys: list[str], share: float = SHARE) -> list[int]:
-    """Hashes of keys holding more than ``share`` of the rows: at most ``MAX_HOT`` numbers.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
+    """Hashes of the keys with more than ``hot_rows`` rows, and the number of salts for each: a
+    power of four that leaves at most ``hot_rows`` rows per salt. At most ``MAX_HOT`` entries.
 
     One pass over the key columns with a frequent-items sketch, merged without a shuffle by key.
     The sketch decides only how rows are spread; a missed or extra key changes no result.
     """
     rows = df.filter(_all_present(keys)).select(_key_hash(keys).alias("h"))
-    sketch = rows.agg(
-        F.expr(f"approx_top_k(h, {MAX_HOT}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
-    return [item["item"] for item in sketch["top"] or [] if item["count"] > sketch["n"] * share]
-
-
-def _salted(df, keys, spread, repeat, salts, tag):
-    """Add a salt: rows of ``spread`` keys and NULL keys get one of many, rows of ``repeat`` keys
-    appear once per salt, all other rows get salt 0. ``{tag}r`` marks the repeated rows."""
-    h = _key_hash(keys)
-    repeated = h.isin(repeat) & _all_present(keys) if repeat else F.lit(False)
-    scattered = ~_all_present(keys)
-    if spread:
-        scattered = scattered | h.isin(spread)
-    one = F.when(scattered, _row_salt(df, salts)).otherwise(0)
-    salt = F.when(repeated, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(one))
+    top = rows.agg(F.expr(f"approx_top_k(h, {MAX_HOT}, {TRACKED})").alias("top")).first()["top"]
+    hot = {}
+    for item in top or []:
+        if item["count"] > hot_rows:
+            salts = 4
+            while salts * hot_rows < item["count"]:
+                salts *= 4
+            hot[item["item"]] = salts
+    return hot
+
+
+def _salts_of(h: Column, hot: dict[int, int], default: Column) -> Column:
+    """The number of salts of a key hash: one set lookup per power of four in use."""
+    out = default
+    for salts in sorted(set(hot.values())):
+        out = F.when(h.isin([k for k, n in hot.items() if n == salts]), salts).otherwise(out)
+    return out
+
+
+def _salted(df: DataFrame, keys: list[str], spread: dict[int, int], repeat: dict[int, int], tag: str) -> DataFrame:
+    """Add a salt ``{tag}s``: rows of ``spread`` keys and NULL keys get one of many, rows of
+    ``repeat`` keys appear once per salt, all others get salt 0. ``{tag}r`` marks the repeated."""
+    h, present = _key_hash(keys), _all_present(keys)
+    one = F.pmod(_row_hash(df), F.when(present, _salts_of(h, spread, F.lit(1))).otherwise(NULL_SALTS)).cast("int")
+    if not repeat:
+        return df.select("*", F.lit(False).alias(f"{tag}r"), one.alias(f"{tag}s"))
+    repeated = h.isin(list(repeat)) & present
+    every = F.sequence(F.lit(0), _salts_of(h, repeat, F.lit(1)) - 1)
+    salt = F.when(repeated, every).otherwise(F.array(one))
     return df.select("*", repeated.alias(f"{tag}r"), F.explode(salt).alias(f"{tag}s"))
 
 
@@ -69,9 +87,7 @@ def split_join(
     left_keys: list[str],
     right_keys: list[str],
     how: str,
-    *,
-    share: float = SHARE,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``left how right`` on equal keys, exact, with hot keys spread over tasks.
 
@@ -81,11 +97,11 @@ def split_join(
     unmatched rows are added by an anti join over the hot keys alone.
     """
     # AQE splits the kept side of an outer join by itself; only the other side is searched.
-    hot_left = hot_hashes(left, left_keys, share) if how != "left" else []
-    hot_right = hot_hashes(right, right_keys, share) if how != "right" else []
-    hot_right = [h for h in hot_right if h not in set(hot_left)]
-    l_side = _salted(left, left_keys, hot_left, hot_right, salts, "__l")
-    r_side = _salted(right, right_keys, hot_right, hot_left, salts, "__r")
+    hot_left = hot_keys(left, left_keys, hot_rows) if how != "left" else {}
+    hot_right = hot_keys(right, right_keys, hot_rows) if how != "right" else {}
+    hot_right = {h: n for h, n in hot_right.items() if h not in hot_left}
+    l_side = _salted(left, left_keys, hot_left, hot_right, "__l")
+    r_side = _salted(right, right_keys, hot_right, hot_left, "__r")
     on = [col(a) == col(b) for a, b in zip(left_keys, right_keys, strict=True)]
     joined = l_side.join(r_side, reduce(and_, [*on, F.col("__ls") == F.col("__rs")]), how)
     columns = [col(c) for c in (*left.columns, *right.columns)]
@@ -93,10 +109,10 @@ def split_join(
     extra = []
     if hot_right and how in ("left", "full"):
         joined = joined.filter(~(F.coalesce("__lr", F.lit(False)) & F.col("__rs").isNull()))
-        extra.append(_unmatched(left, right, left_keys, right_keys, hot_right))
+        extra.append(_unmatched(left, right, left_keys, right_keys, list(hot_right)))
     if hot_left and how in ("right", "full"):
         joined = joined.filter(~(F.coalesce("__rr", F.lit(False)) & F.col("__ls").isNull()))
-        extra.append(_unmatched(right, left, right_keys, left_keys, hot_left))
+        extra.append(_unmatched(right, left, right_keys, left_keys, list(hot_left)))
     return reduce(
         lambda whole, piece: whole.unionByName(piece, allowMissingColumns=True), extra, joined.select(columns)
     )

@@ -163,7 +163,7 @@ def _publish(rows, before, spec, landed, method, n_order, notes) -> IngestResult
         return IngestResult(error=f"NULL in the key of {spec.name!r}")
 
     if method == "skip":
-        fresh = K.first_rows(K.new_rows(base, full, key), key, order).select(schema.names)
+        fresh = K.new_rows(base, K.first_rows(full, key, order), key).select(schema.names)
         skipped = K.skipped_keys(base, full, key)
         n_skipped = skipped.count()
         added = [rows.write_part(fresh)] if n_skipped < total else []

@@ -8,7 +8,7 @@ from tablewright import Filter, Join, Pivot, Rename, TableSpec, TableStore, Work
 from tablewright.errors import PlanError, TransformedCycleError, UnknownColumnError
 from tablewright.naming import transformed_id
 from tablewright.operators.joins import equi_join
-from tablewright.operators.skew import hot_hashes
+from tablewright.operators.skew import hot_keys
 from tablewright.plans.run import effective_columns
 
 
@@ -63,13 +63,26 @@ def test_split_join_equals_plain_join(spark, a, b, how):
     left = spark.createDataFrame([(k, i) for i, k in enumerate(a)], "k int, l int")
     right = spark.createDataFrame([(k, i) for i, k in enumerate(b)], "k int, r int")
     on = [("k", "k")]
-    assert values(equi_join(left, right, on, how, skew="split")) == values(equi_join(left, right, on, how))
+    plain = values(equi_join(left, right, on, how))
+    for hot_rows in (1, 4, 1000):
+        assert values(equi_join(left, right, on, how, skew="split", hot_rows=hot_rows)) == plain
 
 
 def test_hot_keys_are_found(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    hot = hot_hashes(df, ["k"], share=0.1)
-    assert hot == [df.select(F.xxhash64(F.lit(7).cast("long"))).first()[0]]
+    seven = df.select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
+    assert hot_keys(df, ["k"], 1000) == {seven: 4}
+    assert hot_keys(df, ["k"], 20) == {seven: 256}
+    assert hot_keys(df, ["k"]) == {}
+
+
+def test_a_hot_key_is_spread_and_its_partner_repeated(spark):
+    left = spark.range(400).selectExpr("id AS l", "CAST(0 AS LONG) AS k")
+    right = spark.createDataFrame([(0, "x"), (1, "y")], "k long, r string")
+    df = equi_join(left, right, [("k", "k")], "full", skew="split", hot_rows=10)
+    assert df.count() == 401
+    assert df.filter("r = 'x'").select("l").distinct().count() == 400
+    assert values(df.filter("l IS NULL"), "r") == [("y",)]
 
 
 def workspace(spark, store=None):
