@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.naming import col, field_of
-from tablewright.types import MIGRATION_TYPES, as_text, spark_type, type_name
+from tablewright.types import MIGRATION_TYPES, as_text, spark_type
 
 # Characters removed from a formatted number (white space, digit groups, currency,
 # percent and accounting signs).
@@ -195,18 +195,3 @@ def nullified_keys(df: DataFrame, key: str, column: str, new_type: str) -> DataF
     return df.filter(uncastable(df, column, new_type)).select(
         to_text(col(field.name), field.dataType).alias("pk"), F.lit(name).alias("column")
     )
-
-
-__all__ = [
-    "cast_column",
-    "cast_of",
-    "castability",
-    "check_migration_type",
-    "migration_cast",
-    "nullified_keys",
-    "plain_cast",
-    "text_to_double",
-    "to_text",
-    "type_name",
-    "uncastable",
-]

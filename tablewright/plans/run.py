@@ -24,7 +24,8 @@ from tablewright.plans.steps import (
     wants,
 )
 from tablewright.plans.workspace import Workspace
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, require_checkpoints
+from tablewright.sources.versions import Version
 from tablewright.types import describe
 
 RESULT_SCHEMA = (
@@ -96,9 +97,16 @@ class Composed:
 
     @property
     def transforms(self) -> bool:
-        """Whether the run produces a new transformed output."""
+        """Whether the run replaces the table's transformed output."""
         return any(e.function_type == "transform" for e in self.entries)
 
+    def _write(self) -> Version | None:
+        """Publish the frame, unless every transform failed: then there is no transformed output."""
+        if self.frame_counted is None:
+            self.workspace.store.drop_snapshots(self.table)
+            return None
+        return self.workspace.store.write_snapshot(self.table, self.frame)
+
     @property
     def checks(self) -> list[V.Check]:
         return [e.check for e in self.entries if e.check is not None]
@@ -155,14 +163,12 @@ class Composed:
         store = self.workspace.store
         if store is not None and self.transforms:
             try:
-                version = store.write_snapshot(self.table, run.frame)
+                version = run._write()
             except Exception:  # noqa: BLE001 - any step may be at fault
                 run = run._isolated_steps()
-                version = store.write_snapshot(self.table, run.frame)
-            final = store.snapshots(self.table).read(version)
-            # The snapshot's footers answer the count of every step after the last row change.
-            entries = tuple(replace(e, counted=final) if e.counted is run.frame_counted else e for e in run.entries)
-            run = replace(run, entries=entries)
+                version = run._write()
+            if version is not None:
+                run = run._counting(store.snapshots(self.table).read(version))
         try:
             rows = run.results().collect()
         except Exception:  # noqa: BLE001 - a verdict or an unwritten step is at fault
@@ -178,7 +184,15 @@ class Composed:
         counted = [e.counted for e in self.entries if e.counted is not None]
         return counted[-1] if counted else None
 
+    def _counting(self, written: DataFrame) -> Composed:
+        """Let the snapshot's footers answer the count of every step after the last row change."""
+        last = self.frame_counted
+        entries = (replace(e, counted=written) if e.counted is last and last is not None else e for e in self.entries)
+        return replace(self, entries=tuple(entries))
+
     def _isolated_steps(self) -> Composed:
+        # Without a folder every step would seem to fail.
+        require_checkpoints(self.workspace.spark)
         return compose(self.workspace, self.table, self.run_type, self.set_name, settle=cut_lineage)
 
     def _isolated_checks(self) -> Composed:

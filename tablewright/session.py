@@ -14,12 +14,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize a frame in the shared checkpoint folder, where it outlives its executors."""
-    spark = df.sparkSession
+def require_checkpoints(spark: SparkSession) -> None:
+    """Make sure reliable checkpoints have a folder; StorageError when nobody named one."""
     folder = checkpoint_dir(spark)
     if folder is None:
         raise StorageError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialize a frame in the shared checkpoint folder, where it outlives its executors."""
+    require_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -119,6 +119,11 @@ class TableStore:
         table.keep_only(version)
         return version
 
+    def drop_snapshots(self, name: str) -> None:
+        """Forget the transformed output of a table."""
+        self.snapshots(name).folder.delete("versions")
+        self.snapshots(name).folder.delete("parts")
+
     def snapshot_meta(self, name: str) -> dict:
         """``exists, row_count, columns``; the count comes from the Parquet footers."""
         table = self.snapshots(name)

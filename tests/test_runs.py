@@ -217,6 +217,15 @@ def test_snapshots(spark, sales, tmp_path):
     assert store.snapshots("t").numbers() == [2]
 
 
+def test_failed_transforms_leave_no_snapshot(spark, sales, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    run(spark, sales, [Filter("val", "gt", "10")], store=store).execute()
+    done = run(spark, sales, [Filter("gone", "gt", "10"), FunctionStep(positive, {"x": cols("val")})], store=store).execute()
+    assert done.version is None
+    assert [r.status for r in done.results.orderBy("step_no").collect()] == ["failed", "ok"]
+    assert not store.snapshot_meta("t")["exists"]
+
+
 def test_csv_export_keeps_values(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     df = spark.createDataFrame([('a,\n"b"', None), (" x ", 1.5), (None, 1e20), ("", 100.0)], "s string, x double")
