@@ -1,6 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-Every query is planned and executed in full into Spark's no-op sink, after one warm-up query.
+Every query is planned and executed in full into Spark's no-op sink, after a warm-up of the JVM and the
+Python workers.
 BENCH_SF_DIR, BENCH_CPUS and BENCH_QUERIES (comma-separated names, or `all`) select what runs.
 """
 
@@ -40,7 +41,8 @@ def main() -> None:
     queries = catalogue.queries()
     names = list(queries) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
 
-    queries["flagship"](spark, folder).write.format("noop").mode("overwrite").save()
+    for name in ("flagship", "series_function"):
+        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.perf_counter()
