@@ -75,8 +75,10 @@ def _(t):
     "SELECT l_returnflag, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag",
 )
 def _(t):
-    summed = TableFunction(name="summed", fn=lambda df: df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity")))
-    return place(t("lineitem"), summed, {})
+    def per_flag(df):
+        return df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity"))
+
+    return place(t("lineitem"), TableFunction(name="per_flag", fn=per_flag), {})
 
 
 @query("broadcast_scalar", "SELECT *, (SELECT avg(l_quantity) FROM lineitem) AS mean_quantity FROM lineitem")

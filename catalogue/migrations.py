@@ -91,7 +91,11 @@ def _(t):
     return reduce(lambda df, c: cast_column(df, c, "VARCHAR"), columns, t("lineitem", *MIXED))
 
 
-@query("cast_round_half_even", "SELECT *, TRY_CAST(half AS INTEGER) AS converted FROM (SELECT l_orderkey, l_quantity / 2 AS half FROM lineitem)")
+@query(
+    "cast_round_half_even",
+    """SELECT *, TRY_CAST(half AS INTEGER) AS converted
+       FROM (SELECT l_orderkey, l_quantity / 2 AS half FROM lineitem)""",
+)
 def _(t):
     df = t("lineitem", "l_orderkey", "l_quantity / 2 AS half")
     return df.withColumn("converted", cast_of(df, "half", "INTEGER"))
@@ -116,7 +120,11 @@ def _(t):
 
 
 BALANCES = {
-    "customer": ("customer", "c_custkey", "CASE WHEN c_acctbal < 0 THEN 'debt' ELSE CAST(c_nationkey AS STRING) END AS code"),
+    "customer": (
+        "customer",
+        "c_custkey",
+        "CASE WHEN c_acctbal < 0 THEN 'debt' ELSE CAST(c_nationkey AS STRING) END AS code",
+    ),
     "supplier": ("supplier", "s_suppkey", "CASE WHEN s_acctbal < 2000 THEN s_name ELSE '7%' END AS code"),
     "nation": ("nation", "n_nationkey", "n_regionkey AS code"),
 }
@@ -149,5 +157,5 @@ def _(t):
               CAST(to_json([event_id, user_id]) AS VARCHAR) AS ids FROM events""",
 )
 def _(t):
-    nested = t("events", "event_id", "struct(user_id AS user, event_type AS kind) AS who", "array(event_id, user_id) AS ids")
-    return normalize_frame(nested)
+    who, ids = "struct(user_id AS user, event_type AS kind) AS who", "array(event_id, user_id) AS ids"
+    return normalize_frame(t("events", "event_id", who, ids))

@@ -254,7 +254,10 @@ def pipeline(t) -> Workspace:
         Rename({"l_quantity": "quantity", "o_totalprice": "total"}),
         DateRange([[DateCondition("l_shipdate", "1996-01-01", "1998-12-31")]]),
         Filter("l_quantity", "gte", "25"),
-        FunctionSet("checks", [FunctionStep(at_least, {"x": cols("l_quantity")}), FunctionStep(doubled, {"x": cols("l_tax")})]),
+        FunctionSet(
+            "checks",
+            [FunctionStep(at_least, {"x": cols("l_quantity")}), FunctionStep(doubled, {"x": cols("l_tax")})],
+        ),
         FunctionStep(doubled, {"x": cols("no_such_column")}),
         Join("orders", [("l_orderkey", "o_orderkey")]),
     ]

@@ -16,9 +16,9 @@ from tablewright.naming import BUNDLE_SEPARATOR
 from tablewright.operators.literals import coerce
 
 # The parameter types. A scalar takes a value or columns, a column only columns,
-# a source the name of another table.
+# a table the function's input, a source the name of another table.
 SCALAR_TYPES = ("int", "float", "bool", "str", "date")
-PARAM_TYPES = (*SCALAR_TYPES, "column", "source")
+PARAM_TYPES = (*SCALAR_TYPES, "column", "table", "source")
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def resolve_calls(params: Mapping[str, str], defaults: Mapping[str, object], bou
         given = bound.get(name)
         if isinstance(given, Columns) and given.names:
             columns[name] = given
-        elif kind == "column":
+        elif kind in ("column", "table"):
             continue
         else:
             value = given if given is not None and not isinstance(given, Columns) else defaults.get(name)

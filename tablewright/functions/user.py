@@ -35,6 +35,8 @@ class UserFunction:
 
     # How the result is placed: per row in a column, one value for the table, or a new table.
     shape = "column"
+    # Only SQL names its input and other tables in parameters.
+    names_tables = False
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -42,6 +44,8 @@ class UserFunction:
         bad = {n: t for n, t in self.params.items() if t not in PARAM_TYPES}
         if bad:
             raise PlanError(f"unknown parameter types {bad}; use {PARAM_TYPES}")
+        if not self.names_tables and {"table", "source"} & set(self.params.values()):
+            raise PlanError("only a SqlFunction has table and source parameters")
         extra = [n for n in self.defaults if self.params.get(n) not in ("int", "float", "bool", "str", "date")]
         if extra:
             raise PlanError(f"only scalar parameters have defaults, not {extra}")
@@ -171,13 +175,15 @@ class ChunkFunction(UserFunction):
 class SqlFunction(UserFunction):
     """A Spark SQL query (transform) or boolean row expression (validation).
 
-    ``{source_table}`` names the input, ``{other}`` a source parameter. Values are bound as
+    ``{source_table}`` or a table parameter names the input, a source parameter another table's raw
+    rows. Values are bound as
     ``:param``, columns as ``IDENTIFIER(:param)`` after a check against the input's columns.
     A query without parameters reads the raw table even behind other steps; ``reads`` overrides.
     """
 
     text: str
     reads: str | None = None
+    names_tables = True
 
     def __post_init__(self):
         super().__post_init__()
@@ -199,7 +205,7 @@ class SqlFunction(UserFunction):
         return {**names, **call.values}
 
     def table(self, df, call, tables=None):
-        others = {}
+        others = {param: df for param, kind in self.params.items() if kind == "table"}
         for param, table in call.sources.items():
             if tables is None:
                 raise PlanError(f"no workspace to find table {table!r} in")

@@ -75,8 +75,11 @@ class Filter:
         if self.operator not in NULL_OPERATORS and self.value in (None, ""):
             raise PlanError(f"filter operator {self.operator!r} needs a value")
 
+    def predicate(self, df: DataFrame) -> Column:
+        return condition(df, self.column, self.operator, self.value)
+
     def apply(self, df: DataFrame, tables=None) -> DataFrame:
-        return df.filter(condition(df, self.column, self.operator, self.value))
+        return df.filter(self.predicate(df))
 
 
 @dataclass(frozen=True)
@@ -144,5 +147,8 @@ class DateRange:
         if not frozen or not all(frozen):
             raise PlanError("a date range needs at least one group, each with a condition")
 
+    def predicate(self, df: DataFrame) -> Column:
+        return any_of_all([[c.predicate(df) for c in group] for group in self.groups])
+
     def apply(self, df: DataFrame, tables=None) -> DataFrame:
-        return df.filter(any_of_all([[c.predicate(df) for c in group] for group in self.groups]))
+        return df.filter(self.predicate(df))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import PlanError, TransformedCycleError
 from tablewright.functions.binding import Call, require_columns
 from tablewright.naming import normalize_label, short_id
+from tablewright.operators.filters import DateRange, Filter
 from tablewright.operators.joins import Join
 from tablewright.plans import verdicts as V
 from tablewright.plans.steps import (
@@ -36,6 +37,23 @@ RESULT_SCHEMA = (
 _TYPES = dict(item.split(" ") for item in RESULT_SCHEMA.split(", "))
 
 
+@dataclass(frozen=True)
+class Rows:
+    """A number of rows: all of a frame, or those that pass the filters right behind it.
+
+    Counting such filters on the frame before them lets one pass answer several steps.
+    """
+
+    frame: DataFrame
+    within: Column | None = None
+
+    def count(self) -> Column:
+        return F.count(F.lit(1)) if self.within is None else F.count_if(self.within)
+
+    def behind(self, predicate: Column) -> Rows:
+        return Rows(self.frame, predicate if self.within is None else self.within & predicate)
+
+
 @dataclass(frozen=True)
 class Entry:
     """Outcome of one function with one bundle, or of one built-in step."""
@@ -49,8 +67,8 @@ class Entry:
     label: str = ""
     error: str | None = None
     consumed_result_id: str | None = None
-    # The frame whose rows are `rows_affected`, or the check that yields the verdict counts.
-    counted: DataFrame | None = field(default=None, compare=False)
+    # Where `rows_affected` or the verdict counts come from.
+    counted: Rows | None = field(default=None, compare=False)
     check: V.Check | None = None
 
     @property
@@ -102,7 +120,7 @@ class Composed:
 
     def _write(self) -> Version | None:
         """Publish the frame, unless every transform failed: then there is no transformed output."""
-        if self.frame_counted is None:
+        if self.final_rows is None:
             self.workspace.store.drop_snapshots(self.table)
             return None
         return self.workspace.store.write_snapshot(self.table, self.frame)
@@ -115,8 +133,8 @@ class Composed:
         """One row per entry, in step order, in one job.
 
         All validations share one aggregate over the base table. Row counts of transforms come
-        from one count per frame that changed the number of rows; the count reads only the
-        columns its predicates and keys need. Counts are aggregates rather than observed
+        from one pass per join, pivot, table function or first filter, which also counts the
+        filters right behind it and reads only the columns that takes. Counts are aggregates rather than observed
         metrics because a task that is run again would be counted twice.
         """
         parts = []
@@ -126,10 +144,9 @@ class Composed:
         frames: dict[int, tuple[DataFrame, list[Entry]]] = {}
         for e in self.entries:
             if e.counted is not None:
-                frames.setdefault(id(e.counted), (e.counted, []))[1].append(e)
-        for counted, entries in frames.values():
-            n = F.count(F.lit(1))
-            parts.append(_exploded(counted, [e.as_struct(rows_affected=n) for e in entries]))
+                frames.setdefault(id(e.counted.frame), (e.counted.frame, []))[1].append(e)
+        for frame, entries in frames.values():
+            parts.append(_exploded(frame, [e.as_struct(rows_affected=e.counted.count()) for e in entries]))
         checked = [e for e in self.entries if e.check is not None]
         if checked:
             counts = V.count_columns(self.base, self.checks)
@@ -179,15 +196,15 @@ class Composed:
         return Executed(run, results, version.number if version else None)
 
     @property
-    def frame_counted(self) -> DataFrame | None:
-        """The last frame that changed the number of rows."""
+    def final_rows(self) -> Rows | None:
+        """The rows behind the last step that could change their number; None without such rows."""
         counted = [e.counted for e in self.entries if e.counted is not None]
         return counted[-1] if counted else None
 
     def _counting(self, written: DataFrame) -> Composed:
         """Let the snapshot's footers answer the count of every step after the last row change."""
-        last = self.frame_counted
-        entries = (replace(e, counted=written) if e.counted is last and last is not None else e for e in self.entries)
+        last, now = self.final_rows, Rows(written)
+        entries = (replace(e, counted=now) if e.counted is not None and e.counted is last else e for e in self.entries)
         return replace(self, entries=tuple(entries))
 
     def _isolated_steps(self) -> Composed:
@@ -272,36 +289,50 @@ class _Fold:
         self.tables = workspace.view(*path)
         self.nested = len(path) > 1
         self.settle = settle or (lambda frame: frame)
-        # The frame that holds the current number of rows, at the lowest cost.
-        self.counted = base
+        # The current number of rows, whether a step has reported it, and whether the columns are
+        # still those of the counted frame.
+        self.rows, self.reported, self.same_columns = Rows(base), False, True
         self.entries: list[Entry] = []
 
     def _add(self, name, kind, key, **more):
         label = more.pop("label", bundle_label(key, name))
         self.entries.append(Entry(len(self.entries), self.table, name, kind, key, label=label, **more))
 
-    def _advance(self, frame: DataFrame, keeps_rows: bool) -> None:
+    def _advance(self, frame: DataFrame, keeps_rows: bool, predicate: Column | None = None) -> None:
         settled = self.settle(frame)
-        if not keeps_rows or settled is not frame:
-            self.counted = settled
+        if settled is not frame or not keeps_rows:
+            if settled is frame and predicate is not None and self.same_columns and self.reported:
+                self.rows = self.rows.behind(predicate)
+            else:
+                self.rows, self.same_columns = Rows(settled), True
+            self.reported = False
+        else:
+            self.same_columns = False
         self.frame = settled
 
+    def _rows(self) -> Rows:
+        self.reported = True
+        return self.rows
+
     def builtin(self, position: int, step) -> None:
         more = {"label": normalize_label(step.kind), "set_name": step.kind}
         key = f"{step.kind}:{position}"
         try:
-            consumed = None
+            consumed = predicate = None
             if isinstance(step, Join):
                 frame, consumed = step.apply_with_lineage(self.frame, self.tables)
+            elif isinstance(step, Filter | DateRange):
+                predicate = step.predicate(self.frame)
+                frame = self.frame.filter(predicate)
             else:
                 frame = step.apply(self.frame, self.tables)
-            self._advance(frame, step.keeps_rows)
+            self._advance(frame, step.keeps_rows, predicate)
         except Exception as cause:  # noqa: BLE001 - recorded on the entry, the chain goes on
             if self.nested and isinstance(cause, TransformedCycleError):
                 raise
             self._add(step.kind, "transform", key, error=str(cause), **more)
         else:
-            self._add(step.kind, "transform", key, counted=self.counted, consumed_result_id=consumed, **more)
+            self._add(step.kind, "transform", key, counted=self._rows(), consumed_result_id=consumed, **more)
 
     def transform(self, member: FunctionStep, owner: str | None) -> None:
         name = member.function.name
@@ -309,12 +340,12 @@ class _Fold:
             frame, keys = member.transform(self.frame, self.base, self.tables)
             self._advance(frame, member.keeps_rows)
         except FunctionFailure as cause:
-            self._add(name, "transform", "", set_name=owner, error=str(cause), counted=self.counted)
+            self._add(name, "transform", "", set_name=owner, error=str(cause), counted=self._rows())
         except Exception as cause:  # noqa: BLE001 - recorded on the entry, the chain goes on
             self._add(name, "transform", member.first_column(), set_name=owner, error=str(cause))
         else:
             for key in keys:
-                self._add(name, "transform", key, set_name=owner, counted=self.counted)
+                self._add(name, "transform", key, set_name=owner, counted=self._rows())
 
     def validation(self, member: FunctionStep, owner: str | None) -> None:
         fn = member.function

@@ -62,7 +62,8 @@ def export_snapshot_csv(store: TableStore, table: str, path: str) -> int | None:
 
 def format_report(report: DataFrame) -> DataFrame:
     """The pass rate as ``12.3%``, empty where there is none."""
-    rate = F.when(F.col("pass_rate").isNotNull(), F.format_string("%.1f%%", F.col("pass_rate") * 100))
+    percent = F.bround(F.col("pass_rate") * 100, 1)
+    rate = F.when(F.col("pass_rate").isNotNull(), F.format_string("%.1f%%", percent))
     return report.withColumn("pass_rate", rate)
 
 

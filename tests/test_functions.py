@@ -91,8 +91,16 @@ def test_sql_without_parameters_reads_the_raw_table(sales):
     assert run(working, SqlFunction(name="n", text=count, reads="working"), raw=sales).first()[0] == 1
 
 
+def test_table_parameters_name_the_input(sales):
+    fn = SqlFunction(
+        name="above", params={"rows": "table"}, text="SELECT * FROM {rows} WHERE amount > (SELECT min(amount) FROM {rows})"
+    )
+    assert values(run(sales, fn), "id") == [("r2",), ("r3",)]
+
+
 def test_bad_functions():
     for build in (
+        lambda: ColumnFunction(name="f", fn=F.upper, params={"x": "table"}),
         lambda: ColumnFunction(name="f", fn=F.upper, kind="check"),
         lambda: ColumnFunction(name="f", fn=F.upper, params={"x": "series"}),
         lambda: ColumnFunction(name="f", fn=F.upper, params={"x": "column"}, defaults={"x": 1}),

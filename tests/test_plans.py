@@ -59,6 +59,15 @@ def test_all_validations_share_one_scan(table, spark):
     assert len(read_columns(run.failing_rows("l_orderkey"))) == 1
 
 
+def test_a_run_counts_filters_behind_a_join_in_one_pass(spark):
+    reads = [r for r in read_columns(contract.queries()["run_all"](spark, FOLDER)) if "l_quantity" in r]
+    assert sorted(reads) == [
+        "l_orderkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz",  # join and date range
+        "l_quantity:double",  # filter
+        "l_quantity:double",  # validation
+    ]
+
+
 def test_a_chain_of_steps_is_one_stage(table, spark):
     double = ColumnFunction(name="d", params={"x": "column"}, fn=lambda x: x * 2)
     steps = [Filter("l_quantity", "gt", "10"), FunctionStep(double, {"x": cols("l_tax")}), Filter("d_l_tax", "lt", "0.1")]

@@ -11,6 +11,7 @@ from tablewright import (
     Filter,
     FunctionSet,
     FunctionStep,
+    Join,
     Pivot,
     Rename,
     RowFunction,
@@ -67,6 +68,24 @@ def test_chain(spark, sales):
     assert outcome(result) == [("dbl", "ok", 3, None, None), ("filter", "ok", 2, None, None)]
 
 
+def test_filters_are_counted_in_one_pass(spark, sales):
+    right = sales.withColumnRenamed("val", "other")
+    steps = [
+        Filter("val", "gt", "5"),
+        Filter("val", "gt", "10"),
+        Filter("val", "neq", "20"),
+        FunctionStep(double, {"x": cols("val")}),
+        Filter("dbl_val", "gt", "100"),
+        Join(right, [("id", "id")], "right"),
+        Filter("other", "lt", "30"),
+        Filter("val", "is_null"),
+    ]
+    result = run(spark, sales, steps)
+    assert [n for _, _, n, _, _ in outcome(result)] == [3, 2, 1, 1, 0, 3, 2, 2]
+    assert len({id(e.counted.frame) for e in result.entries}) == 3
+    assert result.frame.count() == 2
+
+
 def test_run_types(spark, sales):
     steps = [
         FunctionSet("mixed", [FunctionStep(double, {"x": cols("val")}), FunctionStep(positive, {"x": cols("val")})]),
