@@ -133,7 +133,11 @@ def plain_cast(column: Column, source: T.DataType, target: T.DataType) -> Column
             return text_to_timestamp(column).cast(target)
         if isinstance(target, T.DecimalType):
             return F.trim(column).try_cast(target)
-        return double_to(text_to_double(F.trim(column)), target)
+        text = F.trim(column)
+        if isinstance(target, _INTEGRAL):
+            # Whole numbers stay exact; only a fraction goes through a double, rounded away from 0.
+            return F.coalesce(text.try_cast(target), F.round(text_to_double(text)).try_cast(target))
+        return double_to(text_to_double(text), target)
     if _is_number(source) or isinstance(source, T.BooleanType):
         if isinstance(source, _FRACTIONAL) and isinstance(target, _INTEGRAL):
             return double_to(column, target)

@@ -3,7 +3,15 @@ from helpers import values
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.casts import cast_column, cast_of, castability, check_migration_type, nullified_keys, to_text
+from tablewright.operators.casts import (
+    cast_column,
+    cast_of,
+    castability,
+    check_migration_type,
+    nullified_keys,
+    plain_cast,
+    to_text,
+)
 from tablewright.types import (
     SchemaDiff,
     normalize_frame,
@@ -96,6 +104,14 @@ def test_casts_from_other_types(spark):
     assert (cast("b", "INTEGER"), cast("i", "DATE"), cast("t", "TIMESTAMP").isoformat()) == (None, None, "2024-01-02T00:00:00")
 
 
+def test_plain_casts_keep_whole_numbers_exact(spark):
+    texts = ["9007199254740993", " 5 ", "2.5", "-2.5", "1e3", "1_000", "1d", "x", "99999999999999999999"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    cast = plain_cast(F.col("t"), T.StringType(), T.LongType())
+    got = [r[0] for r in df.orderBy("i").select(cast).collect()]
+    assert got == [9007199254740993, 5, 3, -3, 1000, 1000, None, None, None]
+
+
 def test_migration_targets():
     assert check_migration_type("integer") == "INTEGER"
     for bad in ("FLOAT", "JSON", "", None):
