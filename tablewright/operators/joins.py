@@ -12,6 +12,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import PlanError
@@ -26,13 +27,38 @@ JOIN_TYPES = ("inner", "left", "right", "full")
 SPLIT_ABOVE_BYTES = 8 << 30
 
 
-def _comparable(left: Column, lt: T.DataType, right: Column, rt: T.DataType) -> tuple[Column, Column]:
-    """Read text keys as the other side's type, so ``'1'`` matches ``1``."""
-    if isinstance(lt, T.StringType) and not isinstance(rt, T.StringType):
-        return plain_cast(left, lt, rt), right
-    if isinstance(rt, T.StringType) and not isinstance(lt, T.StringType):
-        return left, plain_cast(right, rt, lt)
-    return left, right
+def _common_type(df: DataFrame, left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type in which Spark compares two types; only analyzed."""
+    pair = df.sparkSession.range(0).select(F.lit(None).cast(left).alias("a"), F.lit(None).cast(right).alias("b"))
+    return pair.select(F.coalesce("a", "b").alias("c")).schema["c"].dataType
+
+
+def _converted(df: DataFrame, left: T.StructField, right: T.StructField) -> tuple[Column | None, Column | None]:
+    """Key expressions that differ from the stored columns: text keys are read as the other
+    side's type, so ``'1'`` matches ``1``, and other types meet in their common type, so that
+    equal keys have equal hashes."""
+    text_left, text_right = isinstance(left.dataType, T.StringType), isinstance(right.dataType, T.StringType)
+    if text_left and not text_right:
+        return plain_cast(col(left.name), left.dataType, right.dataType), None
+    if text_right and not text_left:
+        return None, plain_cast(col(right.name), right.dataType, left.dataType)
+    if left.dataType == right.dataType:
+        return None, None
+    common = _common_type(df, left.dataType, right.dataType)
+    return tuple(None if f.dataType == common else col(f.name).cast(common) for f in (left, right))
+
+
+def _side(df: DataFrame, names: dict[str, str], keys: list[tuple[str, Column | None]], tag: str):
+    """The side's columns under their output names, and the names of its key columns. A key is
+    carried as an extra column only if it is converted or pruned."""
+    extra, key_names = [], []
+    for i, (name, converted) in enumerate(keys):
+        if converted is None and name in names:
+            key_names.append(names[name])
+        else:
+            extra.append((col(name) if converted is None else converted).alias(f"__{tag}k{i}"))
+            key_names.append(f"__{tag}k{i}")
+    return df.select(*[col(c).alias(n) for c, n in names.items()], *extra), key_names
 
 
 def _needs_split(left: DataFrame, right: DataFrame, how: str) -> bool:
@@ -61,15 +87,11 @@ def equi_join(
     names = distinct_names([*left.columns, *kept])
     left_out, right_out = names[: len(left.columns)], names[len(left.columns) :]
 
-    lefts, rights = [], []
-    for i, (a, b) in enumerate(zip(left_keys, right_keys, strict=True)):
-        x, y = _comparable(col(a.name), a.dataType, col(b.name), b.dataType)
-        lefts.append(x.alias(f"__lk{i}"))
-        rights.append(y.alias(f"__rk{i}"))
-    l_side = left.select(*[col(c).alias(n) for c, n in zip(left.columns, left_out, strict=True)], *lefts)
-    r_side = right.select(*[col(c).alias(n) for c, n in zip(kept, right_out, strict=True)], *rights)
-    lk = [f"__lk{i}" for i in range(len(lefts))]
-    rk = [f"__rk{i}" for i in range(len(rights))]
+    conversions = [_converted(left, a, b) for a, b in zip(left_keys, right_keys, strict=True)]
+    lks = [(f.name, x) for f, (x, _) in zip(left_keys, conversions, strict=True)]
+    rks = [(f.name, y) for f, (_, y) in zip(right_keys, conversions, strict=True)]
+    l_side, lk = _side(left, dict(zip(left.columns, left_out, strict=True)), lks, "l")
+    r_side, rk = _side(right, dict(zip(kept, right_out, strict=True)), rks, "r")
 
     if skew == "split" or (skew == "auto" and _needs_split(l_side, r_side, how)):
         joined = split_join(l_side, r_side, lk, rk, how, hot_rows)

@@ -91,7 +91,8 @@ def split_join(
 ) -> DataFrame:
     """``left how right`` on equal keys, exact, with hot keys spread over tasks.
 
-    Column names of the two sides must not overlap. The rows of a hot key are scattered on the
+    Column names of the two sides must not overlap and paired keys must have the same type, as
+    their hashes are compared. The rows of a hot key are scattered on the
     side where it is hot and repeated per salt on the other side. A repeated row finds its
     partners in some salts and none in others, so its unmatched copies are dropped and truly
     unmatched rows are added by an anti join over the hot keys alone.

@@ -68,6 +68,15 @@ def test_split_join_equals_plain_join(spark, a, b, how):
         assert values(equi_join(left, right, on, how, skew="split", hot_rows=hot_rows)) == plain
 
 
+@pytest.mark.parametrize(("a", "b"), [("int", "long"), ("long", "int"), ("int", "double"), ("int", "decimal(10,2)")])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_hot_keys_of_different_types_meet(spark, a, b, how):
+    left = spark.range(60).selectExpr(f"CAST(id % 3 AS {a}) AS k", "id AS l")
+    right = spark.range(40).selectExpr(f"CAST(id % 4 AS {b}) AS k", "id AS r")
+    split = equi_join(left, right, [("k", "k")], how, skew="split", hot_rows=5)
+    assert values(split) == values(equi_join(left, right, [("k", "k")], how))
+
+
 def test_hot_keys_are_found(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     seven = df.select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
