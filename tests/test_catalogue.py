@@ -6,14 +6,15 @@ import pytest
 from compare import differences
 
 import __spark_entry__ as contract
+import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, name):
-    assert differences(spark, FOLDER, contract.queries()[name], contract.oracle_sql()[name]) is None
+    assert differences(spark, FOLDER, catalogue.queries()[name], catalogue.oracle_sql()[name]) is None
 
 
 def test_entry(spark):
@@ -29,4 +30,4 @@ def test_preview(spark):
 
 
 def test_every_query_but_the_preview_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"row_preview"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"row_preview"}
