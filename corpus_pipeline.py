@@ -9,6 +9,11 @@ from tablewright.llm.catalogue import TOKENIZER
 from tablewright.llm.mixing import mix
 from tablewright.llm.packing import pack
 from tablewright.llm.shared import written
+from tablewright.llm.simhash import distinct_documents
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return distinct_documents(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +24,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("mixing", mixing), ("packing", packing)]
+STAGES = [("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
 #: Tokenisation and the learned scores have no SQL form; tests compare with brute force instead.
 ORACLE_SQL = None

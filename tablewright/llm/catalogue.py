@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.mixing import mix_plan
 from tablewright.llm.packing import pack
 from tablewright.llm.sharding import byte_shards
+from tablewright.llm.simhash import near_groups
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +23,11 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_groups(_table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_plan(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,7 +39,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op7_packing, op8_simhash, op9_mixing, op10_sharding)}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
