@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.llm.catalogue import TOKENIZER
 from tablewright.llm.mixing import mix
 from tablewright.llm.packing import pack
+from tablewright.llm.passages import without_repeats
 from tablewright.llm.shared import written
 from tablewright.llm.simhash import distinct_documents
 
@@ -16,6 +17,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return distinct_documents(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
@@ -24,7 +29,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+STAGES = [("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixing", mixing), ("packing", packing)]
 
 #: Tokenisation and the learned scores have no SQL form; tests compare with brute force instead.
 ORACLE_SQL = None

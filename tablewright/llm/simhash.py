@@ -219,16 +219,19 @@ def distinct_documents(docs: DataFrame, differences: int = 3, width: int = 3, se
     """One row of every near-duplicate group, with all its columns: that of the smallest (doc_id, fingerprint)."""
     groups = near_groups(docs, differences, width, seed).withColumn("group", F.coalesce("component_id", F.lit(LAST_ID)))
     kept = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "fp")).alias("kept"))
-    kept = kept.select(F.col("kept.id").alias("_id"), F.col("kept.fp").alias("_fp")).distinct()
+    kept = kept.select("kept.id", "kept.fp").distinct()
+    have = {c.lower(): c for c in docs.columns}
+    column = docs.columns.index(have["text"])
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.coalesce(docs[f"`{have['doc_id']}`"].cast("long"), F.lit(LAST_ID)).alias("id"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhashes(part, width, seed) for part in slices(batch[text])]
+            found = [simhashes(part, width, seed) for part in slices(batch["row"].field(column).cast(pa.string()))]
             if found:
-                yield batch.append_column("_fp", pa.array(np.concatenate(found).view(np.int64)))
+                yield batch.append_column("fp", pa.array(np.concatenate(found).view(np.int64)))
 
-    have = {c.lower(): c for c in docs.columns}
-    text = have["text"]
-    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    own = marked.withColumn("_id", F.coalesce(F.col(f"`{have['doc_id']}`").cast("long"), F.lit(LAST_ID)))
-    return own.join(kept, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select(*[f"`{c}`" for c in docs.columns])
+    marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    return marked.join(kept, ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"]).select("row.*")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U64 = np.uint64
 
 #: Separators of words: ASCII space and the characters 9 to 13.

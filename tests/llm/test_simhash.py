@@ -9,7 +9,7 @@ from tablewright.llm import simhash
 from tablewright.llm.components import components
 from tablewright.llm.texts import slices
 
-DOCS = "doc_id long, text string, source string, fp int"
+DOCS = "doc_id long, text string, source string, fp int"  # fp clashes with a name of the operator
 
 
 def plain_fingerprint(text):
