@@ -9,10 +9,15 @@ from tablewright.llm.catalogue import TOKENIZER
 from tablewright.llm.mixing import mix
 from tablewright.llm.packing import pack
 from tablewright.llm.passages import without_repeats
+from tablewright.llm.quality import good_documents
 from tablewright.llm.shared import written
 from tablewright.llm.simhash import distinct_documents
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_documents(docs)
 
@@ -29,7 +34,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixing", mixing), ("packing", packing)]
 
 #: Tokenisation and the learned scores have no SQL form; tests compare with brute force instead.
 ORACLE_SQL = None

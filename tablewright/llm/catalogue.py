@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.mixing import mix_plan
 from tablewright.llm.packing import pack
 from tablewright.llm.passages import kept_words
+from tablewright.llm.quality import quality_scores
 from tablewright.llm.sharding import byte_shards
 from tablewright.llm.simhash import near_groups
 
@@ -24,6 +25,10 @@ def op1_passages(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -45,7 +50,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_passages, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_passages, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
