@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,39 +17,63 @@ from tablewright.llm.shared import LAST_ID, pick
 from tablewright.llm.texts import Slice, Words, mixed, slices, span_hashes, windows, word_hashes, words
 
 _U64 = np.uint64
-#: Rows of the sketch, and the most bits of a cell number: two bitmaps of 64 MiB are the most that is broadcast.
+#: Rows of the sketch, and the most bits of a cell number: two or three bitmaps of 64 MiB are the most
+#: that is broadcast.
 DEPTH = 2
 MOST_BITS = 29
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 22
 #: Windows a task gathers before it hands out its part of the sketch.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Groups of windows up to this estimate are put into one task whole; larger ones are aggregated first.
 HOT = 4096
 
 
-@dataclass
 class Sketch:
-    """For every row, whether a cell was counted at least twice (packed bits); and of row 0, whether it is hot."""
+    """For every row, whether a cell was counted at least twice; and of row 0, whether it is hot.
 
-    bits: int
-    repeated: list[np.ndarray]
-    hot: np.ndarray | None
+    It travels as the compressed blocks the tasks made and is unpacked, one bit a cell, where it is used.
+    """
 
-    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
-        return (mixed(hashes, 20 + row) >> _U64(64 - self.bits)).astype(np.int64)
+    def __init__(self, bits: int, block_bits: int, blocks: dict[tuple[int, int], tuple[bytes, bytes | None]]):
+        self.bits, self.block_bits, self.blocks = bits, block_bits, blocks
+        self.any_hot = any(often is not None for _, often in blocks.values())
+        self._maps: list[np.ndarray] | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.bits, self.block_bits, self.blocks
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+        self._unpack()
+        self.blocks = {}
+
+    def _unpack(self) -> list[np.ndarray]:
+        if self._maps is None:
+            step = (1 << self.block_bits) // 8
+            self._maps = [np.zeros((1 << self.bits) // 8, np.uint8) for _ in range(DEPTH + self.any_hot)]
+            for (row, block), (repeated, often) in self.blocks.items():
+                span = slice(block * step, (block + 1) * step)
+                self._maps[row][span] = np.frombuffer(zlib.decompress(repeated), np.uint8)
+                if often is not None:
+                    self._maps[DEPTH][span] = np.frombuffer(zlib.decompress(often), np.uint8)
+        return self._maps
 
     def estimated_repeated(self, hashes: np.ndarray) -> np.ndarray:
         """Places of windows whose estimated count is two or more: all that are, and a few that aren't."""
         left = np.arange(len(hashes))
-        for row, bitmap in enumerate(self.repeated):
-            left = left[_bit(bitmap, self.cells(hashes[left], row))]
+        for row, bitmap in enumerate(self._unpack()[:DEPTH]):
+            left = left[_bit(bitmap, _cells(hashes[left], row, self.bits))]
         return left
 
     def estimated_hot(self, hashes: np.ndarray) -> np.ndarray:
-        if self.hot is None:
+        if not self.any_hot:
             return np.zeros(len(hashes), bool)
-        return _bit(self.hot, self.cells(hashes, 0))
+        return _bit(self._unpack()[DEPTH], _cells(hashes, 0, self.bits))
+
+
+def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (mixed(hashes, 20 + row) >> _U64(64 - bits)).astype(np.int64)
 
 
 def _bit(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -90,14 +113,13 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
     block_bits = min(BLOCK_BITS, bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Sketch(bits, [], None)
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes = np.concatenate(held)
             held.clear()
             for row in range(DEPTH):
-                cells = np.sort(shape.cells(hashes, row))
+                cells = np.sort(_cells(hashes, row, bits))
                 block = cells >> block_bits
                 first = np.flatnonzero(np.diff(block, prepend=-1))
                 parts = [_deltas(c - (int(c[0]) >> block_bits << block_bits)) for c in np.split(cells, first[1:])]
@@ -143,14 +165,10 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
     parts = parts.repartition("row", "block").sortWithinPartitions("row", "block")
     merged = parts.mapInArrow(merge, "row int, block int, repeated binary, often binary, any boolean")
 
-    size, step = (1 << bits) // 8, (1 << block_bits) // 8
-    repeated, often, any_hot = [np.zeros(size, np.uint8) for _ in range(DEPTH)], np.zeros(size, np.uint8), False
+    blocks = {}
     for r in merged.toLocalIterator():
-        span = slice(r["block"] * step, (r["block"] + 1) * step)
-        repeated[r["row"]][span] = np.frombuffer(zlib.decompress(r["repeated"]), np.uint8)
-        if r["any"]:
-            often[span], any_hot = np.frombuffer(zlib.decompress(r["often"]), np.uint8), True
-    return Sketch(bits, repeated, often if any_hot else None)
+        blocks[r["row"], r["block"]] = (bytes(r["repeated"]), bytes(r["often"]) if r["any"] else None)
+    return Sketch(bits, block_bits, blocks)
 
 
 def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> DataFrame:
@@ -192,7 +210,7 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT) -> DataFr
     group = Window.partitionBy("h", "g")
     few = _candidates(docs, shared, width, hot=False).withColumn("low", F.min("id").over(group))
     later = few.filter("id > low").select("id", "tag", "place")
-    if sketch.hot is not None:
+    if sketch.any_hot:
         many = _candidates(docs, shared, width, hot=True)
         lows = many.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
         later = later.union(many.join(lows, ["h", "g"]).filter("id > low").select("id", "tag", "place"))
@@ -209,31 +227,31 @@ def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
         (F.crc32(F.coalesce(text, F.lit(""))) - 2**31).cast("int").alias("tag"),
         text.alias("text"),
     )
+    if named.groupBy("id").count().filter("count > 1").isEmpty():
+        named = named.withColumn("tag", F.lit(0))  # ids tell rows apart; nothing more has to be shuffled
     found = repeated_windows(named.select("id", "tag", "text"), width, hot)
     joined = named.drop("text").join(found, ["id", "tag"], "left").select("row", "places")
     column = docs.columns.index(have["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch["places"].to_pylist()
-            kept, counts, removed = [], [], []
             for part in slices(batch["row"].field(column).cast(pa.string())):
                 found = words(part)
                 raw = part.data.tobytes()
-                for i, n in enumerate(found.counts.tolist()):
-                    own = places[part.first + i]
+                kept, removed = [], []
+                for i, own in enumerate(batch["places"].slice(part.first, len(part))):
+                    first, n = int(found.first[i]), int(found.counts[i])
                     stay = np.ones(n, bool)
-                    if own:
-                        cover = np.zeros(n + 1, np.int64)
-                        np.add.at(cover, own, 1)
-                        np.add.at(cover, np.minimum(np.array(own) + width, n), -1)
+                    if own.is_valid:
+                        places = own.values.to_numpy()
+                        cover = np.bincount(places, minlength=n + 1) - np.bincount(np.minimum(places + width, n), minlength=n + 1)
                         stay = np.cumsum(cover)[:n] <= 0
-                    at = np.flatnonzero(stay) + int(found.first[i])
+                    at = np.flatnonzero(stay) + first
                     kept.append(b" ".join([raw[a:b] for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)]))
-                    counts.append(n)
                     removed.append(n - len(at))
-            out = [pa.array(kept, pa.binary()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch["row"], *out], names=["row", "kept", "n_words", "n_removed"])
+                out = [pa.array(kept, pa.binary()), pa.array(found.counts, pa.int64()), pa.array(removed, pa.int64())]
+                own_rows = batch["row"].slice(part.first, len(part))
+                yield pa.RecordBatch.from_arrays([own_rows, *out], names=["row", "kept", "n_words", "n_removed"])
 
     fields = [*joined.schema.fields[:1], StructField("kept", BinaryType())]
     fields += [StructField(n, LongType()) for n in ("n_words", "n_removed")]
