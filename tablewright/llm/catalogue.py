@@ -10,6 +10,7 @@ from tablewright.llm.mixing import mix_plan
 from tablewright.llm.packing import pack
 from tablewright.llm.passages import kept_words
 from tablewright.llm.quality import quality_scores
+from tablewright.llm.search import nearest_embeddings
 from tablewright.llm.sharding import byte_shards
 from tablewright.llm.simhash import near_groups
 
@@ -25,6 +26,10 @@ def op1_passages(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op2_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_embeddings(_table(spark, folder, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -50,12 +55,22 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_passages, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 ORACLES = {
+    "op2_search": """
+        WITH scaled AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM scaled q JOIN scaled c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5""",
     "op9_mixing": rf"""
         WITH sized AS (
             SELECT doc_id, source, text, {_SIZE} AS size,
