@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.mixing import mix_plan
+from tablewright.llm.multiset import edit_likeness
 from tablewright.llm.packing import pack
 from tablewright.llm.passages import kept_words
 from tablewright.llm.quality import quality_scores
@@ -30,6 +31,10 @@ def op2_search(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_embeddings(_table(spark, folder, "embeddings"))
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_likeness(_table(spark, folder, "documents"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
