@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.archives import archive_pages
 from tablewright.llm.mixing import mix_plan
 from tablewright.llm.multiset import edit_likeness
 from tablewright.llm.packing import pack
@@ -35,6 +36,10 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_likeness(_table(spark, folder, "documents"))
 
 
+def op4_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(_table(spark, folder, "pages"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -60,7 +65,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, op4_archives, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -76,6 +81,17 @@ ORACLES = {
             FROM scaled q JOIN scaled c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5""",
+    "op4_archives": """
+        WITH hashed AS (
+            SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+        grouped AS (
+            SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest,
+                   CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS first
+            FROM hashed)
+        SELECT page_id, payload_bytes, digest AS payload_digest,
+               CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+        FROM grouped""",
     "op9_mixing": rf"""
         WITH sized AS (
             SELECT doc_id, source, text, {_SIZE} AS size,
