@@ -172,7 +172,8 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
 
 
 def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> DataFrame:
-    """Windows estimated repeated (hot or not): 96 bits of hash, document, text checksum, first word."""
+    """Windows estimated repeated (hot or not), one row to a document: 96 bits of hash, document, tag, first
+    word; and, if the window comes more than once in its document, the first words of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Sketch = sketch.value
@@ -186,14 +187,20 @@ def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> Da
                 left = left[known.estimated_hot(hashes[left]) == hot]
                 if not len(left):
                     continue
-                at, text = at[left], text[left]
-                second = span_hashes(mixed(values, 3), at, at + width, 1)
-                row = text + part.first
-                out = (hashes[left].view(np.int64), (second >> _U64(32)).astype(np.uint32).view(np.int32), ids[row], tags[row])
-                place = (at - found.first[text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, place)], names=["h", "g", "id", "tag", "place"])
+                order = left[np.lexsort((text[left], hashes[left]))]
+                h, t = hashes[order], text[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
+                begin = (at[order] - found.first[t]).astype(np.int32)
+                others = np.diff(np.r_[first, len(order)]) - 1
+                rest = np.delete(begin, first)
+                offsets = np.r_[0, np.cumsum(others)].astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[others == 0, False]), pa.array(rest))
+                second = span_hashes(mixed(values, 3), at[order[first]], at[order[first]] + width, 1)
+                row = t[first] + part.first
+                out = (h[first].view(np.int64), (second >> _U64(32)).astype(np.uint32).view(np.int32), ids[row], tags[row], begin[first])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in out], more], names=["h", "g", "id", "tag", "place", "more"])
 
-    return docs.mapInArrow(run, "h long, g int, id long, tag int, place int")
+    return docs.mapInArrow(run, "h long, g int, id long, tag int, place int, more array<int>")
 
 
 def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT) -> DataFrame:
@@ -209,12 +216,13 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     group = Window.partitionBy("h", "g")
     few = _candidates(docs, shared, width, hot=False).withColumn("low", F.min("id").over(group))
-    later = few.filter("id > low").select("id", "tag", "place")
+    later = few.filter("id > low").select("id", "tag", "place", "more")
     if sketch.any_hot:
         many = _candidates(docs, shared, width, hot=True)
         lows = many.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
-        later = later.union(many.join(lows, ["h", "g"]).filter("id > low").select("id", "tag", "place"))
-    return later.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
+        later = later.union(many.join(lows, ["h", "g"]).filter("id > low").select("id", "tag", "place", "more"))
+    all_places = F.flatten(F.collect_list(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))))
+    return later.groupBy("id", "tag").agg(all_places.alias("places"))
 
 
 def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
