@@ -15,6 +15,7 @@ from tablewright.llm.quality import quality_scores
 from tablewright.llm.search import nearest_embeddings
 from tablewright.llm.sharding import byte_shards
 from tablewright.llm.simhash import near_groups
+from tablewright.llm.toxicity import toxicity_scores
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -44,6 +45,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -65,7 +70,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, op4_archives, op5_quality, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, op4_archives, op5_quality, op6_toxicity, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
