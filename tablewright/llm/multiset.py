@@ -21,8 +21,9 @@ SHINGLE = 5
 LANES = 128
 #: Bytes of a fingerprint: the exact words, then the counters, little-endian.
 BYTES = 8 * EXACT + 2 * LANES
-#: Texts of a document partition, about; only their number decides how many partitions there are.
-PER_TASK = 20_000
+#: Documents of a range, about. Small ranges spread evenly over tasks; there are at most MOST_PARTS of them.
+PER_TASK = 5_000
+MOST_PARTS = 100_000
 
 
 def fingerprint_arrays(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,7 @@ def edit_likeness(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     ids = rows.select("id")
     n, lowest = ids.agg(F.count("*"), F.min("id")).first()
     spark = docs.sparkSession
-    wanted = max(1, -(-n // per_task))
+    wanted = min(MOST_PARTS, max(1, -(-n // per_task)))
     bounds = sorted(set(_bounds(ids, wanted)) - {lowest}) if n else []
     first, cuts = lowest or 0, np.array(bounds, np.int64)
     parts = len(bounds) + 1

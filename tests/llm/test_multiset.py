@@ -58,7 +58,7 @@ def test_likeness_follows_what_is_shared():
     assert same == 1
 
 
-@pytest.mark.parametrize("per_task", [20_000, 4])
+@pytest.mark.parametrize("per_task", [5_000, 4])
 def test_like_brute_force(spark, per_task):
     rows = [(i * 3 % 41, " ".join(WORDS[i : i + 3 * i]) + "\nü" * (i % 3)) for i in range(41)]
     rows += [(None, "null id"), (None, None), (7, "again"), (7, "again"), (20, None), (20, ""), (-5, "first of all, and long enough to lend")]
