@@ -4,8 +4,9 @@ from catalogue.registry import query
 from tablewright import Pivot
 
 
-def flags(using, value="l_quantity", source="lineitem"):
-    return f"SELECT * FROM (PIVOT {source} ON l_linestatus USING {using} GROUP BY l_suppkey, l_returnflag)"
+# The values are listed, so that each statement can be stored as a view.
+def flags(using, source="lineitem"):
+    return f"SELECT * FROM (PIVOT {source} ON l_linestatus IN ('F', 'O') USING {using} GROUP BY l_suppkey, l_returnflag)"
 
 
 for how in ("sum", "avg", "min", "max"):
@@ -21,7 +22,7 @@ SPARSE = ("l_suppkey", "l_partkey", "l_linestatus", "nullif(l_tax, 0.02) AS tax"
 
 @query(
     "pivot_count",
-    f"""SELECT * FROM (PIVOT (SELECT {', '.join(SPARSE)} FROM lineitem) ON l_linestatus USING count(tax)
+    f"""SELECT * FROM (PIVOT (SELECT {', '.join(SPARSE)} FROM lineitem) ON l_linestatus IN ('F', 'O') USING count(tax)
         GROUP BY l_partkey)""",
 )
 def _(t):
@@ -35,7 +36,7 @@ def _(t):
 
 @query(
     "pivot_multi",
-    """SELECT * FROM (PIVOT lineitem ON l_returnflag
+    """SELECT * FROM (PIVOT lineitem ON l_returnflag IN ('A', 'N', 'R')
          USING sum(l_quantity), count(l_quantity), max(l_extendedprice) GROUP BY l_suppkey)""",
 )
 def _(t):
@@ -45,7 +46,7 @@ def _(t):
 
 @query(
     "pivot_repeated",
-    """SELECT * FROM (PIVOT orders ON o_orderstatus USING max(o_totalprice), max(o_totalprice)
+    """SELECT * FROM (PIVOT orders ON o_orderstatus IN ('F', 'O', 'P') USING max(o_totalprice), max(o_totalprice)
          GROUP BY o_orderpriority)""",
 )
 def _(t):
@@ -58,7 +59,7 @@ NARROW = ("l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
 
 @query(
     "pivot_no_index",
-    f"SELECT * FROM (PIVOT (SELECT {', '.join(NARROW)} FROM lineitem) ON l_linestatus USING sum(l_quantity))",
+    f"SELECT * FROM (PIVOT (SELECT {', '.join(NARROW)} FROM lineitem) ON l_linestatus IN ('F', 'O') USING sum(l_quantity))",
 )
 def _(t):
     return Pivot("l_linestatus", {"l_quantity": ("sum",)}).apply(t("lineitem", *NARROW))
@@ -69,7 +70,7 @@ NULL_KEY = ("l_suppkey", "nullif(l_returnflag, 'R') AS flag", "l_quantity")
 
 @query(
     "pivot_null_key",
-    f"""SELECT * FROM (PIVOT (SELECT {', '.join(NULL_KEY)} FROM lineitem) ON flag
+    f"""SELECT * FROM (PIVOT (SELECT {', '.join(NULL_KEY)} FROM lineitem) ON flag IN ('A', 'N')
         USING sum(l_quantity), count(l_quantity) GROUP BY l_suppkey)""",
 )
 def _(t):
@@ -81,8 +82,13 @@ DAYS = ("user_id", "event_type", "CAST(ts AS DATE) AS day")
 
 @query(
     "pivot_dates",
-    f"""SELECT * FROM (PIVOT (SELECT {', '.join(DAYS)} FROM events) ON day USING count(event_type)
-        GROUP BY user_id)""",
+    f"""WITH days AS (SELECT {', '.join(DAYS)} FROM events)
+        SELECT u.user_id, CAST(d.day AS VARCHAR) AS day, count(e.event_type) AS n
+        FROM (SELECT DISTINCT user_id FROM days) u CROSS JOIN (SELECT DISTINCT day FROM days) d
+        LEFT JOIN days e ON e.user_id = u.user_id AND e.day = d.day
+        GROUP BY u.user_id, d.day""",
 )
 def _(t):
-    return Pivot("day", {"event_type": ("count",)}, ("user_id",)).apply(t("events", *DAYS))
+    # One row per cell, since the days are not known when the statement is written.
+    wide = Pivot("day", {"event_type": ("count",)}, ("user_id",)).apply(t("events", *DAYS))
+    return wide.unpivot("user_id", wide.columns[1:], "day", "n")

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +16,12 @@ from pyspark.sql import types as T
 from tablewright.errors import PlanError
 from tablewright.naming import col, distinct_names, field_of
 from tablewright.operators.casts import plain_cast
-from tablewright.operators.skew import HOT_ROWS, plan_bytes, split_join
+from tablewright.operators.skew import equal_keys, split_join
 
 # The join types.
 JOIN_TYPES = ("inner", "left", "right", "full")
-
-# A side AQE cannot split is searched for hot keys above this estimated size.
-SPLIT_ABOVE_BYTES = 8 << 30
+# How an outer join is built: see ``equi_join``.
+SKEW = ("auto", "plain", "split")
 
 
 def _common_type(df: DataFrame, left: T.DataType, right: T.DataType) -> T.DataType:
@@ -61,11 +58,6 @@ def _side(df: DataFrame, names: dict[str, str], keys: list[tuple[str, Column | N
     return df.select(*[col(c).alias(n) for c, n in names.items()], *extra), key_names
 
 
-def _needs_split(left: DataFrame, right: DataFrame, how: str) -> bool:
-    fixed = {"inner": (), "left": (right,), "right": (left,), "full": (left, right)}[how]
-    return any((plan_bytes(side) or 0) > SPLIT_ABOVE_BYTES for side in fixed)
-
-
 def equi_join(
     left: DataFrame,
     right: DataFrame,
@@ -73,13 +65,14 @@ def equi_join(
     how: str = "inner",
     keep: str | Sequence[str] = "all",
     skew: str = "auto",
-    hot_rows: int = HOT_ROWS,
+    unique: Sequence[str] = (),
 ) -> DataFrame:
     """All left columns, then all right columns; both copies of a key are kept.
 
     A repeated name gets ``_1``, ``_2``…. NULL keys never match. ``keep`` prunes the right side.
-    ``skew="split"`` spreads the keys with more than ``hot_rows`` rows; ``"auto"`` does so for a
-    large side that AQE cannot split.
+    ``skew="split"`` composes an outer join of an inner and anti joins, which AQE can split on hot
+    keys; ``"plain"`` leaves it as it is. ``"auto"`` is plain where the side that AQE cannot split
+    has no hot key, since its join key is known to be ``unique`` ("left", "right").
     """
     left_keys = [field_of(left, a) for a, _ in on]
     right_keys = [field_of(right, b) for _, b in on]
@@ -93,10 +86,11 @@ def equi_join(
     l_side, lk = _side(left, dict(zip(left.columns, left_out, strict=True)), lks, "l")
     r_side, rk = _side(right, dict(zip(kept, right_out, strict=True)), rks, "r")
 
-    if skew == "split" or (skew == "auto" and _needs_split(l_side, r_side, how)):
-        joined = split_join(l_side, r_side, lk, rk, how, hot_rows)
+    fixed = {"inner": (), "left": ("right",), "right": ("left",), "full": ("left", "right")}[how]
+    if skew == "split" or (skew == "auto" and not set(fixed) <= set(unique)):
+        joined = split_join(l_side, r_side, lk, rk, how)
     else:
-        joined = l_side.join(r_side, reduce(and_, [col(a) == col(b) for a, b in zip(lk, rk, strict=True)]), how)
+        joined = l_side.join(r_side, equal_keys(lk, rk), how)
     return joined.select([col(n) for n in names])
 
 
@@ -110,7 +104,8 @@ class Join:
     use_transformed: bool = False
     keep_columns: str | tuple[str, ...] = "all"
     skew: str = "auto"
-    hot_rows: int = HOT_ROWS
+    # Sides ("left", "right") in which no two rows have the same join key.
+    unique: tuple[str, ...] = ()
 
     kind = "join"
     tail_rank = 0
@@ -121,6 +116,8 @@ class Join:
             raise PlanError("a join needs a right table")
         if self.how not in JOIN_TYPES:
             raise PlanError(f"unknown join type {self.how!r}; use one of {JOIN_TYPES}")
+        if self.skew not in SKEW:
+            raise PlanError(f"unknown skew {self.skew!r}; use one of {SKEW}")
         pairs = tuple((a, b) for a, b in self.on)
         if not pairs or not all(a and b for a, b in pairs):
             raise PlanError("a join needs at least one (left column, right column) pair")
@@ -131,11 +128,15 @@ class Join:
 
     def apply_with_lineage(self, df: DataFrame, tables=None) -> tuple[DataFrame, str | None]:
         """The joined table and the id of the transformed output it read, if any."""
+        unique = self.unique
         if isinstance(self.right, DataFrame):
             right, consumed = self.right, None
         elif tables is None:
             raise PlanError(f"no workspace to find table {self.right!r} in")
         else:
             right, consumed = tables.resolve(self.right, "transformed" if self.use_transformed else "raw")
-        joined = equi_join(df, right, self.on, self.how, self.keep_columns, self.skew, self.hot_rows)
+            key = None if self.use_transformed else tables.unique_key(self.right)
+            if key is not None and key.lower() in {b.lower() for _, b in self.on}:
+                unique = (*unique, "right")
+        joined = equi_join(df, right, self.on, self.how, self.keep_columns, self.skew, unique)
         return joined, consumed

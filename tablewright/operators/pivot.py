@@ -18,11 +18,6 @@ AGGREGATIONS = ("sum", "avg", "min", "max", "count")
 _AGGREGATE = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 _PIVOT = "__pivot"
 
-# Up to this many output cells, each is a conditional aggregate: one shuffle of one row per index
-# tuple and task. Beyond, Spark's pivot first aggregates per (index, value): two shuffles, but no
-# row is tested against every value.
-FEW_CELLS = 24
-
 
 def pivot_values(df: DataFrame, column: str) -> list[str]:
     """The distinct non-null values as text, sorted. They become column names, so their number is
@@ -72,16 +67,10 @@ def pivot(
     )
     keys = [f"__g{i}" for i in range(len(groups))]
     slots = {(v, pair): f"__c{i}_{j}" for i, v in enumerate(values) for j, pair in enumerate(unique)}
-    if len(slots) <= FEW_CELLS:
-        aggs = [
-            _AGGREGATE[how](F.when(F.col(_PIVOT) == value, col(name))).alias(slot)
-            for (value, (name, how)), slot in slots.items()
-        ]
-        wide = narrow.groupBy(keys).agg(*aggs)
-    else:
-        aggs = [_AGGREGATE[how](col(name)).alias(f"a{j}") for j, (name, how) in enumerate(unique)]
-        # Cells are addressed by position: values that differ only in case are legal.
-        wide = narrow.groupBy(keys).pivot(_PIVOT, list(values)).agg(*aggs).toDF(*keys, *slots.values())
+    aggs = [_AGGREGATE[how](col(name)).alias(f"a{j}") for j, (name, how) in enumerate(unique)]
+    # Spark first aggregates per (index, value), so no row is tested against every value. Cells are addressed
+    # by position: values that differ only in case are legal.
+    wide = narrow.groupBy(keys).pivot(_PIVOT, list(values)).agg(*aggs).toDF(*keys, *slots.values())
 
     cells: list[tuple[str, Column]] = []
     for value in values:

@@ -1,10 +1,10 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
+"""Outer joins that stay balanced when one key holds a large share of the rows.
 
-AQE splits an oversized partition of a shuffled join, but only on a side whose rows it may
-process apart: either side of an inner join, the kept side of an outer join. The other side of
-an outer join, and both sides of a full join, keep a hot key in one task. ``split_join`` covers
-these: it finds the hot keys with a mergeable sketch, joins all other keys as usual, and spreads
-the rows of the hot keys over salts. The result equals the plain join.
+AQE splits an oversized partition of a shuffled join on either side of an inner join and on the kept side of
+an anti join, but not on the other side of an outer join, nor on any side of a full join. An outer join is
+therefore composed of joins that it can split: the inner join, and the rows without a partner, found by an
+anti join against the other side's distinct keys, of which none is hot. Rows with a NULL key have no partner
+and skip the shuffle. The result equals the plain join, and nothing about the data has to be known.
 """
 
 from __future__ import annotations
@@ -17,121 +17,24 @@ from pyspark.sql import functions as F
 
 from tablewright.naming import col
 
-# A key with more rows than this is hot, and one salt of it holds about as many.
-HOT_ROWS = 1_000_000
-# Keys a sketch tracks; one holding more than about 3.5 / TRACKED of the rows is always found.
-TRACKED = 20_000
-MAX_HOT = 5_000
-# Rows with a NULL key match nothing and need no partner, so they may go anywhere.
-NULL_SALTS = 4_096
 
+def equal_keys(left_keys: list[str], right_keys: list[str]) -> Column:
+    return reduce(and_, [col(a) == col(b) for a, b in zip(left_keys, right_keys, strict=True)])
 
-def _key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*[col(k) for k in keys])
 
+def split_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str) -> DataFrame:
+    """``left how right`` on equal keys. Column names of the two sides must not overlap."""
+    parts = [left.join(right, equal_keys(left_keys, right_keys), "inner")]
+    if how in ("left", "full"):
+        parts += _unmatched(left, right, left_keys, right_keys)
+    if how in ("right", "full"):
+        parts += _unmatched(right, left, right_keys, left_keys)
+    return reduce(lambda whole, part: whole.unionByName(part, allowMissingColumns=True), parts)
 
-def _all_present(keys: list[str]) -> Column:
-    return reduce(and_, [col(k).isNotNull() for k in keys])
 
-
-def _row_hash(df: DataFrame) -> Column:
-    """A number that depends only on the row and its input partition, so a task that is run again
-    after a lost executor sends every row to the same place."""
-    hashable = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*hashable, F.spark_partition_id())
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
-    """Hashes of the keys with more than ``hot_rows`` rows, and the number of salts for each: a
-    power of four that leaves at most ``hot_rows`` rows per salt. At most ``MAX_HOT`` entries.
-
-    One pass over the key columns with a frequent-items sketch, merged without a shuffle by key.
-    The sketch decides only how rows are spread; a missed or extra key changes no result.
-    """
-    rows = df.filter(_all_present(keys)).select(_key_hash(keys).alias("h"))
-    top = rows.agg(F.expr(f"approx_top_k(h, {MAX_HOT}, {TRACKED})").alias("top")).first()["top"]
-    hot = {}
-    for item in top or []:
-        if item["count"] > hot_rows:
-            salts = 4
-            while salts * hot_rows < item["count"]:
-                salts *= 4
-            hot[item["item"]] = salts
-    return hot
-
-
-def _salts_of(h: Column, hot: dict[int, int], default: Column) -> Column:
-    """The number of salts of a key hash: one set lookup per power of four in use."""
-    out = default
-    for salts in sorted(set(hot.values())):
-        out = F.when(h.isin([k for k, n in hot.items() if n == salts]), salts).otherwise(out)
-    return out
-
-
-def _salted(df: DataFrame, keys: list[str], spread: dict[int, int], repeat: dict[int, int], tag: str) -> DataFrame:
-    """Add a salt ``{tag}s``: rows of ``spread`` keys and NULL keys get one of many, rows of
-    ``repeat`` keys appear once per salt, all others get salt 0. ``{tag}r`` marks the repeated."""
-    h, present = _key_hash(keys), _all_present(keys)
-    one = F.pmod(_row_hash(df), F.when(present, _salts_of(h, spread, F.lit(1))).otherwise(NULL_SALTS)).cast("int")
-    if not repeat:
-        return df.select("*", F.lit(False).alias(f"{tag}r"), one.alias(f"{tag}s"))
-    repeated = h.isin(list(repeat)) & present
-    every = F.sequence(F.lit(0), _salts_of(h, repeat, F.lit(1)) - 1)
-    salt = F.when(repeated, every).otherwise(F.array(one))
-    return df.select("*", repeated.alias(f"{tag}r"), F.explode(salt).alias(f"{tag}s"))
-
-
-def split_join(
-    left: DataFrame,
-    right: DataFrame,
-    left_keys: list[str],
-    right_keys: list[str],
-    how: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``left how right`` on equal keys, exact, with hot keys spread over tasks.
-
-    Column names of the two sides must not overlap and paired keys must have the same type, as
-    their hashes are compared. The rows of a hot key are scattered on the
-    side where it is hot and repeated per salt on the other side. A repeated row finds its
-    partners in some salts and none in others, so its unmatched copies are dropped and truly
-    unmatched rows are added by an anti join over the hot keys alone.
-    """
-    # AQE splits the kept side of an outer join by itself; only the other side is searched.
-    hot_left = hot_keys(left, left_keys, hot_rows) if how != "left" else {}
-    hot_right = hot_keys(right, right_keys, hot_rows) if how != "right" else {}
-    hot_right = {h: n for h, n in hot_right.items() if h not in hot_left}
-    l_side = _salted(left, left_keys, hot_left, hot_right, "__l")
-    r_side = _salted(right, right_keys, hot_right, hot_left, "__r")
-    on = [col(a) == col(b) for a, b in zip(left_keys, right_keys, strict=True)]
-    joined = l_side.join(r_side, reduce(and_, [*on, F.col("__ls") == F.col("__rs")]), how)
-    columns = [col(c) for c in (*left.columns, *right.columns)]
-
-    extra = []
-    if hot_right and how in ("left", "full"):
-        joined = joined.filter(~(F.coalesce("__lr", F.lit(False)) & F.col("__rs").isNull()))
-        extra.append(_unmatched(left, right, left_keys, right_keys, list(hot_right)))
-    if hot_left and how in ("right", "full"):
-        joined = joined.filter(~(F.coalesce("__rr", F.lit(False)) & F.col("__ls").isNull()))
-        extra.append(_unmatched(right, left, right_keys, left_keys, list(hot_left)))
-    return reduce(
-        lambda whole, piece: whole.unionByName(piece, allowMissingColumns=True), extra, joined.select(columns)
-    )
-
-
-def _unmatched(rows, other, keys, other_keys, hashes) -> DataFrame:
-    """Rows of the given keys without a partner. The partner keys shrink to one row per key
-    before they are shuffled."""
-    rows = rows.filter(_key_hash(keys).isin(hashes) & _all_present(keys))
-    other = other.filter(_key_hash(other_keys).isin(hashes))
+def _unmatched(rows: DataFrame, other: DataFrame, keys: list[str], other_keys: list[str]) -> list[DataFrame]:
+    """Rows whose key is NULL, and rows whose key the other side does not have."""
+    present = reduce(and_, [col(k).isNotNull() for k in keys])
     partners = other.select([col(k).alias(f"__p{i}") for i, k in enumerate(other_keys)]).distinct()
     on = reduce(and_, [col(k) == F.col(f"__p{i}") for i, k in enumerate(keys)])
-    return rows.join(partners, on, "left_anti")
-
-
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - a Connect session has no JVM plan
-        return None
+    return [rows.filter(~present), rows.filter(present).join(partners, on, "left_anti")]

@@ -29,6 +29,9 @@ class Workspace:
         self._steps[name] = tuple(steps)
         return self
 
+    def has_frame(self, name: str) -> bool:
+        return name in self._frames
+
     def names(self) -> list[str]:
         stored = self.store.names() if self.store else []
         return sorted({*self._frames, *self._steps, *stored})
@@ -77,6 +80,13 @@ class TableView:
     def raw(self, name: str) -> DataFrame:
         return self.workspace.raw(name)
 
+    def unique_key(self, name: str) -> str | None:
+        """The key of a stored table, which no two of its rows share; None for a frame."""
+        store = self.workspace.store
+        if store is None or self.workspace.has_frame(name) or name not in store.names():
+            return None
+        return store.spec(name).key
+
     def resolve(self, name: str, mode: str = "raw") -> tuple[DataFrame, str | None]:
         """The table and, for a transformed one, the identity of the output that is read.
 

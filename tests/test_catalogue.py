@@ -23,11 +23,5 @@ def test_entry(spark):
     assert df.columns[4] == "quantity"
 
 
-def test_preview(spark):
-    df = contract.queries()["row_preview"](spark, FOLDER)
-    assert df.count() == 200
-    assert df.exceptAll(spark.read.parquet(f"{FOLDER}/lineitem.parquet")).count() == 0
-
-
-def test_every_query_but_the_preview_has_sql():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"row_preview"}
+def test_every_query_has_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())

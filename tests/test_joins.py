@@ -8,7 +8,6 @@ from tablewright import Filter, Join, Pivot, Rename, TableSpec, TableStore, Work
 from tablewright.errors import PlanError, TransformedCycleError, UnknownColumnError
 from tablewright.naming import transformed_id
 from tablewright.operators.joins import equi_join
-from tablewright.operators.skew import hot_keys
 from tablewright.plans.run import effective_columns
 
 
@@ -63,34 +62,57 @@ def test_split_join_equals_plain_join(spark, a, b, how):
     left = spark.createDataFrame([(k, i) for i, k in enumerate(a)], "k int, l int")
     right = spark.createDataFrame([(k, i) for i, k in enumerate(b)], "k int, r int")
     on = [("k", "k")]
-    plain = values(equi_join(left, right, on, how))
-    for hot_rows in (1, 4, 1000):
-        assert values(equi_join(left, right, on, how, skew="split", hot_rows=hot_rows)) == plain
+    assert values(equi_join(left, right, on, how, skew="split")) == values(equi_join(left, right, on, how, skew="plain"))
 
 
 @pytest.mark.parametrize(("a", "b"), [("int", "long"), ("long", "int"), ("int", "double"), ("int", "decimal(10,2)")])
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
-def test_hot_keys_of_different_types_meet(spark, a, b, how):
+def test_keys_of_different_types_meet(spark, a, b, how):
     left = spark.range(60).selectExpr(f"CAST(id % 3 AS {a}) AS k", "id AS l")
     right = spark.range(40).selectExpr(f"CAST(id % 4 AS {b}) AS k", "id AS r")
-    split = equi_join(left, right, [("k", "k")], how, skew="split", hot_rows=5)
-    assert values(split) == values(equi_join(left, right, [("k", "k")], how))
+    split = equi_join(left, right, [("k", "k")], how, skew="split")
+    assert values(split) == values(equi_join(left, right, [("k", "k")], how, skew="plain"))
 
 
-def test_hot_keys_are_found(spark):
-    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    seven = df.select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
-    assert hot_keys(df, ["k"], 1000) == {seven: 4}
-    assert hot_keys(df, ["k"], 20) == {seven: 256}
-    assert hot_keys(df, ["k"]) == {}
+def test_composite_keys_with_nulls(spark):
+    left = spark.createDataFrame([(1, "a", 0), (1, None, 1), (None, "a", 2), (2, "b", 3)], "k int, m string, l int")
+    right = spark.createDataFrame([(1, "a", 10), (1, None, 11), (3, "c", 12)], "k int, m string, r int")
+    on = [("k", "k"), ("m", "m")]
+    assert values(equi_join(left, right, on, "full"), "l", "r") == [(0, 10), (1, None), (2, None), (3, None), (None, 11), (None, 12)]
 
 
-def test_a_hot_key_is_spread_and_its_partner_repeated(spark):
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_unknown_side_is_split_and_a_unique_one_is_not(spark):
+    left = spark.range(9).selectExpr("id AS k", "id AS l")
+    right = spark.range(9).selectExpr("id AS k", "id AS r")
+    assert "LeftOuter" not in plan(equi_join(left, right, [("k", "k")], "left"))
+    assert "LeftOuter" in plan(equi_join(left, right, [("k", "k")], "left", unique=("right",)))
+    assert "FullOuter" not in plan(equi_join(left, right, [("k", "k")], "full", unique=("right",)))
+    assert "FullOuter" in plan(equi_join(left, right, [("k", "k")], "full", unique=("left", "right")))
+
+
+def test_a_stored_key_is_known_to_be_unique(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    right = spark.range(9).selectExpr("id AS k", "id AS r")
+    store.register(TableSpec("right", "k", right.schema))
+    left = spark.range(9).selectExpr("id AS k", "id AS l")
+    ws = Workspace(spark, store)
+    for on, expected in (([("k", "k")], True), ([("l", "r")], False), ([("l", "r"), ("k", "k")], True)):
+        df = Join("right", on, "left").apply(left, ws.view("t"))
+        assert ("LeftOuter" in plan(df) or "LocalRelation" in plan(df) and "Union" not in plan(df)) is expected
+
+
+def test_planning_runs_no_job(spark):
     left = spark.range(400).selectExpr("id AS l", "CAST(0 AS LONG) AS k")
     right = spark.createDataFrame([(0, "x"), (1, "y")], "k long, r string")
-    df = equi_join(left, right, [("k", "k")], "full", skew="split", hot_rows=10)
+    status = spark.sparkContext.statusTracker()
+    before = status.getJobIdsForGroup()
+    df = equi_join(left, right, [("k", "k")], "full")
+    assert status.getJobIdsForGroup() == before
     assert df.count() == 401
-    assert df.filter("r = 'x'").select("l").distinct().count() == 400
     assert values(df.filter("l IS NULL"), "r") == [("y",)]
 
 
@@ -185,17 +207,11 @@ def test_pivot_values_may_differ_in_case_or_equal_an_index_name(spark):
     assert [tuple(r) for r in out.collect()] == [("x", 2, 1, 3)]
 
 
-def test_few_and_many_cells_agree(spark, monkeypatch):
-    from tablewright.operators import pivot as module
-
+def test_pivot_repeats_an_aggregation_under_a_new_name(spark):
     df = spark.range(200).selectExpr("id % 7 AS g", "nullif(id % 4, 3) AS p", "nullif(id % 5, 0) AS v")
-    step = Pivot("p", [("v", ("sum", "count", "avg", "min", "max", "sum"))], ("g",))
-    few = step.apply(df)
-    monkeypatch.setattr(module, "FEW_CELLS", 0)
-    many = step.apply(df)
-    assert few.columns == many.columns
-    assert few.dtypes == many.dtypes
-    assert values(few) == values(many)
+    out = Pivot("p", [("v", ("sum", "count", "sum"))], ("g",)).apply(df)
+    assert out.columns[1:4] == ["0_sum(v)", "0_count(v)", "0_sum(v)_1"]
+    assert all(r[1] == r[3] for r in out.collect())
 
 
 def test_pivot_checks(quarters):
