@@ -32,9 +32,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     level = (F.lit(whole) - F.lit(float(most)) * F.col("before_size")) / (F.lit(all_of["weight"]) - F.col("before_weight"))
     full = F.lit(float(most)) * F.col("source_size") <= level * F.col("weight")
     filled = filled.withColumns({"level": level, "full": full})
-    common = filled.filter(~F.col("full")).agg(F.max_by("level", -F.col("before_weight")).alias("common"))
-    target = F.when(F.col("full"), F.lit(float(most)) * F.col("source_size")).otherwise(F.col("common") * F.col("weight"))
-    return filled.crossJoin(F.broadcast(common)).select("source", "source_size", target.alias("target"), "first_word")
+    common = filled.filter(~F.col("full")).agg(F.max_by("level", -F.col("before_weight"))).first()[0]
+    shared = F.lit(common).cast("double") * F.col("weight")
+    target = F.when(F.col("full"), F.lit(float(most)) * F.col("source_size")).otherwise(shared)
+    return filled.select("source", "source_size", target.alias("target"), "first_word")
 
 
 def quality_weight(size: Column, text: Column) -> Column:
