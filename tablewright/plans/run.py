@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -9,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.errors import PlanError, TransformedCycleError
+from tablewright.errors import PlanError, StorageError, TransformedCycleError
+from tablewright.faults import Interrupted, is_step_fault
 from tablewright.functions.binding import Call, require_columns
 from tablewright.naming import normalize_label, short_id
 from tablewright.operators.filters import DateRange, Filter
@@ -25,10 +27,12 @@ from tablewright.plans.steps import (
     wants,
 )
 from tablewright.plans.workspace import Workspace
-from tablewright.session import cut_lineage, require_checkpoints
+from tablewright.session import checkpoint_dir
+from tablewright.sources.folder import Folder
 from tablewright.sources.versions import Version
 from tablewright.types import describe
 
+# The fields of a run result.
 RESULT_SCHEMA = (
     "step_no int, source_name string, function_name string, function_type string, set_name string, "
     "bundle_key string, label string, status string, rows_affected long, rows_passed long, "
@@ -69,6 +73,8 @@ class Entry:
     consumed_result_id: str | None = None
     # Where `rows_affected` or the verdict counts come from.
     counted: Rows | None = field(default=None, compare=False)
+    # The number itself, once it is known.
+    n_rows: int | None = None
     check: V.Check | None = None
 
     @property
@@ -165,35 +171,64 @@ class Composed:
 
     def failing(self, result_id: str) -> DataFrame:
         """The full rows behind one failed validation."""
-        check = next(c for c in self.checks if c.result_id == result_id)
-        return V.failing_rows(self.base, check)
+        for check in self.checks:
+            if check.result_id == result_id:
+                return V.failing_rows(self.base, check)
+        raise PlanError(f"no validation of this run has the id {result_id!r}")
 
-    def execute(self) -> Executed:
+    def execute(self, count_steps: bool = True) -> Executed:
         """Write the snapshot and compute the results.
 
-        A value-dependent failure surfaces only now. The steps are then run again one by one,
-        each ending in a reliable checkpoint; a step that fails is recorded and left out, and
-        validations are counted one by one.
+        With ``count_steps``, a join, pivot or table function that others follow writes its frame once
+        below the checkpoint folder; the next one and the counts read that, so no step runs twice.
+        Without, only the rows behind the last row-changing step are counted, from the snapshot.
+
+        A failure that the data or a function causes surfaces only now. The steps are then run again one by
+        one, each written; a step that fails is recorded and left out, and validations are counted one by
+        one. Any other failure, such as a full disk, is raised, and nothing is published.
         """
-        run = self
-        version = None
         store = self.workspace.store
-        if store is not None and self.transforms:
-            try:
-                version = run._write()
-            except Exception:  # noqa: BLE001 - any step may be at fault
-                run = run._isolated_steps()
-                version = run._write()
-            if version is not None:
-                run = run._counting(store.snapshots(self.table).read(version))
+        scratch = _Scratch(self.workspace)
+        run, version = self, None
         try:
-            rows = run.results().collect()
-        except Exception:  # noqa: BLE001 - a verdict or an unwritten step is at fault
-            run = run._isolated_checks() if store is not None else run._isolated_steps()._isolated_checks()
-            rows = run.results().collect()
+            if store is not None and self.transforms:
+                try:
+                    run = run._composed(scratch, wide=True) if count_steps and run._wide_steps() > 1 else run
+                    version = run._write()
+                except Exception as failure:  # noqa: BLE001 - raised again unless a step is at fault
+                    _raise_unless_step_fault(failure)
+                    run = self._composed(scratch)
+                    version = run._write()
+                if version is not None:
+                    run = run._counting(store.snapshots(self.table).read(version), count_steps)
+            try:
+                rows = run.results().collect()
+            except Exception as failure:  # noqa: BLE001 - raised again unless a verdict or step is at fault
+                _raise_unless_step_fault(failure)
+                run = run._isolated_checks() if store is not None else run._composed(scratch)._isolated_checks()
+                rows = run.results().collect()
+        finally:
+            # Without a snapshot the run's frame is read from there.
+            if version is not None or store is not None:
+                scratch.drop()
         # One row per entry: the report of a run is as small as its list of steps.
         results = self.workspace.spark.createDataFrame(rows, RESULT_SCHEMA)
-        return Executed(run, results, version.number if version else None)
+        counts = {row["step_no"]: row["rows_affected"] for row in rows}
+        known = tuple(e if e.check else replace(e, counted=None, n_rows=counts.get(e.step_no)) for e in run.entries)
+        return Executed(replace(run, entries=known), results, version.number if version else None)
+
+    def _wide_steps(self) -> int:
+        """Frames that are counted apart."""
+        return len({id(e.counted.frame) for e in self.entries if e.counted is not None})
+
+    def _composed(self, scratch: _Scratch, wide: bool = False) -> Composed:
+        """The same run with frames written on the way: after every step, or (``wide``) where a join, pivot
+        or table function has more row-changing steps behind it."""
+        settle = _Settle(scratch.write, self._wide_steps() - 1 if wide else None)
+        try:
+            return compose(self.workspace, self.table, self.run_type, self.set_name, settle=settle)
+        except Interrupted as failure:
+            raise failure.cause from None
 
     @property
     def final_rows(self) -> Rows | None:
@@ -201,16 +236,14 @@ class Composed:
         counted = [e.counted for e in self.entries if e.counted is not None]
         return counted[-1] if counted else None
 
-    def _counting(self, written: DataFrame) -> Composed:
-        """Let the snapshot's footers answer the count of every step after the last row change."""
+    def _counting(self, written: DataFrame, count_steps: bool) -> Composed:
+        """Let the snapshot's footers answer the count of every step after the last row change, and read the
+        frame from it. Without ``count_steps`` the others are not counted."""
         last, now = self.final_rows, Rows(written)
-        entries = (replace(e, counted=now) if e.counted is not None and e.counted is last else e for e in self.entries)
-        return replace(self, entries=tuple(entries))
-
-    def _isolated_steps(self) -> Composed:
-        # Without a folder every step would seem to fail.
-        require_checkpoints(self.workspace.spark)
-        return compose(self.workspace, self.table, self.run_type, self.set_name, settle=cut_lineage)
+        entries = [replace(e, counted=now) if e.counted is not None and e.counted is last else e for e in self.entries]
+        if not count_steps:
+            entries = [e if e.counted is now else replace(e, counted=None) for e in entries]
+        return replace(self, frame=written, entries=tuple(entries))
 
     def _isolated_checks(self) -> Composed:
         entries = []
@@ -218,12 +251,60 @@ class Composed:
             if e.check is not None:
                 try:
                     V.verdict_counts(self.base, [e.check]).collect()
-                except Exception as cause:  # noqa: BLE001 - recorded on the entry
+                except Exception as cause:  # noqa: BLE001 - recorded on the entry if it is at fault
+                    _raise_unless_step_fault(cause)
                     e = replace(e, error=str(cause), check=None)
             entries.append(e)
         return replace(self, entries=tuple(entries))
 
 
+def _raise_unless_step_fault(failure: Exception) -> None:
+    if not is_step_fault(failure):
+        raise failure
+
+
+class _Scratch:
+    """Frames a run writes on its way, below the checkpoint folder or, where none is named, the store."""
+
+    def __init__(self, workspace: Workspace):
+        self.workspace, self.folder = workspace, None
+
+    def write(self, frame: DataFrame) -> DataFrame:
+        if self.folder is None:
+            base = checkpoint_dir(self.workspace.spark)
+            if base is None and self.workspace.store is None:
+                raise StorageError("set spark.checkpoint.dir to a folder all executors can reach")
+            base = base or self.workspace.store.root.path
+            self.folder = Folder(self.workspace.spark, f"{base.rstrip('/')}/runs/{uuid.uuid4().hex}")
+        path = self.folder.url(uuid.uuid4().hex)
+        frame.write.parquet(path)
+        return self.workspace.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self) -> None:
+        if self.folder is not None:
+            self.folder.delete(".")
+
+
+class _Settle:
+    """Writes the frame behind a step. With ``wide``, only the first so many that change rows in bulk."""
+
+    def __init__(self, write: Callable[[DataFrame], DataFrame], wide: int | None):
+        self.write, self.wide, self.left = write, wide is not None, wide
+
+    def __call__(self, frame: DataFrame, bulk: bool) -> DataFrame:
+        if self.wide:
+            if not bulk or not self.left:
+                return frame
+            self.left -= 1
+        try:
+            return self.write(frame)
+        except Exception as cause:
+            # Which step a wide write fails for is not known; the caller runs them one by one.
+            if self.wide or not is_step_fault(cause):
+                raise Interrupted(cause) from cause
+            raise
+
+
 @dataclass(frozen=True)
 class Executed:
     """A finished run: what ran, its results, and the snapshot version it published."""
@@ -240,7 +321,7 @@ def _exploded(df: DataFrame, structs) -> DataFrame:
 def _literal_rows(df: DataFrame, entries: list[Entry]) -> DataFrame:
     rows = [
         (e.step_no, e.source_name, e.function_name, e.function_type, e.set_name, e.bundle_key, e.label, e.status)
-        + (None, None, None, None, e.error, e.result_id, e.consumed_result_id)
+        + (e.n_rows, None, None, None, e.error, e.result_id, e.consumed_result_id)
         for e in entries
     ]
     return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
@@ -253,7 +334,7 @@ def compose(
     set_name: str | None = None,
     *,
     path: tuple[str, ...] | None = None,
-    settle: Callable[[DataFrame], DataFrame] | None = None,
+    settle: Callable[[DataFrame, bool], DataFrame] | None = None,
     before: int | None = None,
 ) -> Composed:
     """Plan a run. Transforms and built-in steps chain on the working frame, validations read the
@@ -279,7 +360,8 @@ def compose(
 
 def effective_columns(workspace: Workspace, table: str, position: int) -> list[tuple[str, str]]:
     """Columns the step at a position can bind, with their types: those of the table, and what
-    earlier steps added, such as the columns of joined tables. Nothing is computed."""
+    earlier steps added, such as the columns of joined tables. No row is computed, but the values of a
+    pivot that doesn't list them are looked up."""
     return describe(compose(workspace, table, "transforms", before=position).frame.schema)
 
 
@@ -288,7 +370,7 @@ class _Fold:
         self.table, self.base, self.frame = table, base, base
         self.tables = workspace.view(*path)
         self.nested = len(path) > 1
-        self.settle = settle or (lambda frame: frame)
+        self.settle = settle or (lambda frame, bulk: frame)
         # The current number of rows, whether a step has reported it, and whether the columns are
         # still those of the counted frame.
         self.rows, self.reported, self.same_columns = Rows(base), False, True
@@ -299,7 +381,7 @@ class _Fold:
         self.entries.append(Entry(len(self.entries), self.table, name, kind, key, label=label, **more))
 
     def _advance(self, frame: DataFrame, keeps_rows: bool, predicate: Column | None = None) -> None:
-        settled = self.settle(frame)
+        settled = self.settle(frame, not keeps_rows and predicate is None)
         if settled is not frame or not keeps_rows:
             if settled is frame and predicate is not None and self.same_columns and self.reported:
                 self.rows = self.rows.behind(predicate)
@@ -327,6 +409,8 @@ class _Fold:
             else:
                 frame = step.apply(self.frame, self.tables)
             self._advance(frame, step.keeps_rows, predicate)
+        except Interrupted:
+            raise
         except Exception as cause:  # noqa: BLE001 - recorded on the entry, the chain goes on
             if self.nested and isinstance(cause, TransformedCycleError):
                 raise
@@ -339,6 +423,8 @@ class _Fold:
         try:
             frame, keys = member.transform(self.frame, self.base, self.tables)
             self._advance(frame, member.keeps_rows)
+        except Interrupted:
+            raise
         except FunctionFailure as cause:
             self._add(name, "transform", "", set_name=owner, error=str(cause), counted=self._rows())
         except Exception as cause:  # noqa: BLE001 - recorded on the entry, the chain goes on

@@ -17,6 +17,7 @@ from tablewright import (
     RowFunction,
     SqlFunction,
     TableFunction,
+    TableSpec,
     TableStore,
     ValueFunction,
     Workspace,
@@ -26,7 +27,7 @@ from tablewright import (
     run_set_across,
     validate_across,
 )
-from tablewright.errors import PlanError
+from tablewright.errors import PlanError, StorageError
 from tablewright.naming import short_id
 from tablewright.plans.report import REPORT_COLUMNS
 from tablewright.plans.steps import select_steps
@@ -318,3 +319,99 @@ def test_results_do_not_depend_on_partitions(spark, multi):
         seen.add((tuple(values(result.frame)), tuple(outcome(result))))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert len(seen) == 1
+
+
+def ten_rows(spark, store, *steps):
+    store.register(TableSpec("t", "id", spark.createDataFrame([], "id long, v long").schema))
+    frame = spark.range(10).selectExpr("id", "id AS v")
+    return Workspace(spark, store).add("t", frame, list(steps))
+
+
+@pytest.mark.parametrize("message", ["java.io.IOException: No space left on device", "executor lost", "could not publish"])
+def test_a_full_disk_is_not_a_steps_fault(spark, tmp_path, monkeypatch, message):
+    store = TableStore(spark, str(tmp_path))
+    ws = ten_rows(spark, store, Filter("v", "gt", "5"))
+    good = compose(ws, "t").execute().version
+
+    def fail(*_):
+        raise RuntimeError(message)
+
+    monkeypatch.setattr(type(store), "write_snapshot", fail)
+    with pytest.raises(RuntimeError, match=message):
+        compose(ws, "t").execute()
+    assert store.snapshots("t").latest().number == good
+
+
+def test_a_full_disk_while_steps_run_one_by_one(spark, tmp_path, monkeypatch):
+    from pyspark.errors import NumberFormatException
+
+    from tablewright.plans import run as module
+
+    store = TableStore(spark, str(tmp_path))
+    ws = ten_rows(spark, store, Filter("v", "gt", "5"))
+
+    def bad_value(*_):
+        raise NumberFormatException("[CAST_INVALID_INPUT] no number SQLSTATE: 22018")
+
+    def full(*_):
+        raise RuntimeError("No space left on device")
+
+    monkeypatch.setattr(type(store), "write_snapshot", bad_value)
+    monkeypatch.setattr(module._Scratch, "write", full)
+    with pytest.raises(RuntimeError, match="No space left"):
+        compose(ws, "t").execute()
+    assert store.snapshots("t").latest() is None
+
+
+def test_step_faults_are_told_from_others(spark):
+    from pyspark.errors import PythonException
+
+    from tablewright.faults import is_step_fault
+
+    def failure(sql):
+        with pytest.raises(Exception) as caught:  # noqa: PT011 - every kind
+            spark.sql(sql).write.format("noop").mode("overwrite").save()
+        return caught.value
+
+    for sql in ("SELECT CAST(id || 'x' AS int) FROM range(3)", "SELECT id DIV (id - 1) FROM range(3)", "SELECT raise_error('no') FROM range(1)", "SELECT nope"):
+        assert is_step_fault(failure(sql)), sql
+    assert not is_step_fault(failure("SELECT * FROM parquet.`/no/such/folder`"))
+    assert is_step_fault(PythonException("An exception was thrown from the Python worker: ValueError: x"))
+    assert not is_step_fault(PythonException("An exception was thrown from the Python worker: OSError: [Errno 28] No space left on device"))
+    assert not is_step_fault(StorageError("somebody else was first"))
+
+
+def joins(spark, store, n):
+    names = [f"r{i}" for i in range(n)]
+    ws = ten_rows(spark, store, *[Join(name, [("id", "id")], skew="plain") for name in names])
+    for name in names:
+        ws.add(name, spark.range(7).selectExpr("id", f"id AS {name}"))
+    return ws
+
+
+def test_counted_joins_run_once(spark, tmp_path, monkeypatch):
+    from tablewright.plans import run as module
+
+    store, written = TableStore(spark, str(tmp_path / "store")), []
+    real = module._Scratch.write
+    monkeypatch.setattr(module._Scratch, "write", lambda self, frame: written.append(frame) or real(self, frame))
+    done = compose(joins(spark, store, 3), "t").execute()
+    assert [r["rows_affected"] for r in done.results.collect()] == [7, 7, 7]
+    assert len(written) == 2
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in [*written, done.run.frame]]
+    assert [p.count("Join") for p in plans] == [1, 1, 0]
+    # What was written on the way is gone, and the finished run doesn't need it.
+    assert [r["rows_affected"] for r in done.run.results().collect()] == [7, 7, 7]
+    assert done.run.frame.count() == 7
+
+
+def test_only_the_last_count_without_step_counts(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    done = compose(joins(spark, store, 2), "t").execute(count_steps=False)
+    assert [r["rows_affected"] for r in done.results.collect()] == [None, 7]
+
+
+def test_an_unknown_result_id(spark, tmp_path):
+    ws = ten_rows(spark, TableStore(spark, str(tmp_path)))
+    with pytest.raises(PlanError):
+        compose(ws, "t").failing("nope")
