@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.errors import PlanError
 from tablewright.naming import col
+from tablewright.sources.folder import Folder
 from tablewright.types import normalize_frame
 
 # Names of the columns that keep the order of rows in their files.
@@ -20,23 +24,72 @@ ORDER_COLUMNS = ("__file", "__block", "__row")
 _CSV = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd[ ]['T']HH:mm[:ss][.SSSSSS]"}
 
 
+def csv_options(multi_line: bool = False) -> dict:
+    """How files are read, in a batch or a stream: a row with too few or too many fields, a value of another
+    type, or a header that isn't the schema's is an error, never a NULL or a value in the wrong column."""
+    return {**_CSV, "multiLine": multi_line, "mode": "FAILFAST", "enforceSchema": False}
+
+
 def read_csv(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, multi_line: bool = False
+    spark: SparkSession,
+    paths: str | list[str],
+    schema: T.StructType | None = None,
+    multi_line: bool = False,
+    order: bool = False,
 ) -> DataFrame:
-    """Header CSV as vocabulary types. Without a schema one extra pass infers it; with one, a
-    value of another type is an error.
+    """Header CSV as vocabulary types. Without a schema one extra pass infers it.
 
-    ``multi_line`` allows line breaks inside quotes. Such a file cannot be split, so each is read
-    by one task.
+    Columns are found by the names in each file's own header, so files may list them in different orders;
+    all must have the same columns. ``multi_line`` allows line breaks inside quotes. Such a file cannot be
+    split, so each is read by one task. ``order`` adds the position of each row, see ``with_file_order``.
     """
-    reader = spark.read.options(**_CSV, multiLine=multi_line)
+    groups = header_groups(spark, paths)
+    names = {tuple(sorted(h)) for h in groups}
+    if len(names) > 1:
+        raise PlanError(f"the files have different columns: {sorted(names)}")
+    frames = [_read_alike(spark, header, files, schema, multi_line) for header, files in groups.items()]
+    if len(frames) > 1 and schema is None:
+        frames = _alike(frames)
+    return reduce(DataFrame.unionByName, [with_file_order(f) for f in frames] if order else frames)
+
+
+def _read_alike(spark, header, files, schema, multi_line) -> DataFrame:
+    reader = spark.read.options(**csv_options(multi_line))
     if schema is not None:
-        return reader.options(enforceSchema=False, mode="FAILFAST").schema(schema).csv(paths)
-    df = normalize_frame(reader.option("inferSchema", True).csv(paths))
+        known = {f.name: f for f in schema.fields}
+        if set(header) != set(known):
+            raise PlanError(f"the header {list(header)} does not have the columns {list(known)}")
+        return reader.schema(T.StructType([known[h] for h in header])).csv(files)
+    # The first pass may pass over bad rows, since the second one refuses them.
+    inferred = spark.read.options(**_CSV, multiLine=multi_line).option("inferSchema", True).csv(files).schema
+    df = normalize_frame(reader.schema(inferred).csv(files))
     wider = {f.name: col(f.name).cast(_WIDER[type(f.dataType)]) for f in df.schema if type(f.dataType) in _WIDER}
     return df.withColumns(wider) if wider else df
 
 
+def _alike(frames: list[DataFrame]) -> list[DataFrame]:
+    """Text where the files' inferred types differ, unless both are numbers."""
+    numbers = (T.LongType, T.DoubleType, T.DecimalType)
+    targets = {}
+    for name in frames[0].columns:
+        kinds = {f.schema[name].dataType for f in frames}
+        if len(kinds) > 1:
+            targets[name] = T.DoubleType() if all(isinstance(k, numbers) for k in kinds) else T.StringType()
+    return [f.withColumns({n: col(n).cast(t) for n, t in targets.items()}) if targets else f for f in frames]
+
+
+def header_groups(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line, in the order given. Folders and globs are expanded. Only
+    the first line of a file is read, where the plan is made."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in Folder.files(spark, [paths] if isinstance(paths, str) else paths):
+        header = tuple(next(csv.reader([Folder.first_line(spark, path).lstrip("\ufeff")]), []))
+        groups.setdefault(header, []).append(path)
+    if not groups:
+        raise PlanError(f"no file at {paths!r}")
+    return groups
+
+
 # Inferred types are widened: whole numbers to BIGINT or HUGEINT, times without a zone to TIMESTAMP.
 _WIDER = {
     T.IntegerType: T.LongType(),
@@ -74,10 +127,9 @@ def file_pattern(stem: Column) -> Column:
     return F.when(stem.rlike(r"\d"), F.regexp_replace(stem, r"\d+", r"\\d+"))
 
 
-def name_pattern(path: str) -> str | None:
-    """:func:`file_pattern` of one file, while planning."""
-    stem = re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1])
-    return re.sub(r"\d+", r"\\d+", stem) if re.search(r"\d", stem) else None
+def name_pattern(spark: SparkSession, path: str) -> str | None:
+    """:func:`file_pattern` of one file."""
+    return spark.range(1).select(file_pattern(file_stem(F.lit(path)))).first()[0]
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:

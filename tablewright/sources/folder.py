@@ -20,6 +20,38 @@ class Folder:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf)
 
+    @staticmethod
+    def files(spark: SparkSession, paths: list[str]) -> list[str]:
+        """The files that paths, globs and folders name; hidden ones are passed over, as in any read."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        found = []
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            fs = at.getFileSystem(conf)
+            matched = fs.globStatus(at) or []
+            waiting = sorted(matched, key=lambda status: status.getPath().toString())
+            while waiting:
+                status = waiting.pop(0)
+                if not status.isDirectory():
+                    found.append(status.getPath().toString())
+                    continue
+                inside = [x for x in fs.listStatus(status.getPath()) if x.getPath().getName()[0] not in "_."]
+                waiting = sorted(inside, key=lambda x: x.getPath().toString()) + waiting
+        return found
+
+    @staticmethod
+    def first_line(spark: SparkSession, path: str) -> str:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            plain = stream if codec is None else codec.createInputStream(stream)
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
+            return reader.readLine() or ""
+        finally:
+            stream.close()
+
     def child(self, name: str) -> Folder:
         return Folder(self.spark, f"{self.path}/{name}")
 

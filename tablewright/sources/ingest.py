@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.errors import StorageError
+from tablewright.errors import PlanError
 from tablewright.naming import col, field_of
 from tablewright.operators import keys as K
 from tablewright.operators.casts import plain_cast
@@ -25,7 +25,6 @@ from tablewright.sources.files import (
     match_tables,
     name_pattern,
     read_csv,
-    with_file_order,
 )
 from tablewright.sources.store import TableSpec, TableStore
 from tablewright.sources.versions import Version, VersionedTable
@@ -60,7 +59,7 @@ def register_csv(
     file's name for the files to come. No row is stored."""
     first = paths if isinstance(paths, str) else paths[0]
     schema = infer_schema(store.spark, paths)
-    return store.register(TableSpec(name, key, schema, method, name_pattern(first)))
+    return store.register(TableSpec(name, key, schema, method, name_pattern(store.spark, first)))
 
 
 def ingest_csv(
@@ -74,8 +73,8 @@ def ingest_csv(
 ) -> IngestResult:
     """Ingest all files in one batch; rows keep the order of (file, row)."""
     try:
-        batch = with_file_order(read_csv(store.spark, paths, schema, multi_line))
-    except PySparkException as cause:
+        batch = read_csv(store.spark, paths, schema, multi_line, order=True)
+    except (PlanError, PySparkException) as cause:
         return IngestResult(error=f"cannot read {paths!r}: {cause}")
     order = [F.col(name) for name in ORDER_COLUMNS]
     return ingest_frame(store, table, batch, method, confirm_drift, order)
@@ -201,8 +200,17 @@ def _rewrite_touched(
     return [*untouched, rows.write_part(K.kept_rows(old, fresh, key))], len(touched)
 
 
-def ingest_group(store: TableStore, folder: str, glob: str = "*.csv", **options) -> dict[str, IngestResult]:
-    """Ingest every file of a folder into the table its name matches, one batch per table."""
+class GroupResult(dict):
+    """Results by table, and ``unmatched``: a frame of the files that belong to none (path, length, stem)."""
+
+    def __init__(self, results: dict[str, IngestResult], unmatched: DataFrame):
+        super().__init__(results)
+        self.unmatched = unmatched
+
+
+def ingest_group(store: TableStore, folder: str, glob: str = "*.csv", **options) -> GroupResult:
+    """Ingest every file of a folder into the table its name matches, one batch per table. Files that match
+    no table are listed in the result."""
     specs = store.specs()
     listing = match_tables(list_files(store.spark, folder, glob), [(s.name, s.pattern) for s in specs])
     results = {}
@@ -211,6 +219,4 @@ def ingest_group(store: TableStore, folder: str, glob: str = "*.csv", **options)
         names = [r["path"] for r in listing.filter(F.col("table_name") == spec.name).orderBy("path").collect()]
         if names:
             results[spec.name] = ingest_csv(store, spec.name, names, **options)
-    if not results:
-        raise StorageError(f"no file in {folder!r} matches a registered table")
-    return results
+    return GroupResult(results, listing.filter("table_name IS NULL").select("path", "length", "stem"))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewright.errors import StorageError
-from tablewright.sources.files import ORDER_COLUMNS, with_file_block
+from tablewright.sources.files import ORDER_COLUMNS, csv_options, with_file_block
 from tablewright.sources.ingest import IngestResult, ingest_frame
 from tablewright.sources.store import TableStore
 
@@ -16,8 +16,9 @@ from tablewright.sources.store import TableStore
 def csv_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """A stream over the CSV files of a folder, each read once, oldest first. Every row keeps its
     file and block, and a micro-batch numbers the rows in them, so the first of several rows with
-    one key is the first in (file, row) order."""
-    reader = spark.readStream.option("header", True).schema(schema)
+    one key is the first in (file, row) order. What the batch reader refuses fails the micro-batch, and so
+    does a file whose header lists the columns in another order: a stream has one schema for all files."""
+    reader = spark.readStream.options(**csv_options()).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return with_file_block(reader.csv(folder))

@@ -220,3 +220,54 @@ def test_key_semantics_equal_dictionaries(spark, stored, batch):
     assert skipped + K.new_rows(base, new, "k").count() == len(batch)
     clean = len(set(k for k, _ in batch)) == len(batch) and not set(stored) & set(first)
     assert (K.append_conflicts(base, new, "k").count() == 0) == clean
+
+
+def people(store, spark):
+    store.register(TableSpec("people", "id", spark.createDataFrame([], "id string, name string, city string").schema))
+
+
+@pytest.mark.parametrize("with_schema", [False, True])
+def test_columns_are_found_by_each_files_header(spark, store, tmp_path, with_schema):
+    people(store, spark)
+    files = [csv(tmp_path, "h_1.csv", "id,name,city", "a,Ann,Rome"), csv(tmp_path, "h_2.csv", "id,city,name", "b,Oslo,Bob")]
+    schema = store.spec("people").schema if with_schema else None
+    assert ingest_csv(store, "people", files, schema=schema).rows_ingested == 2
+    assert values(store.read("people"), "id", "name", "city") == [("a", "Ann", "Rome"), ("b", "Bob", "Oslo")]
+
+
+@pytest.mark.parametrize("bad", ["c,x,y,EXTRA", "c", "c,x"])
+@pytest.mark.parametrize("with_schema", [False, True])
+def test_rows_of_another_width_are_refused(spark, store, tmp_path, bad, with_schema):
+    people(store, spark)
+    path = csv(tmp_path, "p.csv", "id,name,city", "a,Ann,Rome", bad)
+    result = ingest_csv(store, "people", path, schema=store.spec("people").schema if with_schema else None)
+    assert result.error is not None
+    assert store.rows("people").latest() is None
+
+
+def test_files_with_other_columns_are_refused(spark, store, tmp_path):
+    people(store, spark)
+    files = [csv(tmp_path, "p_1.csv", "id,name,city", "a,Ann,Rome"), csv(tmp_path, "p_2.csv", "id,name", "b,Bob")]
+    assert "different columns" in ingest_csv(store, "people", files).error
+    assert ingest_csv(store, "people", str(tmp_path / "none*.csv")).error is not None
+
+
+def test_files_of_different_inferred_types(spark, tmp_path):
+    files = [csv(tmp_path, "n_1.csv", "id,v", "1,2"), csv(tmp_path, "n_2.csv", "v,id", "2.5,x")]
+    df = read_csv(spark, files)
+    assert describe(df.schema) == [("id", "VARCHAR"), ("v", "DOUBLE")]
+    assert values(df) == [("1", 2.0), ("x", 2.5)]
+
+
+def test_unmatched_files_are_named(sales, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    csv(folder, "sales_1.csv", "id,val", "a,1")
+    csv(folder, "other_2.csv", "id,val", "a,1")
+    done = ingest_group(sales, str(folder))
+    assert list(done) == ["sales"]
+    assert [r["stem"] for r in done.unmatched.collect()] == ["other_2"]
+    (folder / "sales_1.csv").unlink()
+    nothing = ingest_group(sales, str(folder))
+    assert dict(nothing) == {}
+    assert nothing.unmatched.count() == 1

@@ -53,3 +53,50 @@ def test_a_repeated_batch_is_passed_over(spark, setup):
     assert ingest_batch(store, "sales", batch, 0, "other", "upsert").ok
     assert ingest_batch(store, "sales", batch, 0, "s") is None
     assert store.rows("sales").numbers() == [1, 2]
+
+
+@pytest.fixture
+def landing(spark, tmp_path):
+    """Ingest the same lines as a stream and as a batch: rows of each, None where it was refused."""
+    from tablewright import ingest_csv
+
+    schema = spark.createDataFrame([], "id string, val long, name string").schema
+
+    def both(*lines):
+        folder = tmp_path / "both"
+        folder.mkdir()
+        (folder / "f.csv").write_text("\n".join(lines) + "\n")
+        out = []
+        for how in ("stream", "batch"):
+            store = TableStore(spark, str(tmp_path / how))
+            store.register(TableSpec("t", "id", schema))
+            if how == "stream":
+                query = stream_into(store, "t", csv_stream(spark, str(folder), schema), "s", str(tmp_path / "progress"))
+                try:
+                    query.awaitTermination(120)
+                except Exception:  # noqa: BLE001 - looked at below
+                    assert query.exception() is not None
+            else:
+                ingest_csv(store, "t", str(folder / "f.csv"), schema=schema)
+            out.append(values(store.read("t"), "id", "val", "name") if store.rows("t").latest() else None)
+        return out
+
+    return both
+
+
+@pytest.mark.parametrize("row", ["2,bad,x", "2,1,x,extra", "2,1", "2"])
+def test_stream_and_batch_refuse_alike(landing, row):
+    assert landing("id,val,name", "1,1,a", row) == [None, None]
+
+
+def test_stream_and_batch_read_alike(landing):
+    lines = ["id,val,name", '1,1,"a ""q"" b"', '2,,"x,y"', '3,3,""']
+    stream, batch = landing(*lines)
+    assert stream == batch
+    assert batch[0] == ("1", 1, 'a "q" b')
+
+
+def test_a_stream_refuses_another_column_order(landing):
+    stream, batch = landing("name,id,val", "a,1,1")
+    assert stream is None
+    assert batch == [("1", 1, "a")]
