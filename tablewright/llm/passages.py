@@ -24,7 +24,7 @@ MOST_BITS = 29
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 22
 #: Windows a task gathers before it hands out its part of the sketch.
-FLUSH = 2_000_000
+FLUSH = 4_000_000
 #: Groups of windows up to this estimate are put into one task whole; larger ones are aggregated first.
 HOT = 4096
 
@@ -119,10 +119,11 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
             hashes = np.concatenate(held)
             held.clear()
             for row in range(DEPTH):
-                cells = np.sort(_cells(hashes, row, bits))
-                block = cells >> block_bits
+                cells = np.sort(_cells(hashes, row, bits).astype(np.uint32))
+                block = (cells >> np.uint32(block_bits)).astype(np.int32)
                 first = np.flatnonzero(np.diff(block, prepend=-1))
-                parts = [_deltas(c - (int(c[0]) >> block_bits << block_bits)) for c in np.split(cells, first[1:])]
+                inside = np.uint32((1 << block_bits) - 1)
+                parts = [_deltas((c & inside).astype(np.int64)) for c in np.split(cells, first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row] * len(parts), pa.int32()), pa.array(block[first], pa.int32()), pa.array(parts, pa.binary())],
                     names=["row", "block", "cells"],
