@@ -5,20 +5,21 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import pick, written
 from tablewright.llm.texts import _BYTES, Slice, slices, span_hashes, within
-from tablewright.llm.totals import running_totals
 
 #: Distinct chunks a worker remembers before it starts afresh.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 
 #: First bytes after a space at which no cut is made: white space, and the UTF-8 lead bytes of characters
 #: that may be white space.
@@ -181,54 +182,47 @@ def binary_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1) -> DataFrame:
-    """Tokenised pieces of binary length: doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian
-    unsigned 32-bit numbers).
+def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """Tokenised pieces of binary length: doc_id, start, length, ids_crc32, doc_tokens, part, place, ids
+    (little-endian unsigned 32-bit numbers; null unless ``with_ids``).
 
     A document is its ids and ``end_id``. It is cut into as many full pieces as fit and one piece for every
     power of two in the remainder, so no piece needs padding and none crosses documents. ``most`` must be a
-    power of two. Null and empty texts are the end id alone. Null doc_ids stay null, rows with one doc_id
-    are documents of their own, extra columns are ignored, and an empty table has no pieces. A text is
-    tokenised whole, however long. ``tokenizer`` is the path of a file that every executor has.
+    power of two. part is the task's partition, place the piece's number among those of its length there.
+    Null and empty texts are the end id alone. Null doc_ids stay null, rows with one doc_id are documents of
+    their own, extra columns are ignored, and an empty table has no pieces. A text is tokenised whole,
+    however long. ``tokenizer`` is the path of a file that every executor has.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
+        places: Counter[int] = Counter()
         for batch in batches:
             for part in slices(batch["text"]):
                 ids, counts = encode.chunk_ids(part)
-                ends = np.cumsum(counts)
                 out_ids = np.empty(len(ids) + len(counts), "<u4")
-                place = np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)
-                out_ids[place] = ids
-                out_ids[ends + np.arange(len(counts))] = end_id
+                out_ids[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                out_ids[np.cumsum(counts) + np.arange(len(counts))] = end_id
                 tokens = counts + 1
                 raw, base = out_ids.tobytes(), 0
-                rows: list[tuple[int, int, int, int, bytes]] = []
+                rows: list[tuple] = []
                 for i, n in enumerate(tokens.tolist()):
                     start = 0
                     for length in binary_lengths(n, most):
                         body = raw[4 * (base + start) : 4 * (base + start + length)]
-                        rows.append((i, start, length, zlib.crc32(body), body))
+                        rows.append((i, start, length, zlib.crc32(body), n, task, places[length], body if with_ids else None))
+                        places[length] += 1
                         start += length
                     base += n
-                at, starts, lengths, crcs, bodies = zip(*rows, strict=True)
-                owner = np.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"].slice(part.first, len(part)).take(pa.array(owner)),
-                        pa.array(starts, pa.int64()),
-                        pa.array(lengths, pa.int64()),
-                        pa.array(crcs, pa.int64()),
-                        pa.array(tokens[owner], pa.int64()),
-                        pa.array(bodies, pa.binary()),
-                    ],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
-                )
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+                owner, *columns = zip(*rows, strict=True)
+                own = batch["doc_id"].slice(part.first, len(part)).take(pa.array(owner))
+                kinds = [*[pa.int64()] * 4, pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long, ids binary"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
     return pick(docs, doc_id="long", text="string").mapInArrow(cut, schema)
 
 
@@ -236,13 +230,17 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, wit
     """The pieces as sequences in buckets of equal length: ``pieces`` and sequence_id, offset (always 0).
 
     sequence_ids run from 0 without gaps, the longest bucket first, so a training job that wants batches of
-    one length takes ranges of ids. In a bucket, sequences stand by doc_id and start; equal pieces of rows
-    with one doc_id are interchangeable. ``with_ids=False`` leaves out the ids, which halves what is shuffled.
+    one length takes a range of ids. The pieces are written once and never shuffled: a piece's number is its
+    place in its part, behind the pieces of its length in earlier parts, whose counts are the only thing
+    that is gathered (a row for each part and length).
     """
-    found = pieces(docs, tokenizer, most, end_id)
-    if not with_ids:
-        found = found.drop("ids")
-    found = written(found, "pieces")
-    order = [-F.col("length"), F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
-    placed, _ = running_totals(found, order, {"rows": F.lit(1)})
-    return placed.withColumnRenamed("before_rows", "sequence_id").withColumn("offset", F.lit(0).cast("long"))
+    found = written(pieces(docs, tokenizer, most, end_id, with_ids), "pieces")
+    counted = found.groupBy("part", "length").count().collect()
+    ahead, offsets = 0, []
+    for row in sorted(counted, key=lambda r: (-r["length"], r["part"])):
+        offsets.append((row["part"], row["length"], ahead))
+        ahead += row["count"]
+    before = docs.sparkSession.createDataFrame(offsets, "part int, length long, ahead long")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    joined = found.join(F.broadcast(before), ["part", "length"])
+    return joined.select(*columns, (F.col("ahead") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

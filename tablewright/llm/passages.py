@@ -24,7 +24,7 @@ MOST_BITS = 29
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 22
 #: Windows a task gathers before it hands out its part of the sketch.
-FLUSH = 4_000_000
+FLUSH = 3_000_000
 #: Groups of windows up to this estimate are put into one task whole; larger ones are aggregated first.
 HOT = 4096
 

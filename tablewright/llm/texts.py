@@ -34,20 +34,19 @@ class Slice:
         return len(self.offsets) - 1
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Texts (null: empty) in slices of at most ``limit`` bytes, or one text."""
+def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int = 512) -> Iterator[Slice]:
+    """Texts (null: empty) in slices of at most ``rows`` texts and ``limit`` bytes, or one text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    if not len(texts):
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        yield Slice(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        first = last
+    for low in range(0, len(texts), rows):
+        some = texts.slice(low, rows).cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+        data = np.frombuffer(some.buffers()[2] or b"", np.uint8)
+        first = 0
+        while first < len(some):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+            yield Slice(low + first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
 
 
 @dataclass
