@@ -22,12 +22,16 @@ AMOUNTS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", AMOUNT)
 AMOUNTS_SQL = f"(SELECT {', '.join(AMOUNTS)} FROM lineitem)"
 
 
+# Signs that dress a number up and carry no value.
+DRESS = " || ".join(["'$€£¥%(), '", *(f"chr({c})" for c in range(9, 14))])
+
+
 def number_sql(column: str, target: str) -> str:
-    """The cleaning rules, written with the functions of the comparison engine."""
-    raw = f"CAST({column} AS VARCHAR)"
-    return f"""TRY_CAST(TRY_CAST(regexp_replace({raw}, '[\\s,$%€£¥()]', '', 'g') AS DOUBLE)
-        * CASE WHEN regexp_matches(trim({raw}), '^\\(.*\\)$') THEN -1 ELSE 1 END
-        * CASE WHEN contains({raw}, '%') THEN 0.01 ELSE 1 END AS {target})"""
+    """A dressed-up number as another type: bare digits, turned negative by enclosing parentheses, and
+    hundredths where there is a percent sign."""
+    bare = f"try_cast(translate({column}, {DRESS}, '') AS DOUBLE)"
+    signed = f"if(starts_with(trim({column}), '(') AND ends_with(trim({column}), ')'), -{bare}, {bare})"
+    return f"try_cast(if(position('%' IN {column}) > 0, {signed} * 0.01, {signed}) AS {target})"
 
 
 for name, target in (("cast_number", "DOUBLE"), ("cast_number_int", "INTEGER"), ("cast_number_big", "BIGINT")):

@@ -18,6 +18,7 @@ from tablewright import (
     Workspace,
     cols,
     compose,
+    failing_rows_across,
     results_report,
     run_set_across,
     validate_across,
@@ -209,6 +210,20 @@ def _(t):
     return result.withColumn("error", F.col("error").isNotNull()).withColumnRenamed("error", "has_error")
 
 
+@query(
+    "cross_table_failing_rows",
+    f"""SELECT 'customer' AS source_name, {id_sql('positive', 'customer', 'customer')} AS result_id,
+               CAST(c_custkey AS VARCHAR) AS key, CAST(to_json(customer) AS VARCHAR) AS row_json
+        FROM customer WHERE NOT (c_acctbal > 0 AND c_nationkey > 0)
+        UNION ALL
+        SELECT 'supplier', {id_sql('positive', 'supplier', 'supplier')}, CAST(s_suppkey AS VARCHAR),
+               CAST(to_json(supplier) AS VARCHAR) FROM supplier WHERE NOT s_acctbal > 0""",
+)
+def _(t):
+    keys = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
+    return failing_rows_across(accounts(t), "positive", keys)
+
+
 SET_COLUMNS = ("source_name", "function_name", "bundle_key", "status", "rows_passed", "rows_failed")
 
 

@@ -14,7 +14,7 @@ from tablewright.operators.columns import Rename
 from tablewright.operators.filters import DateCondition, DateRange, Filter
 from tablewright.operators.joins import Join
 from tablewright.operators.pivot import Pivot
-from tablewright.plans.across import run_set_across, validate_across
+from tablewright.plans.across import failing_rows_across, run_set_across, validate_across
 from tablewright.plans.report import results_report
 from tablewright.plans.run import compose
 from tablewright.plans.steps import FunctionSet, FunctionStep
@@ -44,6 +44,7 @@ __all__ = [
     "Workspace",
     "cols",
     "compose",
+    "failing_rows_across",
     "ingest_csv",
     "ingest_frame",
     "ingest_group",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.errors import PlanError
 from tablewright.naming import normalize_label, short_id
 from tablewright.plans import verdicts as V
 from tablewright.plans.run import RESULT_SCHEMA, checked_calls, compose
@@ -77,6 +80,34 @@ def validate_across(workspace: Workspace, function: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("source_name")
 
 
+def failing_rows_across(workspace: Workspace, function: str, keys: Mapping[str, str]) -> DataFrame:
+    """``source_name, result_id, key, row_json`` of every row that fails the function on any of its tables.
+
+    ``keys`` names the key column per table; a stored table has its own. One lazy union with one scan per
+    table. Tables on which the function cannot run have no rows here; ``validate_across`` reports them.
+    """
+    parts = [workspace.spark.createDataFrame([], "source_name string, result_id string, key string, row_json string")]
+    for table in workspace.tables_with_function(function):
+        try:
+            base = workspace.raw(table)
+            calls = [(m.function, call) for m in _members(workspace, table, function) for call in checked_calls(m)]
+            result_id = short_id(function, table, table)
+            checks = [V.Check(result_id, fn, call) for fn, call in calls]
+            for check in checks:
+                V.verify(base, check)
+            key = keys.get(table) or workspace.view(table).unique_key(table)
+            if key is None:
+                raise PlanError(f"no key named for table {table!r}")
+        except (PlanError, PySparkException):
+            if table not in keys and workspace.view(table).unique_key(table) is None:
+                raise
+            continue
+        # A row is listed once, however many bundles it fails.
+        rows = V.all_failing_rows(base, checks, key).distinct()
+        parts.append(rows.select(F.lit(table).alias("source_name"), "result_id", "key", "row_json"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_set_across(workspace: Workspace, set_name: str) -> DataFrame:
     """Results of one set on every table that has it; a table that cannot be read is one failed
     row without a function."""

@@ -141,25 +141,33 @@ def check_steps(steps: Sequence[Step]) -> None:
             raise PlanError(f"a table has at most one {builtin.kind} step")
 
 
+# Run type -> kinds of functions it runs, and whether built-in steps run too. A run of one set is apart.
+_RUNS = {
+    "all": ({"transform", "validation"}, True),
+    "transforms": ({"transform"}, True),
+    "validations": ({"validation"}, False),
+    "set": ({"transform", "validation"}, False),
+}
+
+
 def select_steps(steps: Sequence[Step], run_type: str, set_name: str | None = None) -> list[tuple[int, Step]]:
-    """(position, step) pairs a run executes, in order: the list order, then date range and
-    rename at the end. Built-in steps belong to ``transforms`` and ``all``; an unknown run type
-    executes nothing."""
+    """(position, step) pairs a run executes, in order: the list order, then date range and rename at the end.
+    An unknown run type executes nothing."""
     check_steps(steps)
-    numbered = list(enumerate(steps))
-    if run_type == "transforms":
-        chosen = [(i, s) for i, s in numbered if is_builtin(s) or has_kind(s, "transform")]
-    elif run_type == "validations":
-        chosen = [(i, s) for i, s in numbered if has_kind(s, "validation")]
-    elif run_type == "set":
-        chosen = [(i, s) for i, s in numbered if isinstance(s, FunctionSet) and s.name == set_name]
-    else:
-        chosen = numbered if run_type == "all" else []
-    return sorted(chosen, key=lambda pair: (pair[1].tail_rank, pair[0]))
+    kinds, builtins = _RUNS.get(run_type, (set(), False))
+
+    def takes(step: Step) -> bool:
+        if is_builtin(step):
+            return builtins
+        named = run_type != "set" or (isinstance(step, FunctionSet) and step.name == set_name)
+        return named and (run_type in ("all", "set") or any(has_kind(step, kind) for kind in kinds))
+
+    chosen = [(position, step) for position, step in enumerate(steps) if takes(step)]
+    return sorted(chosen, key=lambda pair: (pair[1].tail_rank, pair[0])) if kinds else []
 
 
 def wants(run_type: str, kind: str) -> bool:
-    return run_type in {"transform": ("transforms", "all", "set"), "validation": ("validations", "all", "set")}[kind]
+    return kind in _RUNS.get(run_type, (set(), False))[0]
 
 
 def bundle_label(key: str, function_name: str) -> str:

@@ -72,10 +72,14 @@ _FROM_SPARK = {
 }
 
 
+# A vocabulary name, with or without parameters behind it.
+_NAMED = re.compile(rf"\s*({'|'.join(TYPE_CLASS)})(?:[\s(].*)?", re.IGNORECASE | re.DOTALL)
+
+
 def normalize_type(raw: str | None) -> str:
-    """A raw type name without parameters, or VARCHAR when it is outside the vocabulary."""
-    base = re.split(r"[\s(]", (raw or "").strip().upper(), maxsplit=1)[0]
-    return base if base in TYPE_CLASS else "VARCHAR"
+    """The vocabulary name a raw type starts with, or VARCHAR for any other type."""
+    named = _NAMED.fullmatch(raw or "")
+    return named[1].upper() if named else "VARCHAR"
 
 
 def spark_type(name: str) -> T.DataType:
