@@ -1,8 +1,10 @@
 """Key semantics of an ingest, and file groups."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogue.registry import query
+from catalogue.registry import query, scratch
+from tablewright import TableSpec, TableStore, ingest_frame
 from tablewright.operators import keys as K
 from tablewright.sources.files import file_groups, file_pattern, match_tables
 
@@ -80,6 +82,42 @@ def _(t):
     return K.skipped_keys(base(t), batch(t), "o_orderkey")
 
 
+def stored(t, method: str, rows) -> DataFrame:
+    """The table after the base and a batch went through a store."""
+    store = TableStore(t.spark, scratch(t.spark))
+    store.register(TableSpec("orders", "o_orderkey", base(t).schema))
+    for frame, how in ((base(t), "upsert"), (rows, method)):
+        result = ingest_frame(store, "orders", frame, how)
+        assert result.ok, result
+    return store.read("orders")
+
+
+@query(
+    "stored_append",
+    f"SELECT * FROM {BASE_SQL} UNION ALL SELECT * FROM {BATCH_SQL} WHERE o_orderdate >= '1999-01-01'",
+)
+def _(t):
+    return stored(t, "append", batch(t).filter("o_orderdate >= '1999-01-01'"))
+
+
+@query(
+    "stored_upsert",
+    f"""SELECT * FROM {BASE_SQL} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {BATCH_SQL})
+        UNION ALL SELECT * FROM {BATCH_SQL}""",
+)
+def _(t):
+    return stored(t, "upsert", batch(t))
+
+
+@query(
+    "stored_skip",
+    f"""SELECT * FROM {BASE_SQL} UNION ALL
+        SELECT * FROM {BATCH_SQL} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {BASE_SQL})""",
+)
+def _(t):
+    return stored(t, "skip", batch(t))
+
+
 LINE_ORDER = (
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
     "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.errors import StorageError
+from tablewright.session import checkpoint_dir
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -37,6 +43,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a query that stores tables: below the checkpoint folder, or a local one in local mode."""
+    shared = checkpoint_dir(spark)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise StorageError("set spark.checkpoint.dir to a folder all executors can reach")
+        local = tempfile.TemporaryDirectory(prefix="tablewright-", ignore_cleanup_errors=True)
+        atexit.register(local.cleanup)
+        return local.name
+    return f"{shared.rstrip('/')}/catalogue/{uuid.uuid4().hex}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

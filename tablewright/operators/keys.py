@@ -28,13 +28,18 @@ def key_violations(df: DataFrame, key: str) -> DataFrame:
 def first_rows(batch: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """One row per key: the first by ``order``. NULL keys are dropped.
 
-    ``min_by`` keeps a single candidate per key and task, where ``row_number`` would collect and
-    sort every copy of a hot key in one task.
+    Keys that repeat are found by counting, which hashes the key column alone. Rows of other keys pass as
+    they are; only the copies of repeated keys are compared, with ``min_by``, which keeps a single candidate
+    per key and task where ``row_number`` would collect every copy of a hot key in one task.
     """
     name = field_of(batch, key).name
+    present = batch.filter(col(name).isNotNull())
+    repeated = present.groupBy(col(name).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__k")
+    match = _key_match(name, "__k")
     row = F.struct(*[col(c) for c in batch.columns])
-    best = batch.filter(col(name).isNotNull()).groupBy(col(name).alias("__key"))
-    return best.agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
+    copies = present.join(repeated, match, "left_semi").groupBy(col(name).alias("__key"))
+    best = copies.agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
+    return present.join(repeated, match, "left_anti").unionByName(best)
 
 
 def _key_match(left: str, right: str) -> Column:

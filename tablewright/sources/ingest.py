@@ -148,13 +148,14 @@ def _publish(rows, before, spec, landed, method, n_order, notes) -> IngestResult
     old_parts = before.parts if before else ()
     key = field_of(full, spec.key).name
     total = full.count()
+    held = _held(rows, before)
 
     if method == "append":
         conflict = K.append_conflicts(base, full.select(col(key)), key).first()
         if conflict is not None:
             rows.drop_part(landed)
             return IngestResult(error=f"key {conflict['key']!r} violates the key of {spec.name!r}: {conflict['reason']}")
-        version = rows.commit([*old_parts, landed], schema, before, **notes)
+        version = rows.commit([*old_parts, landed], schema, before, n_rows=held + total, **notes)
         return IngestResult(rows_ingested=total, version=version.number)
 
     if full.filter(col(key).isNull()).first() is not None:
@@ -162,42 +163,61 @@ def _publish(rows, before, spec, landed, method, n_order, notes) -> IngestResult
         return IngestResult(error=f"NULL in the key of {spec.name!r}")
 
     if method == "skip":
-        fresh = K.new_rows(base, K.first_rows(full, key, order), key).select(schema.names)
-        skipped = K.skipped_keys(base, full, key)
+        # The base is read once, for the keys of the batch it has; those are kept for the caller.
+        taken = rows.write_part(K.skipped_keys(base, full, key))
+        skipped = rows.spark.read.schema(T.StructType([schema[key]])).parquet(rows.folder.url(f"parts/{taken}"))
         n_skipped = skipped.count()
-        added = [rows.write_part(fresh)] if n_skipped < total else []
-        version = rows.commit([*old_parts, *added], schema, before, **notes)
-        # The landed batch stays until the caller has read the skipped keys from it.
+        fresh = K.first_rows(K.kept_rows(full, skipped, key), key, order).select(schema.names)
+        added = rows.write_parts(fresh, key) if n_skipped < total else []
+        rows.drop_part(landed)
+        version = rows.commit(
+            [*old_parts, *added], schema, before, n_rows=held + rows.count_parts(added, schema), **notes
+        )
         return IngestResult(rows_ingested=total - n_skipped, skipped=skipped, version=version.number)
 
-    winners = K.first_rows(full, key, order).select(schema.names)
-    added = rows.write_part(winners)
+    added = rows.write_parts(K.first_rows(full, key, order).select(schema.names), key)
     rows.drop_part(landed)
-    fresh = rows.read_parts([added], schema)
-    parts, touched = _rewrite_touched(rows, before, fresh, key, schema)
-    version = rows.commit([*parts, added], schema, before, replaced_parts=touched, **notes)
+    fresh = rows.read_parts(added, schema)
+    parts, touched, gone = _rewrite_touched(rows, before, fresh, key, schema)
+    version = rows.commit(
+        [*parts, *added],
+        schema,
+        before,
+        replaced_parts=touched,
+        n_rows=held - gone + rows.count_parts(added, schema),
+        **notes,
+    )
     return IngestResult(rows_ingested=total, version=version.number)
 
 
+def _held(rows: VersionedTable, before: Version | None) -> int:
+    """Rows of a version: written in its notes, or else counted from the footers."""
+    if before is None:
+        return 0
+    known = before.notes.get("n_rows")
+    return known if known is not None else rows.count_parts(before.parts, before.schema)
+
+
 def _rewrite_touched(
     rows: VersionedTable, before: Version | None, fresh: DataFrame, key: str, schema: T.StructType
-) -> tuple[list[str], int]:
-    """Rewrite only the parts that hold a replaced key; the others stay in the new version.
+) -> tuple[list[str], int, int]:
+    """Rewrite only the parts that hold a replaced key; the others stay in the new version. Also returns how
+    many parts and rows were replaced.
 
     Finding them reads the key column alone, and yields at most one name per part.
     """
     if before is None or not before.parts:
-        return [], 0
+        return [], 0, 0
     base = rows.read(before)
-    part = F.regexp_extract(F.col("_metadata.file_path"), r"/parts/([0-9a-f]+)/", 1)
-    located = base.select(col(key), part.alias(_PART))
-    hit = K.replaced_rows(located, fresh, key).select(_PART).distinct()
-    touched = {row[_PART] for row in hit.collect()}
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"/parts/(.+)/[^/]+$", 1)
+    located = base.select(col(key), F.url_decode(part).alias(_PART))
+    hit = K.replaced_rows(located, fresh, key).groupBy(_PART).agg(F.count(F.lit(1)).alias("n"))
+    touched = {row[_PART]: row["n"] for row in hit.collect()}
     untouched = [p for p in before.parts if p not in touched]
     if not touched:
-        return untouched, 0
+        return untouched, 0, 0
     old = rows.read_parts([p for p in before.parts if p in touched], schema)
-    return [*untouched, rows.write_part(K.kept_rows(old, fresh, key))], len(touched)
+    return [*untouched, *rows.write_parts(K.kept_rows(old, fresh, key), key)], len(touched), sum(touched.values())
 
 
 class GroupResult(dict):

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from tablewright.errors import PlanError, StorageError
 from tablewright.naming import col
 from tablewright.operators.keys import METHODS
-from tablewright.operators.profile import key_profile, table_summaries
+from tablewright.operators.profile import key_profile
 from tablewright.sources.folder import Folder
 from tablewright.sources.versions import Version, VersionedTable
-from tablewright.types import shared_columns, type_name
+from tablewright.types import describe, shared_columns, type_name
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,19 @@ class TableSpec:
             raise PlanError(f"key {self.key!r} is not a column of table {self.name!r}")
 
 
+@dataclass(frozen=True)
+class SnapshotMeta:
+    exists: bool = False
+    row_count: int = 0
+    columns: tuple[str, ...] = ()
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = Folder(spark, root)
         self._specs = self.root.child("specs")
 
-    # Specs -----------------------------------------------------------------------------------
-
     def register(self, spec: TableSpec) -> TableSpec:
         self._specs.create_json(
             f"{spec.name}.json",
@@ -74,8 +79,6 @@ class TableStore:
         """All specs in order of registration."""
         return [self.spec(n) for n in sorted(self.names(), key=lambda n: self._record(n)["registered_at"])]
 
-    # Rows ------------------------------------------------------------------------------------
-
     def rows(self, name: str) -> VersionedTable:
         return VersionedTable(self.spark, self.root.url(f"tables/{name}"))
 
@@ -100,23 +103,35 @@ class TableStore:
         return sorted(by_type[kind])
 
     def summaries(self) -> DataFrame:
-        """Columns and row count of every table, newest first."""
-        return table_summaries({n: (self.read(n), self._record(n)["registered_at"]) for n in self.names()})
+        """Columns, row count and time of the last ingest (nanoseconds) of every table, newest registration
+        first. They are read from the versions' notes; only a version without a count has its footers read."""
+        rows = []
+        for name in self.names():
+            table, latest = self.rows(name), self.rows(name).latest()
+            n_rows = 0 if latest is None else latest.notes.get("n_rows")
+            if n_rows is None:
+                n_rows = table.read(latest).count()
+            columns = ", ".join(f"{column} {kind}" for column, kind in describe(self.spec(name).schema))
+            ingested = None if latest is None else latest.notes.get("committed_at")
+            rows.append((name, self._record(name)["registered_at"], columns, n_rows, ingested))
+        schema = "table_name string, registered_at long, columns string, n_rows long, ingested_at long"
+        return self.spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), schema)
 
     def profile(self, name: str) -> DataFrame:
         """Row count and number of distinct keys of a stored table."""
         return key_profile(self.read(name), self.spec(name).key)
 
-    # Snapshots -------------------------------------------------------------------------------
-
     def snapshots(self, name: str) -> VersionedTable:
         return VersionedTable(self.spark, self.root.url(f"snapshots/{name}"))
 
     def write_snapshot(self, name: str, df: DataFrame) -> Version:
-        """Publish a run's final frame, then drop the snapshots before it."""
+        """Publish a run's final frame. The snapshot before it stays for those who are reading it, until
+        ``vacuum``; what is older goes."""
         table = self.snapshots(name)
+        before = table.latest()
         version = table.replace(df)
-        table.keep_only(version)
+        if before is not None:
+            table.keep_only(before)
         return version
 
     def drop_snapshots(self, name: str) -> None:
@@ -124,13 +139,13 @@ class TableStore:
         self.snapshots(name).folder.delete("versions")
         self.snapshots(name).folder.delete("parts")
 
-    def snapshot_meta(self, name: str) -> dict:
-        """``exists, row_count, columns``; the count comes from the Parquet footers."""
+    def snapshot_meta(self, name: str) -> SnapshotMeta:
+        """What is known of a table's transformed output; the count comes from the Parquet footers."""
         table = self.snapshots(name)
         latest = table.latest()
         if latest is None:
-            return {"exists": False, "row_count": 0, "columns": []}
-        return {"exists": True, "row_count": table.read(latest).count(), "columns": latest.schema.names}
+            return SnapshotMeta()
+        return SnapshotMeta(True, table.read(latest).count(), tuple(latest.schema.names))
 
 
 def alphabetical(df: DataFrame) -> DataFrame:

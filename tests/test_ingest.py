@@ -49,12 +49,19 @@ def test_upsert_rewrites_only_parts_it_touches(sales, spark):
     before = sales.rows("sales").latest()
     ingest_frame(sales, "sales", frame(("c", 33), ("d", 4)))
     after = sales.rows("sales").latest()
-    assert before.parts[0] in after.parts
-    assert before.parts[1] not in after.parts
+    (old,) = set(before.parts) - set(after.parts)
+    c = sales.rows("sales").read_parts([old], before.schema)
+    assert values(c) == [("c", 3)]
     assert after.notes["replaced_parts"] == 1
+    assert after.notes["n_rows"] == 4
     assert values(sales.read("sales")) == [("a", 1), ("b", 2), ("c", 33), ("d", 4)]
     # The older version stays readable until it is vacuumed.
     assert values(sales.rows("sales").read(before)) == [("a", 1), ("b", 2), ("c", 3)]
+    # What the latest version doesn't use is vacuumed, bucket by bucket.
+    used = sales.rows("sales").vacuum().parts
+    assert old not in used
+    assert values(sales.read("sales")) == [("a", 1), ("b", 2), ("c", 33), ("d", 4)]
+    assert old.split("/")[1] not in sales.rows("sales").folder.child(f"parts/{old.split('/')[0]}").names()
     sales.rows("sales").compact()
     assert len(sales.rows("sales").vacuum().parts) == 1
     assert sales.rows("sales").numbers() == [4]
@@ -271,3 +278,44 @@ def test_unmatched_files_are_named(sales, tmp_path):
     nothing = ingest_group(sales, str(folder))
     assert dict(nothing) == {}
     assert nothing.unmatched.count() == 1
+
+
+def test_one_replaced_row_rewrites_one_bucket(spark, store, monkeypatch):
+    from tablewright.sources.versions import BUCKETS, VersionedTable
+
+    store.register(TableSpec("wide", "id", spark.range(1).selectExpr("id", "id AS v").schema))
+    ingest_frame(store, "wide", spark.range(20_000).selectExpr("id", "id AS v"))
+    written = []
+    real = VersionedTable.write_parts
+
+    def counted(self, df, key):
+        parts = real(self, df, key)
+        written.append((len(parts), self.count_parts(parts, self.latest().schema)))
+        return parts
+
+    monkeypatch.setattr(VersionedTable, "write_parts", counted)
+    ingest_frame(store, "wide", spark.createDataFrame([(7, -1)], "id long, v long"))
+    assert [parts for parts, _ in written] == [1, 1]
+    assert written[1][1] < 3 * 20_000 / BUCKETS
+    assert store.read("wide").count() == 20_000
+    assert values(store.read("wide").filter("v < 0")) == [(7, -1)]
+    assert store.rows("wide").latest().notes["n_rows"] == 20_000
+
+
+def test_unique_rows_are_not_sorted_to_find_the_first(spark):
+    df = spark.range(100).selectExpr("id AS k", "id % 7 AS v")
+    assert K.first_rows(df, "k", ["v"]).count() == 100
+    plan = K.first_rows(df, "k", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
+
+
+def test_summaries_know_the_time_and_count_of_the_last_ingest(sales, tmp_path):
+    assert [(r["n_rows"], r["ingested_at"]) for r in sales.summaries().collect()] == [(0, None)]
+    ingest_csv(sales, "sales", v1(tmp_path))
+    first = sales.summaries().first()
+    assert first["n_rows"] == 2
+    ingest_csv(sales, "sales", csv(tmp_path, "s.csv", "id,val", "r1,9", "r5,1", "r5,2"), method="skip")
+    ingest_csv(sales, "sales", csv(tmp_path, "a.csv", "id,val", "r6,9"), method="append")
+    last = sales.summaries().first()
+    assert last["n_rows"] == sales.read("sales").count() == 4
+    assert last["ingested_at"] > first["ingested_at"]

@@ -29,6 +29,7 @@ from tablewright import (
 )
 from tablewright.errors import PlanError, StorageError
 from tablewright.naming import short_id
+from tablewright.sources.store import SnapshotMeta
 from tablewright.plans.report import REPORT_COLUMNS
 from tablewright.plans.steps import select_steps
 from tablewright.plans.verdicts import verdict_counts
@@ -222,19 +223,24 @@ def test_run_time_verdict_failure_stays_alone(spark, sales):
 
 def test_snapshots(spark, sales, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
-    assert store.snapshot_meta("t") == {"exists": False, "row_count": 0, "columns": []}
+    assert store.snapshot_meta("t") == SnapshotMeta()
     assert export_snapshot_csv(store, "t", str(tmp_path / "none")) is None
     steps = [Filter("val", "gt", "10"), FunctionStep(double, {"x": cols("val")})]
     done = run(spark, sales, steps, "all", store=store).execute()
     assert done.version == 1
     assert [r.rows_affected for r in done.results.orderBy("step_no").collect()] == [2, 2]
+    reader = store.snapshots("t").read()
     assert run(spark, sales, steps, "all", store=store).execute().version == 2
-    assert store.snapshots("t").numbers() == [2]
+    assert reader.count() == 2  # a job that reads the snapshot before can finish
+    assert store.snapshots("t").numbers() == [1, 2]
+    assert run(spark, sales, steps, "all", store=store).execute().version == 3
+    assert store.snapshots("t").numbers() == [2, 3]
+    store.snapshots("t").vacuum()
     assert len(store.snapshots("t").folder.child("parts").names()) == 1
-    assert store.snapshot_meta("t") == {"exists": True, "row_count": 2, "columns": ["id", "val", "dbl_val"]}
+    assert store.snapshot_meta("t") == SnapshotMeta(True, 2, ("id", "val", "dbl_val"))
     checks = run(spark, sales, [FunctionStep(positive, {"x": cols("val")})], "validations", store=store)
     assert checks.execute().version is None
-    assert store.snapshots("t").numbers() == [2]
+    assert store.snapshots("t").numbers() == [3]
 
 
 def test_failed_transforms_leave_no_snapshot(spark, sales, tmp_path):
@@ -243,7 +249,7 @@ def test_failed_transforms_leave_no_snapshot(spark, sales, tmp_path):
     done = run(spark, sales, [Filter("gone", "gt", "10"), FunctionStep(positive, {"x": cols("val")})], store=store).execute()
     assert done.version is None
     assert [r.status for r in done.results.orderBy("step_no").collect()] == ["failed", "ok"]
-    assert not store.snapshot_meta("t")["exists"]
+    assert not store.snapshot_meta("t").exists
 
 
 def test_csv_export_keeps_values(spark, tmp_path):
