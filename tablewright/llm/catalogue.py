@@ -76,6 +76,26 @@ QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, o
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 ORACLES = {
+    "op1_passages": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, first, md5(array_to_string(ws[first : first + 49], ' ')) AS same
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS first FROM split WHERE len(ws) >= 50)),
+        lowest AS (SELECT same, min(doc_id) AS low FROM windows GROUP BY same),
+        repeated AS (SELECT w.doc_id, w.first FROM windows w JOIN lowest l USING (same) WHERE w.doc_id > l.low),
+        gone AS (
+            SELECT doc_id, list(DISTINCT place) AS places
+            FROM (SELECT doc_id, unnest(range(first, first + 50)) AS place FROM repeated) GROUP BY doc_id),
+        marked AS (SELECT s.doc_id, s.ws, coalesce(g.places, []) AS places FROM split s LEFT JOIN gone g USING (doc_id)),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM marked),
+        left_over AS (
+            SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.place) AS kept FROM words w
+            ANTI JOIN (SELECT doc_id, unnest(places) AS place FROM gone) g ON g.doc_id = w.doc_id AND g.place = w.place
+            GROUP BY w.doc_id)
+        SELECT m.doc_id, len(m.ws)::BIGINT AS n_words, len(m.places)::BIGINT AS n_removed,
+               sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM marked m LEFT JOIN left_over k USING (doc_id)""",
     "op2_search": """
         WITH scaled AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
