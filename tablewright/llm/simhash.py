@@ -204,22 +204,31 @@ def near_groups(docs: DataFrame, differences: int = 3, width: int = 3, seed: int
     number; a group of null doc_ids alone has component_id null. Rows with one doc_id are linked through
     their own fingerprints. Extra columns are ignored; an empty table has no rows.
     """
+    return _grouped(docs, differences, width, seed).drop("root")
+
+
+def _grouped(docs: DataFrame, differences: int, width: int, seed: int) -> DataFrame:
+    """``near_groups`` and root, a fingerprint that tells the group from every other, whatever its doc_ids."""
     prints = written(fingerprints(docs, width, seed), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("low")), "nodes")
     member = components(fingerprint_links(nodes.select("fp"), differences))
     rooted = member.join(nodes, member["node"] == nodes["fp"]).select("node", "root", "low")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
-    linked = rooted.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
-    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("lowest"))
+    linked = rooted.join(lowest, "root").select(F.col("node").alias("fp"), "root", "lowest")
+    labels = nodes.join(linked, "fp", "left")
+    labels = labels.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "low").alias("lowest"))
     out = prints.join(labels, "fp")
-    return out.select("doc_id", "fp", F.when(F.col("lowest") != LAST_ID, F.col("lowest")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("lowest") != LAST_ID, F.col("lowest")).alias("component_id"), "root")
 
 
 def distinct_documents(docs: DataFrame, differences: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
-    """One row of every near-duplicate group, with all its columns: that of the smallest (doc_id, fingerprint)."""
-    groups = near_groups(docs, differences, width, seed).withColumn("group", F.coalesce("component_id", F.lit(LAST_ID)))
-    kept = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "fp")).alias("kept"))
-    kept = kept.select("kept.id", "kept.fp").distinct()
+    """One row of every near-duplicate group, with all its columns: that of the smallest (doc_id, fingerprint).
+
+    Groups are told apart by their links, not by doc_ids, which may be null or repeat with other texts.
+    """
+    groups = _grouped(docs, differences, width, seed)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "fp")).alias("kept"))
+    kept = kept.select("kept.id", "kept.fp")
     have = {c.lower(): c for c in docs.columns}
     column = docs.columns.index(have["text"])
     rows = docs.select(

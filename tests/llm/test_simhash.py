@@ -98,6 +98,14 @@ def test_one_document_of_each_group_stays_as_it_was(spark):
     assert sorted(map(tuple, simhash.distinct_documents(df).collect())) == [(1, base, "b", 2), (7, "else", None, 3)]
 
 
+def test_groups_without_an_id_of_their_own_keep_a_document_each(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(200)) for c in "abcd")
+    rows = [(None, one), (None, two), (None, two), (None, None), (4, three), (4, four), (6, three), (7, four)]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in simhash.distinct_documents(df).collect()))
+    assert got == [(0, ""), (0, one), (0, two), (4, three), (4, four)]
+
+
 def test_empty(spark):
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).collect() == []
 
