@@ -48,14 +48,15 @@ def arc_file(records: list[bytes], date: str, version: int = 1, name: str = "pag
     return f"{head}{len(body)}\n".encode() + body + b"\n" + b"".join(records)
 
 
-def parse_arc(raw: bytes, version: int | None = None) -> Iterator[dict]:
+def parse_arc(raw: bytes, version: int | None = None, file: bool = True) -> Iterator[dict]:
     """The URL records of ARC bytes: the fields of their line, and body.
 
-    The version is read from the version block where there is one; otherwise ``version`` holds. A body is the
+    The version is read from the version block where a ``file`` begins with one; otherwise ``version`` holds.
+    Later records, and records that aren't a file, are URL records whatever their url is. A body is the
     declared number of bytes, whatever they are; line ends between records are skipped. ValueError for a
     line that doesn't have the version's fields, or a body cut short.
     """
-    at = 0
+    at, begins = 0, file
     while at < len(raw):
         if raw[at : at + 1] in b"\r\n":
             at += 1
@@ -64,7 +65,7 @@ def parse_arc(raw: bytes, version: int | None = None) -> Iterator[dict]:
         if end < 0:
             raise ValueError(f"no record line at byte {at}")
         values = raw[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        opening = values[0].startswith("filedesc://")
+        opening, begins = begins and values[0].startswith("filedesc://"), False
         if not values[-1].isdigit():
             raise ValueError(f"no declared length at byte {at}")
         at = end + 1 + int(values[-1])
@@ -162,7 +163,7 @@ def as_arc(rows: DataFrame) -> DataFrame:
 
 def convert(records: DataFrame) -> DataFrame:
     """WARC records (column warc) of legacy records: version, arc, kind, first (page_id of the
-    record a revisit repeats), page_id."""
+    record a revisit repeats), page_id. ValueError for a legacy record that isn't exactly one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +172,8 @@ def convert(records: DataFrame) -> DataFrame:
                 for r in batch.slice(low, 200).to_pylist():
                     extra = {} if r["page_id"] is None else {"X-Page-ID": str(r["page_id"])}
                     first = {"X-Refers-To-Page-ID": str(r["first"])} if r["first"] is not None else {}
-                    out += [warc_record(arc, r["kind"], first, extra) for arc in parse_arc(r["arc"], r["version"])]
+                    (arc,) = parse_arc(r["arc"], r["version"], file=False)
+                    out.append(warc_record(arc, r["kind"], first, extra))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["warc"])
 
     return records.select("page_id", "version", "arc", "kind", "first").mapInArrow(run, "warc binary")

@@ -67,6 +67,14 @@ def test_pages_through_archives(spark, tmp_path):
     assert all(p.read_bytes().startswith(b"WARC/1.0\r\n") for p in files)
 
 
+def test_pages_whose_url_looks_like_a_version_block(spark, tmp_path):
+    rows = [(i, f"filedesc://{i}", body, 1, "d") for i, body in enumerate(["1 a", "z" * 2000, "z" * 2000, "", None])]
+    got = A.archive_pages(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 1000)
+    raw = A.arc_file([A.arc_record(r[1], "2001", b"2 b") for r in rows], "2001")
+    assert [r["url"] for r in A.parse_arc(raw)] == [r[1] for r in rows]
+
+
 def test_legacy_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for version in (1, 2):
