@@ -204,14 +204,15 @@ def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> Da
     return docs.mapInArrow(run, "h long, g int, id long, tag int, place int, more array<int>")
 
 
-def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, unique: bool = False) -> DataFrame:
     """id, tag, places: first words of the windows of a document that also start in one with a smaller id.
 
     ``docs`` has id (long), tag (int) and text. Windows the sketch estimates repeated are grouped by 96 bits
     of hash, which settles what the sketch only suspected. Since the sketch never underestimates, a window
     that it doesn't call hot is in fewer than ``hot`` documents: such groups fit one task, and a window
     function finds their smallest id in one shuffle. Hot ones are reduced to their smallest id on the map
-    side and joined back, which adaptive execution can split.
+    side and joined back, which adaptive execution can split. Rows with one id and tag have one list between
+    them, in which a place comes once, however many they are; with ``unique`` ids there are no such rows.
     """
     sketch = sketch_windows(docs, width, hot)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -222,8 +223,11 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT) -> DataFr
         many = _candidates(docs, shared, width, hot=True)
         lows = many.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
         later = later.union(many.join(lows, ["h", "g"]).filter("id > low").select("id", "tag", "place", "more"))
-    all_places = F.flatten(F.collect_list(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))))
-    return later.groupBy("id", "tag").agg(all_places.alias("places"))
+    places = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))
+    if unique:
+        return later.groupBy("id", "tag").agg(F.flatten(F.collect_list(places)).alias("places"))
+    each = later.select("id", "tag", F.explode(places).alias("place")).distinct()
+    return each.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
 
 
 def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
@@ -236,9 +240,10 @@ def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
         (F.crc32(F.coalesce(text, F.lit(""))) - 2**31).cast("int").alias("tag"),
         text.alias("text"),
     )
-    if named.groupBy("id").count().filter("count > 1").isEmpty():
+    unique = named.groupBy("id").count().filter("count > 1").isEmpty()
+    if unique:
         named = named.withColumn("tag", F.lit(0))  # ids tell rows apart; nothing more has to be shuffled
-    found = repeated_windows(named.select("id", "tag", "text"), width, hot)
+    found = repeated_windows(named.select("id", "tag", "text"), width, hot, unique)
     joined = named.drop("text").join(found, ["id", "tag"], "left").select("row", "places")
     column = docs.columns.index(have["text"])
 

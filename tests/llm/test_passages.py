@@ -60,6 +60,14 @@ def test_stage_keeps_columns_and_untouched_texts(spark):
     assert got == {1: rows[0], 3: (3, "head", 4, 9), 4: rows[3], 5: rows[4]}
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_copies_under_one_id_share_a_list_no_longer_than_their_text(spark, hot):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, 0, text)] + [(9, 5, text + " " + text)] * 200
+    got = passages.repeated_windows(spark.createDataFrame(rows, "id long, tag int, text string"), 10, hot).collect()
+    assert [(r["id"], r["tag"], sorted(r["places"])) for r in got] == [(9, 5, [*range(21), *range(30, 51)])]
+
+
 def test_a_very_long_text(spark):
     words = [f"w{i}" for i in range(60_000)]
     rows = [(1, " ".join(words), 0, 0), (2, " ".join(words[100:59_000]), 0, 0)]
