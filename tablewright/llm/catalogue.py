@@ -50,7 +50,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
+    packed = pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tablewright.llm import packing
+from tablewright.llm import catalogue, packing
 from tablewright.llm.texts import slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,3 +83,10 @@ def test_empty_and_bad_length(spark):
     assert packing.pack(df, PATH).collect() == []
     with pytest.raises(ValueError):
         packing.pack(df, PATH, most=100)
+
+
+def test_the_query_writes_the_sequences_themselves(spark):
+    found = catalogue.op7_packing(spark, "/root/testdata/sf0.001")
+    pieces = spark.read.parquet(*found.inputFiles()).select("ids", "length", "ids_crc32").collect()
+    assert len(pieces) == found.count() > 0
+    assert all(r["ids"] is not None and (len(r["ids"]), zlib.crc32(r["ids"])) == (4 * r["length"], r["ids_crc32"]) for r in pieces)
