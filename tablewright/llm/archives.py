@@ -28,8 +28,11 @@ FIELD_LINE = {
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Payloads below this many bytes are stored each time.
 WORTH_A_REVISIT = 1000
-#: Records of a WARC file; a file is read whole by one task.
+#: Records of a WARC file, and its bytes unless a single record has more; a file is read whole by one task.
 PER_FILE = 1000
+MOST_BYTES = 32 << 20
+#: Records and bytes of bodies that are handed on together.
+TOGETHER, TOGETHER_BYTES = 200, 8 << 20
 
 
 def arc_record(url: str, date: str, body: bytes, version: int = 1, mime: str = "text/html", name: str = "pages.arc") -> bytes:
@@ -180,10 +183,30 @@ def convert(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Archives of at most ``per_file`` records. Spark's text sink writes the bytes of a record and, as line
-    end, the two blank lines that close it; its commit protocol keeps files of lost tasks out."""
-    writer = records.select(F.col("warc").cast("string").alias("value")).write
-    writer.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    """Archives of at most ``per_file`` records and MOST_BYTES bytes; a larger record has a file of its own.
+
+    The records of a file are one row of Spark's text sink, which writes its bytes and, as line end, the two
+    blank lines that close the last record; its commit protocol keeps files of lost tasks out.
+    """
+    most = MOST_BYTES
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for value in batch["warc"]:
+                record = value.as_py()
+                if held and (len(held) >= per_file or size + len(record) + 4 > most):
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["file"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + 4
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["file"])
+
+    files = records.select("warc").mapInArrow(gather, "file binary")
+    writer = files.select(F.col("file").cast("string").alias("value")).write
+    writer.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -191,9 +214,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "page_id", "refers_to", "declared_bytes", "declared_digest", "body"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         for batch in batches:
             for raw in batch["content"]:
-                found = []
+                found, size = [], 0
                 for head, body in parse_warc(memoryview(raw.as_buffer()).tobytes()):
                     found.append(
                         (
@@ -205,10 +234,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             body,
                         )
                     )
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                for low in range(0, len(found), 200):
-                    columns = list(zip(*found[low : low + 200], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                    size += len(body)
+                    if len(found) >= TOGETHER or size >= TOGETHER_BYTES:
+                        yield rows(found)
+                        found, size = [], 0
+                if found:
+                    yield rows(found)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     schema = "kind string, page_id long, refers_to long, declared_bytes long, declared_digest string, body binary"

@@ -75,6 +75,16 @@ def test_pages_whose_url_looks_like_a_version_block(spark, tmp_path):
     assert [r["url"] for r in A.parse_arc(raw)] == [r[1] for r in rows]
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "MOST_BYTES", 20_000, raising=False)
+    rows = [(i, f"http://h/{i}", f"{i} " * 900, 1, "d") for i in range(10, 40)] + [(7, "u", "7 " * 30_000, 1, "d")]
+    got = A.archive_pages(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 1000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
+    assert sizes[-1] < 61_000
+    assert all(s <= 20_000 for s in sizes[:-1])
+
+
 def test_legacy_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for version in (1, 2):
