@@ -6,18 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.alignment import alignment
 from tablewright.llm.archives import archive_pages
+from tablewright.llm.cosines import near_vectors
 from tablewright.llm.mixing import mix_plan
 from tablewright.llm.multiset import edit_likeness
 from tablewright.llm.packing import pack
 from tablewright.llm.passages import kept_words
 from tablewright.llm.quality import quality_scores
+from tablewright.llm.ranking import ranked
 from tablewright.llm.search import nearest_embeddings
 from tablewright.llm.sharding import byte_shards
 from tablewright.llm.simhash import near_groups
 from tablewright.llm.toxicity import toxicity_scores
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,7 +74,23 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_passages, op2_search, op3_fingerprints, op4_archives, op5_quality, op6_toxicity, op7_packing, op8_simhash, op9_mixing, op10_sharding)}
+def op11_cosines(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+_ALL = (
+    op1_passages, op2_search, op3_fingerprints, op4_archives, op5_quality, op6_toxicity, op7_packing, op8_simhash,
+    op9_mixing, op10_sharding, op11_cosines, op12_ranking, op13_alignment,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: Words of the text, as everywhere in this package.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -153,4 +173,39 @@ ORACLES = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
                (epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
         FROM placed""",
+    "op11_cosines": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id <> y.vec_id
+            WHERE CASE WHEN len(x.v) = len(y.v) THEN list_cosine_similarity(x.v, y.v) >= 0.93 ELSE false END),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS r FROM embeddings
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a),
+        lowest AS (SELECT a, min(r) AS component_id FROM reach GROUP BY a),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN lowest ON lowest.a = e.vec_id LEFT JOIN counted ON counted.a = e.vec_id""",
+    "op12_ranking": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        queries AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+        totals AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM split WHERE len(ts) > 0),
+        sized AS (SELECT doc_id, ts, 75 + (25 * len(ts) * n_docs) // n_terms AS m FROM split, totals WHERE len(ts) > 0),
+        postings AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(ts) AS term FROM sized) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM postings, totals GROUP BY term),
+        scored AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM queries JOIN postings USING (term) JOIN weights USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }

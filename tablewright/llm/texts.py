@@ -62,8 +62,8 @@ class Words:
         return np.diff(self.first)
 
 
-def words(part: Slice) -> Words:
-    inside = ~SEPARATES[part.data]
+def words(part: Slice, separates: np.ndarray = SEPARATES) -> Words:
+    inside = ~separates[part.data]
     n = len(inside)
     opens, closes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     opens[0] = closes[n] = True
