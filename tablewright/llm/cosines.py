@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
 from tablewright.llm.shared import pick, written
-from tablewright.llm.texts import mixed
+from tablewright.llm.texts import mixed, within
 
 _U64 = np.uint64
 #: Tables, quantised projections of a table, and the width of a cell. Vectors at a cosine of 0.93 (distance
@@ -23,8 +23,12 @@ PROJECTIONS = 10
 WIDTH = 1.5
 #: Vectors of a bucket that are compared in one task; larger buckets are dealt in chunks of this size.
 TOGETHER = 4096
-#: Rows of a block of cosines.
+#: Rows of a block of cosines; groups whose pairs are listed at once, and the components gathered for them.
 _ROWS = 256
+_SMALL = 32
+_CELLS = 1 << 22
+#: What tells groups apart in a task, besides the length of the vectors.
+_GROUP = ("bucket", "one", "two", "label", "place")
 
 
 @lru_cache(maxsize=8)
@@ -80,22 +84,30 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "place", "bucket"])
 
 
-def _linked(unit: np.ndarray, norm: np.ndarray, keys: np.ndarray, place: int, least: float, chunk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group with a cosine of ``least`` or more that share no bucket of an earlier table. In a
-    group of two chunks, only pairs across."""
-    two = len(chunk) and chunk.min() != chunk.max()
-    for low in range(0, len(unit), _ROWS):
-        left = slice(low, low + _ROWS)
-        near = (unit[left] @ unit.T) / (norm[left, None] * norm) >= least
+def _small_pairs(vectors: np.ndarray, norm: np.ndarray, first: np.ndarray, n: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with a cosine of ``least`` or more within many small groups at once."""
+    rows = np.repeat(first, n) + within(n)
+    fan = np.repeat(n, n) - 1 - within(n)
+    if not fan.any():
+        return
+    step = max(1, _CELLS // vectors.shape[1])
+    begin = np.searchsorted(np.cumsum(fan), np.arange(0, int(fan.sum()), step), "right")
+    for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True):
+        a = np.repeat(rows[low:high], fan[low:high])
+        b = a + 1 + within(fan[low:high])
+        near = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b]) >= least
+        yield a[near], b[near]
+
+
+def _large_pairs(vectors: np.ndarray, norm: np.ndarray, first: int, n: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same within one large group, a block of rows against all."""
+    span = slice(first, first + n)
+    for low in range(first, first + n, _ROWS):
+        left = slice(low, min(low + _ROWS, first + n))
+        near = (vectors[left] @ vectors[span].T) / (norm[left, None] * norm[span]) >= least
         a, b = np.nonzero(near)
-        a += low
-        keep = (b > a) & ((chunk[a] != chunk[b]) if two else True)
-        a, b = a[keep], b[keep]
-        if place and len(a):
-            new = ~(keys[a, :place] == keys[b, :place]).any(axis=1)
-            a, b = a[new], b[new]
-        if len(a):
-            yield a, b
+        a, b = a + low, b + first
+        yield a[b > a], b[b > a]
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -117,16 +129,34 @@ def _compared(least: float):
     """a, b, links: for vectors with links to others, their number (b null); and links a, b that connect
     what is connected."""
 
-    def group(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def groups(rows: pa.RecordBatch, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups of vectors of one length; ``key`` tells them apart."""
         if rows.num_rows < 2:
             return
-        vectors = _matrix(rows["v"].combine_chunks())
-        scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        norm = np.sqrt((scaled**2).sum(axis=1))
-        keys, place = bucket_keys(unit_vectors(vectors)), rows["place"][0].as_py()
-        rid, copies, chunk = (rows[c].to_numpy() for c in ("rid", "copies", "chunk"))
+        vectors = _matrix(rows["v"])
+        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        norm = np.sqrt((vectors**2).sum(axis=1))
+        rid, copies, chunk, place, one, two = (rows[c].to_numpy() for c in ("rid", "copies", "chunk", "place", "one", "two"))
+        first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        n = np.diff(np.r_[first, len(rid)])
+        small = n <= _SMALL
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from _small_pairs(vectors, norm, first[small], n[small], least)
+            for f, many in zip(first[~small].tolist(), n[~small].tolist(), strict=True):
+                yield from _large_pairs(vectors, norm, f, many, least)
+
         label, links = np.arange(len(rid)), np.zeros(len(rid), np.int64)
-        for a, b in _linked(scaled, norm, keys, place, least, chunk):
+        for a, b in pairs():
+            across = (one[a] == two[a]) | (chunk[a] != chunk[b])  # two chunks meet for the pairs across them
+            a, b = a[across], b[across]
+            if not len(a):
+                continue
+            involved, turn = np.unique(np.r_[a, b], return_inverse=True)
+            keys = bucket_keys(vectors[involved] / norm[involved, None])
+            shared = keys[turn[: len(a)]] == keys[turn[len(a) :]]
+            here = shared.argmax(axis=1) == place[a]  # the first table they share
+            a, b = a[here], b[here]
             links += np.bincount(a, copies[b], len(rid)).astype(np.int64) + np.bincount(b, copies[a], len(rid)).astype(np.int64)
             _merge(label, a, b)
         has, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rid)))
@@ -134,25 +164,32 @@ def _compared(least: float):
             columns = [pa.array(np.r_[rid[has], rid[tied]]), pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(rid[label[tied]])])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.r_[links[has], np.zeros(len(tied), np.int64)])], names=["a", "b", "links"])
 
+    def by_size(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = np.stack([batch[c].to_numpy().astype(np.int64) for c in _GROUP])
+        for rows in _by_size(batch):
+            yield from groups(batch.take(pa.array(rows)), key[:, rows])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "label", "one", "two", "place")])
-            size = batch["v"].value_lengths().to_numpy(zero_copy_only=False)
-            key = np.concatenate([part, size[None].astype(np.int64)])
+            key = np.stack([batch[c].to_numpy().astype(np.int64) for c in _GROUP])
+            # The last group may go on in the next batch.
             edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            bounds = [0, *edges.tolist(), batch.num_rows]
-            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                if held and tuple(key[:, low]) != last:
-                    yield from group(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(low, high - low))
-                last = tuple(key[:, low])
+            if held and (key[:, 0] != last).any():
+                yield from by_size(held)
+                held = []
+            cut = int(edges[-1]) if len(edges) else 0
+            if cut:
+                yield from by_size([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+            last = key[:, -1]
         if held:
-            yield from group(pa.Table.from_batches(held))
+            yield from by_size(held)
 
     return run
 
@@ -198,7 +235,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, together: int = TOG
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("one", F.least("chunk", "with")).withColumn("two", F.greatest("chunk", "with"))
     key = ["bucket", "one", "two"]
-    sorted_ = dealt.repartition(*key).sortWithinPartitions(*key, "label", "place", F.size("v"))
+    sorted_ = dealt.repartition(*key).sortWithinPartitions(*key, "label", "place")
     columns = ["bucket", "label", "one", "two", "place", "chunk", "rid", "copies", "v"]
     found = written(sorted_.select(*columns).mapInArrow(_compared(least), "a long, b long, links long"), "links")
 
