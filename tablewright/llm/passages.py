@@ -179,7 +179,7 @@ def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Sketch = sketch.value
         for batch in batches:
-            ids, tags = batch["id"].to_numpy(), batch["tag"].to_numpy()
+            ids, tags = batch["id"].to_numpy(), batch["tag"]
             for part in slices(batch["text"]):
                 found = words(part)
                 values, at, text = _window_hashes(part, found, width)
@@ -198,16 +198,18 @@ def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> Da
                 more = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[others == 0, False]), pa.array(rest))
                 second = span_hashes(mixed(values, 3), at[order[first]], at[order[first]] + width, 1)
                 row = t[first] + part.first
-                out = (h[first].view(np.int64), (second >> _U64(32)).astype(np.uint32).view(np.int32), ids[row], tags[row], begin[first])
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in out], more], names=["h", "g", "id", "tag", "place", "more"])
+                out = (h[first].view(np.int64), (second >> _U64(32)).astype(np.uint32).view(np.int32), ids[row])
+                rest = [tags.take(pa.array(row)), pa.array(begin[first]), more]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out), *rest], names=["h", "g", "id", "tag", "place", "more"])
 
-    return docs.mapInArrow(run, "h long, g int, id long, tag int, place int, more array<int>")
+    kind = docs.schema["tag"].dataType.simpleString()
+    return docs.mapInArrow(run, f"h long, g int, id long, tag {kind}, place int, more array<int>")
 
 
 def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, unique: bool = False) -> DataFrame:
     """id, tag, places: first words of the windows of a document that also start in one with a smaller id.
 
-    ``docs`` has id (long), tag (int) and text. Windows the sketch estimates repeated are grouped by 96 bits
+    ``docs`` has id (long), tag and text; rows with one id and tag must have one text. Windows the sketch estimates repeated are grouped by 96 bits
     of hash, which settles what the sketch only suspected. Since the sketch never underestimates, a window
     that it doesn't call hot is in fewer than ``hot`` documents: such groups fit one task, and a window
     function finds their smallest id in one shuffle. Hot ones are reduced to their smallest id on the map
@@ -237,7 +239,7 @@ def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
     named = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
         F.coalesce(docs[f"`{have['doc_id']}`"].cast("long"), F.lit(LAST_ID)).alias("id"),
-        (F.crc32(F.coalesce(text, F.lit(""))) - 2**31).cast("int").alias("tag"),
+        F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)).alias("tag"),  # 128 bits tell texts apart
         text.alias("text"),
     )
     unique = named.groupBy("id").count().filter("count > 1").isEmpty()
@@ -258,6 +260,7 @@ def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
                     stay = np.ones(n, bool)
                     if own.is_valid:
                         places = own.values.to_numpy()
+                        assert len(places) == 0 or places.max() + width <= n, "places of another text"
                         cover = np.bincount(places, minlength=n + 1) - np.bincount(np.minimum(places + width, n), minlength=n + 1)
                         stay = np.cumsum(cover)[:n] <= 0
                     at = np.flatnonzero(stay) + first

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -68,6 +69,27 @@ def test_copies_under_one_id_share_a_list_no_longer_than_their_text(spark, hot):
     assert [(r["id"], r["tag"], sorted(r["places"])) for r in got] == [(9, 5, [*range(21), *range(30, 51)])]
 
 
+def equal_checksums():
+    """Two texts of 60 words each, without a common window, whose CRC-32 is equal."""
+    heads = [" ".join(f"{name}{i}" for i in range(59)) + " " for name in "ab"]
+    rng = random.Random(0)
+    ends = [f"{rng.getrandbits(48):x}" for _ in range(400_000)]
+    seen = {zlib.crc32((heads[0] + e).encode()): e for e in ends}
+    for e in ends:
+        if (found := seen.get(zlib.crc32((heads[1] + e).encode()))) is not None:
+            return heads[0] + found, heads[1] + e
+    raise AssertionError
+
+
+def test_texts_of_one_id_with_equal_checksums_stay_apart(spark):
+    one, other = equal_checksums()
+    long = one + " " + " ".join(f"c{i}" for i in range(300))
+    for texts in ([one, other], [one, other, long]):
+        rows = [(1, texts[-1] if len(texts) > 2 else one, 0, 0), *[(None, t, 0, 0) for t in texts]]
+        got = passages.kept_words(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_words", "n_removed", "kept").collect()
+        assert sorted(map(tuple, got), key=repr) == brute([r[:2] for r in rows], 50)
+
+
 def test_a_very_long_text(spark):
     words = [f"w{i}" for i in range(60_000)]
     rows = [(1, " ".join(words), 0, 0), (2, " ".join(words[100:59_000]), 0, 0)]
