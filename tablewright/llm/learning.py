@@ -20,10 +20,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     """doc_id, text, label (0 or 1) of at most ``most`` labelled documents outside the held-out fold.
 
     The ids are those with the smallest hashes, so the sample is the same each time. Null labels and ids are
-    left out; of several labels of one document the larger counts. The ids are at most ``most``, so the join
-    to the documents broadcasts a bounded table.
+    left out; of several labels of one document the larger counts, of several texts of one id the one with
+    the smallest hash, chosen on the map side, however often the id repeats. The ids are at most ``most``, so
+    the join to the documents broadcasts a bounded table.
     """
     known = pick(labels, doc_id="long", **{label: "int"}).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
+    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return texts.groupBy("doc_id", "label").agg(one.alias("one")).select("doc_id", "one.text", "label")

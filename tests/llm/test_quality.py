@@ -85,3 +85,15 @@ def test_sample_avoids_the_held_out_fold(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    docs = spark.range(100_000).selectExpr("2L AS doc_id", "concat('text ', id % 1000) AS text", "1 AS label").union(
+        spark.createDataFrame([(1, "a", 0), (3, None, 0), (3, None, 0)], "doc_id long, text string, label int")
+    )
+    labels = spark.createDataFrame([(i, q, 0) for i in (1, 2, 3, 4) for q in (0, 1)], "doc_id long, quality int, toxic int")
+    for most in (2, 20_000):
+        sample = labelled_sample(docs, labels, "quality", most).collect()
+        assert len(sample) == len({r["doc_id"] for r in sample}) <= most
+        assert {r["label"] for r in sample} == {1}
+    assert {r["doc_id"]: r["text"] for r in sample}[1] == "a"
