@@ -33,11 +33,11 @@ def evidence_buckets(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower-cased in A-Z and stripped of ASCII punctuation at either end."""
     data = LOWER[part.data]
     found = words(Slice(0, data, part.offsets))
-    starts, ends = found.starts.copy(), found.ends.copy()
-    while (strip := (starts < ends) & _PUNCTUATION[data[np.minimum(starts, len(data) - 1)]]).any():
-        starts[strip] += 1
-    while (strip := (starts < ends) & _PUNCTUATION[data[ends - 1]]).any():
-        ends[strip] -= 1
+    place, bare = np.arange(len(data)), ~_PUNCTUATION[data]
+    after = np.minimum.accumulate(np.where(bare, place, len(data))[::-1])[::-1]  # the next byte to keep
+    before = np.maximum.accumulate(np.where(bare, place, -1))
+    starts = np.minimum(after[found.starts], found.ends)
+    ends = np.maximum(before[found.ends - 1] + 1, starts)
     text = np.repeat(np.arange(len(part)), found.counts)
     long = [starts + n < ends for n in BEGINNINGS]
     first = np.concatenate([starts, *[starts[x] for x in long]])

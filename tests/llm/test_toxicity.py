@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,14 @@ def test_evidence_of_odd_texts():
             assert T.evidence_features(part, np.array([5]), T.places(np.array([5]))).shape == (1, 4)
 
 
+def test_long_runs_of_punctuation_take_one_pass():
+    (part,) = T.slices(pa.array(["- " * 3 + "-" * 400_000 + "Idiot" + "-" * 400_000 + " " + "-" * 400_000]))
+    begin = time.perf_counter()
+    found = T.evidence_buckets(part)[1].tolist()
+    assert time.perf_counter() - begin < 2
+    assert sorted(found) == sorted(T.evidence_buckets(next(T.slices(pa.array(["idiot"]))))[1].tolist())
+
+
 def test_newton_finds_the_log_odds():
     x = np.array([[0.0]] * 100 + [[1.0]] * 100)
     y = np.array([1.0] * 20 + [0.0] * 80 + [1.0] * 70 + [0.0] * 30)
