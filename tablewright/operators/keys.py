@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.naming import col, field_of
-from tablewright.operators.casts import to_text
+from tablewright.operators.casts import cast_of, to_text, uncastable
 
 # The ingestion methods.
 METHODS = ("upsert", "append", "skip")
@@ -25,6 +25,30 @@ def key_violations(df: DataFrame, key: str) -> DataFrame:
     return counts.filter((F.col("n_rows") > 1) | col(name).isNull())
 
 
+def converted_key_counts(df: DataFrame, key: str, new_type: str) -> DataFrame:
+    """One row: ``castable, uncastable`` rows of a key column, and what the converted keys would violate,
+    ``null_rows`` and ``repeated_keys``. One pass over one column; only keys and counts are shuffled."""
+    grouped = df.groupBy(cast_of(df, key, new_type).alias("__k")).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(uncastable(df, key, new_type)).alias("__bad")
+    )
+    total, bad, null = F.sum("__n"), F.sum("__bad"), F.col("__k").isNull()
+    return grouped.agg(
+        F.coalesce(total - bad, F.lit(0)).alias("castable"),
+        F.coalesce(bad, F.lit(0)).alias("uncastable"),
+        F.coalesce(F.sum(F.when(null, F.col("__n"))), F.lit(0)).alias("null_rows"),
+        F.count_if(~null & (F.col("__n") > 1)).alias("repeated_keys"),
+    )
+
+
+def converted_key_violations(df: DataFrame, key: str, new_type: str) -> DataFrame:
+    """``key, n_rows, reason`` of converted keys that are NULL or meet in one value; ``key`` is that value as
+    text."""
+    name = field_of(df, key).name
+    broken = key_violations(df.select(cast_of(df, key, new_type).alias(name)), name)
+    reason = F.when(col(name).isNull(), "null").otherwise("repeated")
+    return broken.select(to_text(col(name), broken.schema[name].dataType).alias("key"), "n_rows", reason.alias("reason"))
+
+
 def first_rows(batch: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """One row per key: the first by ``order``. NULL keys are dropped.
 

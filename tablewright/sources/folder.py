@@ -80,6 +80,10 @@ class Folder:
         finally:
             stream.close()
 
+    def rename(self, name: str, to: str) -> bool:
+        """One step on the file system; False when the file is gone or the target exists."""
+        return self.exists(name) and not self.exists(to) and self._fs.rename(self._at(name), self._at(to))
+
     def create_json(self, name: str, value: dict) -> None:
         """Publish a file in one rename. Fails when it exists: somebody else was first."""
         if self.exists(name):

@@ -1,7 +1,7 @@
 """Ingest of files or frames into a keyed table.
 
 The batch is written once, as Parquet next to the table, and every later pass reads that: key
-checks read the key column only, an append publishes the written part as it is, and a lost
+checks read the key column only, every method deals its rows to the table's buckets, and a lost
 executor re-reads files instead of parsing the input again.
 """
 
@@ -155,7 +155,9 @@ def _publish(rows, before, spec, landed, method, n_order, notes) -> IngestResult
         if conflict is not None:
             rows.drop_part(landed)
             return IngestResult(error=f"key {conflict['key']!r} violates the key of {spec.name!r}: {conflict['reason']}")
-        version = rows.commit([*old_parts, landed], schema, before, n_rows=held + total, **notes)
+        added = rows.write_parts(full.select(schema.names), key)
+        rows.drop_part(landed)
+        version = rows.commit([*old_parts, *added], schema, before, n_rows=held + total, **notes)
         return IngestResult(rows_ingested=total, version=version.number)
 
     if full.filter(col(key).isNull()).first() is not None:
@@ -204,11 +206,16 @@ def _rewrite_touched(
     """Rewrite only the parts that hold a replaced key; the others stay in the new version. Also returns how
     many parts and rows were replaced.
 
-    Finding them reads the key column alone, and yields at most one name per part.
+    Finding them reads the key column alone, where the footers allow a key of the batch's range, and yields at
+    most one name per part.
     """
     if before is None or not before.parts:
         return [], 0, 0
-    base = rows.read(before)
+    span = fresh.agg(F.min(col(key)).alias("low"), F.max(col(key)).alias("high")).first()
+    if span["low"] is None:
+        return list(before.parts), 0, 0
+    low, high = (F.lit(x).cast(schema[key].dataType) for x in span)
+    base = rows.read(before).filter(col(key).between(low, high))
     part = F.regexp_extract(F.col("_metadata.file_path"), r"/parts/(.+)/[^/]+$", 1)
     located = base.select(col(key), F.url_decode(part).alias(_PART))
     hit = K.replaced_rows(located, fresh, key).groupBy(_PART).agg(F.count(F.lit(1)).alias("n"))

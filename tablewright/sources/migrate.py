@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from tablewright.naming import field_of
 from tablewright.operators.casts import cast_column, castability, check_migration_type, nullified_keys
+from tablewright.operators.keys import converted_key_counts, converted_key_violations
 from tablewright.sources.store import TableStore
 from tablewright.types import spark_type, type_name
 
@@ -28,11 +29,25 @@ class MigrationResult:
     nullified: DataFrame | None = None
     error: str | None = None
     reason: str | None = None
+    #: Keys that the conversion would break, if the column is a key, and what breaks them (``key, n_rows, reason``).
+    broken_keys: int = 0
+    violations: DataFrame | None = None
 
 
-def _counts(df: DataFrame, column: str, new_type: str) -> tuple[int, int]:
-    row = castability(df, column, new_type).first()
-    return row["castable"], row["uncastable"]
+@dataclass(frozen=True)
+class _Counts:
+    castable: int
+    uncastable: int
+    broken_keys: int = 0
+
+
+def _counts(store: TableStore, table: str, column: str, new_type: str) -> _Counts:
+    """What a conversion does to the rows of a table; if the column is its key, also to the key."""
+    df = store.read(table)
+    if store.spec(table).key.lower() != column.lower():
+        return _Counts(*castability(df, column, new_type).first())
+    row = converted_key_counts(df, column, new_type).first()
+    return _Counts(row["castable"], row["uncastable"], row["repeated_keys"] + bool(row["null_rows"]))
 
 
 def migrate_column(
@@ -47,8 +62,10 @@ def migrate_column(
     """Convert a column of one table, or of every table sharing its name and type.
 
     ``abort`` looks at every table in scope before anything is written, so no table loses values
-    unseen. New contents are written first and published after the last write has succeeded.
-    The old version stays readable, and ``nullified`` lists the affected keys from it.
+    unseen. Where the column is a table's key, converted keys that are NULL or repeat are refused under
+    either policy. New contents are written first, in the table's buckets, and become visible for all
+    tables in one step, so a failure leaves every table as it was. The old version stays readable, and
+    ``nullified`` lists the affected keys from it.
     """
     if scope not in SCOPES or on_uncastable not in POLICIES:
         raise ValueError(f"scope is one of {SCOPES}, on_uncastable one of {POLICIES}")
@@ -65,24 +82,39 @@ def migrate_column(
         return MigrationResult(True)
 
     shared = store.sharing(table, column)
-    castable, uncastable = _counts(store.read(table), column, target)
+    own = _counts(store, table, column, target)
     if dry_run:
-        return MigrationResult(True, True, castable, uncastable, shared)
+        return MigrationResult(True, True, own.castable, own.uncastable, shared, broken_keys=own.broken_keys)
 
     chosen = [table] if scope == "this_source" else shared
-    if on_uncastable == "abort":
-        lost = {t: _counts(store.read(t), column, target)[1] for t in chosen if t != table} | {table: uncastable}
-        bad = {t: n for t, n in lost.items() if n}
-        if bad:
-            reason = ", ".join(f"{n} row(s) in {t!r}" for t, n in sorted(bad.items()))
-            return MigrationResult(
-                False,
-                castable=castable,
-                uncastable=sum(bad.values()),
-                shared_tables=shared,
-                error="uncastable_rows",
-                reason=f"{reason} cannot be cast to {target}",
-            )
+    counts = {t: own if t == table else _counts(store, t, column, target) for t in chosen}
+    bad = {t: n.uncastable for t, n in counts.items() if n.uncastable}
+    if bad and on_uncastable == "abort":
+        reason = ", ".join(f"{n} row(s) in {t!r}" for t, n in sorted(bad.items()))
+        return MigrationResult(
+            False,
+            castable=own.castable,
+            uncastable=sum(bad.values()),
+            shared_tables=shared,
+            error="uncastable_rows",
+            reason=f"{reason} cannot be cast to {target}",
+        )
+    broken = sorted(t for t, n in counts.items() if n.broken_keys)
+    if broken:
+        violations = {t: converted_key_violations(store.read(t), column, target) for t in broken}
+        # A report of the first few; ``violations`` has all.
+        named = {t: v.orderBy("reason", "key").limit(5).collect() for t, v in violations.items()}
+        shown = [f"{r['reason']} key {r['key']!r} ({r['n_rows']} rows) in {t!r}" for t in broken for r in named[t]]
+        return MigrationResult(
+            False,
+            castable=own.castable,
+            uncastable=own.uncastable,
+            shared_tables=shared,
+            error="migration_failed",
+            reason=f"as {target}, {', '.join(shown)}",
+            broken_keys=sum(counts[t].broken_keys for t in broken),
+            violations=reduce(DataFrame.unionByName, violations.values()),
+        )
 
     nullified = [
         nullified_keys(store.read(t), store.spec(t).key, column, target)
@@ -95,8 +127,8 @@ def migrate_column(
         return MigrationResult(False, error="migration_failed", reason=str(cause))
     return MigrationResult(
         True,
-        castable=castable,
-        uncastable=uncastable,
+        castable=own.castable,
+        uncastable=own.uncastable,
         shared_tables=shared,
         rows_migrated=migrated,
         nullified=reduce(DataFrame.unionByName, nullified) if nullified else None,
@@ -104,18 +136,18 @@ def migrate_column(
 
 
 def _rewrite(store: TableStore, tables: list[str], column: str, target: str) -> int:
-    """Write the new content of every table, then publish them one after the other."""
-    ready, migrated = [], 0
+    """Write the new content of every table, then publish all of them in one step."""
+    drafts, migrated = {}, 0
     for name in tables:
-        schema = store.retype(name, column, spark_type(target))
+        spec, schema = store.spec(name), store.retype(name, column, spark_type(target))
         rows = store.rows(name)
         before = rows.latest()
-        parts = []
+        parts, n_rows = [], 0
         if before is not None:
             current = rows.read(before)
-            parts = [rows.write_part(cast_column(current, field_of(current, column).name, target))]
-            migrated += rows.read_parts(parts, schema).count()
-        ready.append((rows, parts, schema, before))
-    for rows, parts, schema, before in ready:
-        rows.commit(parts, schema, before, migrated=column)
+            parts = rows.write_parts(cast_column(current, field_of(current, column).name, target), spec.key)
+            n_rows = rows.count_parts(parts, schema)
+        migrated += n_rows
+        drafts[name] = rows.draft(parts, schema, before, migrated=column, n_rows=n_rows)
+    store.publish(drafts)
     return migrated

@@ -13,21 +13,26 @@ from tablewright.naming import col
 from tablewright.operators.keys import METHODS
 from tablewright.operators.profile import key_profile
 from tablewright.sources.folder import Folder
-from tablewright.sources.versions import Version, VersionedTable
+from tablewright.sources.together import drop_pending, publish_together, undecided
+from tablewright.sources.versions import BUCKETS, Draft, Version, VersionedTable
 from tablewright.types import describe, shared_columns, type_name
 
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table: its key, how files are ingested, which file names belong to it, its columns."""
+    """A table: its key, how files are ingested, which file names belong to it, its columns, and the number of
+    buckets its rows are dealt to by key (the more, the less an upsert rewrites)."""
 
     name: str
     key: str
     schema: T.StructType
     method: str = "upsert"
     pattern: str | None = None
+    buckets: int = BUCKETS
 
     def __post_init__(self):
+        if self.buckets < 1:
+            raise PlanError("a table has at least one bucket")
         if self.method not in METHODS:
             raise PlanError(f"unknown ingestion method {self.method!r}; use one of {METHODS}")
         if self.key.lower() not in {f.name.lower() for f in self.schema.fields}:
@@ -46,6 +51,7 @@ class TableStore:
         self.spark = spark
         self.root = Folder(spark, root)
         self._specs = self.root.child("specs")
+        self._changes = self.root.child("changes")
 
     def register(self, spec: TableSpec) -> TableSpec:
         self._specs.create_json(
@@ -55,6 +61,7 @@ class TableStore:
                 "schema": spec.schema.jsonValue(),
                 "method": spec.method,
                 "pattern": spec.pattern,
+                "buckets": spec.buckets,
                 "registered_at": time.time_ns(),
             },
         )
@@ -70,7 +77,7 @@ class TableStore:
         raw = self._record(name)
         latest = self.rows(name).latest()
         schema = latest.schema if latest else T.StructType.fromJson(raw["schema"])
-        return TableSpec(name, raw["key"], schema, raw["method"], raw["pattern"])
+        return TableSpec(name, raw["key"], schema, raw["method"], raw["pattern"], raw.get("buckets", BUCKETS))
 
     def names(self) -> list[str]:
         return [n.removesuffix(".json") for n in self._specs.names() if n.endswith(".json") and n[0] not in "_."]
@@ -80,7 +87,16 @@ class TableStore:
         return [self.spec(n) for n in sorted(self.names(), key=lambda n: self._record(n)["registered_at"])]
 
     def rows(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, self.root.url(f"tables/{name}"))
+        buckets = self._record(name).get("buckets", BUCKETS) if self._specs.exists(f"{name}.json") else BUCKETS
+        return VersionedTable(self.spark, self.root.url(f"tables/{name}"), buckets, lambda: undecided(self._changes, name))
+
+    def publish(self, drafts: dict[str, Draft]) -> None:
+        """Make new versions of several tables visible in one step: all of them, or none."""
+        publish_together(self._changes, drafts)
+
+    def drop_pending(self) -> list[str]:
+        """Take back the changes of several tables whose writer died before publishing them."""
+        return drop_pending(self._changes, {name: self.rows(name) for name in self.names()})
 
     def read(self, name: str) -> DataFrame:
         """All stored rows; an empty frame before the first ingest."""

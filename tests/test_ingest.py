@@ -319,3 +319,24 @@ def test_summaries_know_the_time_and_count_of_the_last_ingest(sales, tmp_path):
     last = sales.summaries().first()
     assert last["n_rows"] == sales.read("sales").count() == 4
     assert last["ingested_at"] > first["ingested_at"]
+
+
+def test_one_row_rewrites_one_bucket_after_appends(spark, store):
+    schema = spark.range(1).selectExpr("id", "id AS v").schema
+    store.register(TableSpec("many", "id", schema, "append", buckets=200))
+    for first in (0, 10_000):
+        assert ingest_frame(store, "many", spark.range(first, first + 10_000).selectExpr("id", "id AS v")).ok
+    before = store.rows("many").latest()
+    assert store.spec("many").buckets == 200
+    assert len(before.parts) == 400
+    assert ingest_frame(store, "many", spark.createDataFrame([(7, -1)], "id long, v long"), "upsert").ok
+    after = store.rows("many").latest()
+    (old,) = set(before.parts) - set(after.parts)
+    assert store.rows("many").count_parts([old], schema) < 150
+    assert store.read("many").count() == after.notes["n_rows"] == 20_000
+    assert values(store.read("many").filter("v < 0")) == [(7, -1)]
+
+
+def test_a_table_has_a_bucket(spark):
+    with pytest.raises(PlanError):
+        TableSpec("t", "id", spark.range(1).schema, buckets=0)

@@ -79,3 +79,114 @@ def test_a_failed_write_publishes_nothing(store, monkeypatch):
 )
 def test_bad_requests(store, table, column, kind, error):
     assert migrate_column(store, table, column, kind).error == error
+
+
+@pytest.fixture
+def keyed(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "keyed"))
+    for name, keys in (("people", ["1", "01", "x", "7"]), ("plain", ["1", "2", "3"])):
+        df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "id string, n int")
+        store.register(TableSpec(name, "id", df.schema, buckets=4))
+        assert ingest_frame(store, name, df).ok
+    return store
+
+
+def test_a_converted_key_that_repeats_or_is_null_changes_nothing(keyed):
+    before = values(keyed.read("people"))
+    dry = migrate_column(keyed, "people", "id", "BIGINT", dry_run=True)
+    assert (dry.ok, dry.castable, dry.uncastable, dry.broken_keys) == (True, 3, 1, 2)
+    assert migrate_column(keyed, "people", "id", "BIGINT").error == "uncastable_rows"
+    result = migrate_column(keyed, "people", "id", "BIGINT", on_uncastable="nullify")
+    assert (result.ok, result.error, result.broken_keys) == (False, "migration_failed", 2)
+    assert values(result.violations, "key", "n_rows", "reason") == [("1", 2, "repeated"), (None, 1, "null")]
+    assert "'1' (2 rows) in 'people'" in result.reason
+    assert values(keyed.read("people")) == before
+    assert keyed.rows("people").numbers() == [1]
+
+
+def test_a_broken_key_of_one_table_keeps_all_as_they_were(keyed):
+    result = migrate_column(keyed, "plain", "id", "BIGINT", "all_shared", "nullify")
+    assert (result.ok, result.error) == (False, "migration_failed")
+    assert "'people'" in result.reason
+    assert keyed.rows("plain").numbers() == keyed.rows("people").numbers() == [1]
+    assert migrate_column(keyed, "plain", "id", "BIGINT").ok
+    assert values(keyed.read("plain")) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_a_migrated_table_keeps_its_buckets(keyed, spark):
+    assert migrate_column(keyed, "plain", "n", "BIGINT").ok
+    parts = keyed.rows("plain").latest().parts
+    assert len(parts) > 1
+    assert all("__bucket=" in p for p in parts)
+    assert ingest_frame(keyed, "plain", spark.createDataFrame([("1", 10)], "id string, n long")).ok
+    assert len(set(parts) - set(keyed.rows("plain").latest().parts)) == 1
+    assert values(keyed.read("plain")) == [("1", 10), ("2", 1), ("3", 2)]
+    assert keyed.rows("plain").latest().notes["n_rows"] == 3
+
+
+@pytest.mark.parametrize("failing", ["second version", "last step"])
+def test_a_failure_before_the_last_step_leaves_every_table_as_it_was(store, monkeypatch, failing):
+    from tablewright.sources.folder import Folder
+
+    before = {t: values(store.read(t)) for t in ("quirky", "other")}
+    create, rename, made = Folder.create_json, Folder.rename, []
+
+    def created(self, name, value):
+        made.append(name)
+        if failing == "second version" and sum(n.startswith("v") for n in made) == 2:
+            raise OSError("disk gone")
+        create(self, name, value)
+
+    def renamed(self, name, to):
+        # Everything is written, nothing is visible yet.
+        assert store.rows("quirky").numbers() == store.rows("other").numbers() == [1]
+        if failing == "last step" and not to.endswith(".dropped.json"):
+            raise OSError("name node gone")
+        return rename(self, name, to)
+
+    monkeypatch.setattr(Folder, "create_json", created)
+    monkeypatch.setattr(Folder, "rename", renamed)
+    result = migrate_column(store, "other", "mixed", "BIGINT", "all_shared", "nullify")
+    assert (result.ok, result.error) == (False, "migration_failed")
+    monkeypatch.undo()
+    assert {t: values(store.read(t)) for t in before} == before
+    assert store.rows("quirky").numbers() == store.rows("other").numbers() == [1]
+    assert migrate_column(store, "other", "mixed", "BIGINT", "all_shared", "nullify").ok
+    assert store.rows("quirky").numbers() == store.rows("other").numbers() == [1, 2]
+
+
+def test_a_change_whose_writer_died_is_invisible_and_can_be_taken_back(store, spark, monkeypatch):
+    from tablewright.errors import StorageError
+    from tablewright.sources import together
+
+    class Died(BaseException):
+        pass
+
+    def dies(*_):
+        raise Died
+
+    monkeypatch.setattr(together.Folder, "rename", dies)
+    monkeypatch.setattr(together, "_take_back", dies)
+    with pytest.raises(Died):
+        migrate_column(store, "other", "mixed", "BIGINT", "all_shared", "nullify")
+    monkeypatch.undo()
+    rows = store.rows("other")
+    assert rows.numbers() == [1]
+    assert dict(store.read("quirky").dtypes)["mixed"] == "string"
+    with pytest.raises(StorageError):
+        rows.commit([], store.spec("other").schema, rows.latest())
+    assert len(store.drop_pending()) == 1
+    assert store.drop_pending() == []
+    assert ingest_frame(store, "other", spark.createDataFrame([("z", "9")], "id string, mixed string")).ok
+    assert store.rows("other").numbers() == [1, 2]
+
+
+def test_a_change_of_several_tables_gives_way_to_another_writer(store):
+    drafts = {t: store.rows(t).draft([], store.spec(t).schema, store.rows(t).latest()) for t in ("other", "quirky")}
+    quirky = store.rows("quirky")
+    quirky.commit(quirky.latest().parts, store.spec("quirky").schema, quirky.latest())
+    with pytest.raises(Exception, match="already exists"):
+        store.publish(drafts)
+    assert store.rows("other").numbers() == [1]
+    assert quirky.numbers() == [1, 2]
+    assert store.read("quirky").count() == 3
