@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import query
 from tablewright.operators.casts import cast_column, cast_of, castability, nullified_keys
-from tablewright.types import normalize_frame, shared_columns
+from tablewright.operators.keys import converted_key_counts, converted_key_violations
+from tablewright.sources.files import narrowest_types
+from tablewright.types import describe, normalize_frame, shared_columns
 
 # One formatted number per row: currency, percent, accounting negative, spaces, digit groups, junk.
 AMOUNT = """CASE l_linenumber
@@ -163,3 +165,68 @@ def _(t):
 def _(t):
     who, ids = "struct(user_id AS user, event_type AS kind) AS who", "array(event_id, user_id) AS ids"
     return normalize_frame(t("events", "event_id", who, ids))
+
+
+# Keys of which some meet in one number, and some are none.
+CODE = """CASE p_size % 3
+    WHEN 0 THEN CAST(p_partkey AS STRING)
+    WHEN 1 THEN concat('0', CAST(p_partkey - 1 AS STRING))
+    ELSE CASE WHEN p_partkey % 50 < 5 THEN concat('#', CAST(p_partkey AS STRING)) ELSE concat(CAST(p_partkey AS STRING), ',000') END
+    END AS code"""
+CODES_SQL = f"(SELECT code, {number_sql('code', 'BIGINT')} AS v FROM (SELECT {CODE} FROM part))"
+
+
+@query(
+    "migrated_key_counts",
+    f"""SELECT count(*) FILTER (v IS NOT NULL OR code IS NULL) AS castable,
+               count(*) FILTER (v IS NULL AND code IS NOT NULL) AS uncastable,
+               count(*) FILTER (v IS NULL) AS null_rows,
+               (SELECT count(*) FROM (SELECT v FROM {CODES_SQL} WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1)) AS repeated_keys
+        FROM {CODES_SQL}""",
+)
+def _(t):
+    return converted_key_counts(t("part", CODE), "code", "BIGINT")
+
+
+@query(
+    "migrated_key_violations",
+    f"""SELECT CAST(v AS VARCHAR) AS key, count(*) AS n_rows, if(v IS NULL, 'null', 'repeated') AS reason
+        FROM {CODES_SQL} GROUP BY v HAVING count(*) > 1 OR v IS NULL""",
+)
+def _(t):
+    return converted_key_violations(t("part", CODE), "code", "BIGINT")
+
+
+TEXTS = {
+    "whole": "CAST(l_orderkey AS STRING)",
+    "huge": "concat(CAST(l_orderkey AS STRING), '00000000000000000000')",
+    "number": "CAST(l_quantity AS STRING)",
+    "day": "concat('2024-0', CAST(l_linenumber AS STRING), '-15')",
+    "moment": "concat('2024-0', CAST(l_linenumber AS STRING), '-15 10:20')",
+    "flag": "CASE WHEN l_linenumber > 3 THEN 'true' ELSE 'False' END",
+    "mixed": "CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(l_partkey AS STRING) END",
+    "empty": "nullif(l_returnflag, l_returnflag)",
+}
+KINDS_SQL = [
+    ("BIGINT", "try_cast(v AS BIGINT)"),
+    ("HUGEINT", "try_cast(v AS HUGEINT)"),
+    ("DOUBLE", "try_cast(v AS DOUBLE)"),
+    ("DATE", "if(length(v) = 10, try_cast(v AS DATE), NULL)"),
+    ("TIMESTAMP", "try_strptime(v, '%Y-%m-%d %H:%M')"),
+    ("BOOLEAN", "if(lower(v) IN ('true', 'false'), true, NULL)"),
+]
+
+
+@query(
+    "narrowest_types",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS column_name,
+                   CASE WHEN count(v) = 0 THEN 'VARCHAR' {' '.join(f"WHEN count(v) = count({e}) THEN '{k}'" for k, e in KINDS_SQL)}
+                   ELSE 'VARCHAR' END AS kind FROM (SELECT {text} AS v FROM lineitem)"""
+        for name, text in TEXTS.items()
+    ),
+)
+def _(t):
+    """The types of an ingest without a schema, from one aggregate over the text of all columns."""
+    text = t("lineitem", *[f"{expression} AS {name}" for name, expression in TEXTS.items()])
+    return text.sparkSession.createDataFrame(describe(narrowest_types(text)), "column_name string, kind string")

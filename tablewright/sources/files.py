@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from tablewright.errors import PlanError
 from tablewright.naming import col
 from tablewright.sources.folder import Folder
-from tablewright.types import normalize_frame
 
 # Names of the columns that keep the order of rows in their files.
 ORDER_COLUMNS = ("__file", "__block", "__row")
@@ -37,45 +36,90 @@ def read_csv(
     multi_line: bool = False,
     order: bool = False,
 ) -> DataFrame:
-    """Header CSV as vocabulary types. Without a schema one extra pass infers it.
+    """Header CSV as vocabulary types: those of ``schema``, or the narrowest that hold every value, which one
+    aggregate over the text finds.
 
     Columns are found by the names in each file's own header, so files may list them in different orders;
     all must have the same columns. ``multi_line`` allows line breaks inside quotes. Such a file cannot be
     split, so each is read by one task. ``order`` adds the position of each row, see ``with_file_order``.
     """
+    if schema is None:
+        text = read_text(spark, paths, multi_line, order)
+        fields = [n for n in text.columns if n not in ORDER_COLUMNS]
+        return as_types(text, narrowest_types(text.select([col(n) for n in fields])))
+    frames = []
+    for header, files in _alike(spark, paths).items():
+        known = {f.name: f for f in schema.fields}
+        if set(header) != set(known):
+            raise PlanError(f"the header {list(header)} does not have the columns {list(known)}")
+        frames.append(_rows(spark, T.StructType([known[h] for h in header]), files, multi_line))
+    return reduce(DataFrame.unionByName, [with_file_order(f) for f in frames] if order else frames)
+
+
+def read_text(spark: SparkSession, paths: str | list[str], multi_line: bool = False, order: bool = False) -> DataFrame:
+    """Header CSV with every field as text, for one pass over the input; see ``narrowest_types``."""
+    groups = _alike(spark, paths).items()
+    frames = [_rows(spark, T.StructType([T.StructField(h, T.StringType()) for h in header]), files, multi_line) for header, files in groups]
+    return reduce(DataFrame.unionByName, [with_file_order(f) for f in frames] if order else frames)
+
+
+def _alike(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header; all must have the same columns."""
     groups = header_groups(spark, paths)
     names = {tuple(sorted(h)) for h in groups}
     if len(names) > 1:
         raise PlanError(f"the files have different columns: {sorted(names)}")
-    frames = [_read_alike(spark, header, files, schema, multi_line) for header, files in groups.items()]
-    if len(frames) > 1 and schema is None:
-        frames = _alike(frames)
-    return reduce(DataFrame.unionByName, [with_file_order(f) for f in frames] if order else frames)
+    return groups
 
 
-def _read_alike(spark, header, files, schema, multi_line) -> DataFrame:
-    reader = spark.read.options(**csv_options(multi_line))
-    if schema is not None:
-        known = {f.name: f for f in schema.fields}
-        if set(header) != set(known):
-            raise PlanError(f"the header {list(header)} does not have the columns {list(known)}")
-        return reader.schema(T.StructType([known[h] for h in header])).csv(files)
-    # The first pass may pass over bad rows, since the second one refuses them.
-    inferred = spark.read.options(**_CSV, multiLine=multi_line).option("inferSchema", True).csv(files).schema
-    df = normalize_frame(reader.schema(inferred).csv(files))
-    wider = {f.name: col(f.name).cast(_WIDER[type(f.dataType)]) for f in df.schema if type(f.dataType) in _WIDER}
-    return df.withColumns(wider) if wider else df
+def _rows(spark: SparkSession, schema: T.StructType, files: list[str], multi_line: bool) -> DataFrame:
+    return spark.read.options(**csv_options(multi_line)).schema(schema).csv(files)
+
+
+_WHOLE, _NUMBER = r"^[+-]?\d+$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_SPECIAL = ("NaN", "Inf", "-Inf", "Infinity", "-Infinity")
+_DAY, _LONGEST = r"^\d{4}-\d{2}-\d{2}$", 38
+
+
+def _readings(text: Column) -> list[tuple[T.DataType, Column]]:
+    """What a text can be read as, the narrowest type first; NULL where it can't."""
+    whole = F.when(text.rlike(_WHOLE), text)
+    number = F.when(text.rlike(_NUMBER), text).when(text.isin(*_SPECIAL), F.regexp_replace(text, "Inf$", "Infinity"))
+    huge = T.DecimalType(_LONGEST, 0)
+    return [
+        (T.LongType(), whole.try_cast("long")),
+        (huge, whole.try_cast(huge)),
+        (T.DoubleType(), number.try_cast("double")),
+        (T.DateType(), F.when(text.rlike(_DAY), text).try_cast("date")),
+        (T.TimestampNTZType(), F.try_to_timestamp(text, F.lit(_CSV["timestampFormat"])).cast("timestamp_ntz")),
+        (T.BooleanType(), F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")),
+    ]
+
 
+def narrowest_types(text: DataFrame) -> T.StructType:
+    """The narrowest type that holds every value of each text column; text for a column without values.
 
-def _alike(frames: list[DataFrame]) -> list[DataFrame]:
-    """Text where the files' inferred types differ, unless both are numbers."""
-    numbers = (T.LongType, T.DoubleType, T.DecimalType)
-    targets = {}
-    for name in frames[0].columns:
-        kinds = {f.schema[name].dataType for f in frames}
-        if len(kinds) > 1:
-            targets[name] = T.DoubleType() if all(isinstance(k, numbers) for k in kinds) else T.StringType()
-    return [f.withColumns({n: col(n).cast(t) for n, t in targets.items()}) if targets else f for f in frames]
+    One aggregate counts, for every column, the values that each type can hold. Counts add up on the map
+    side, so a task sends one row, whatever its share of the input; types of mixed columns follow from the
+    same counts, and how the rows are dealt to tasks or files doesn't matter.
+    """
+    counts = []
+    for i, name in enumerate(text.columns):
+        counts.append(F.count(col(name)).alias(f"n{i}"))
+        counts += [F.count(value).alias(f"n{i}_{k}") for k, (_, value) in enumerate(_readings(col(name)))]
+    row = text.agg(*counts).first() if counts else {}
+    fields = []
+    for i, name in enumerate(text.columns):
+        fitting = [kind for k, (kind, _) in enumerate(_readings(col(name))) if 0 < row[f"n{i}"] == row[f"n{i}_{k}"]]
+        fields.append(T.StructField(name, fitting[0] if fitting else T.StringType()))
+    return T.StructType(fields)
+
+
+def as_types(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns as the types that ``narrowest_types`` found; other columns stay."""
+    values = {f.name: dict(_readings(col(f.name))).get(f.dataType) for f in schema.fields}
+    typed = {name: value for name, value in values.items() if value is not None}
+    return text.withColumns(typed) if typed else text
 
 
 def header_groups(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
@@ -90,16 +134,8 @@ def header_groups(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str
     return groups
 
 
-# Inferred types are widened: whole numbers to BIGINT or HUGEINT, times without a zone to TIMESTAMP.
-_WIDER = {
-    T.IntegerType: T.LongType(),
-    T.DecimalType: T.DecimalType(38, 0),
-    T.TimestampType: T.TimestampNTZType(),
-}
-
-
 def infer_schema(spark: SparkSession, paths: str | list[str]) -> T.StructType:
-    return read_csv(spark, paths).schema
+    return narrowest_types(read_text(spark, paths))
 
 
 def with_file_block(df: DataFrame) -> DataFrame:
@@ -149,15 +185,31 @@ def file_groups(listing: DataFrame) -> DataFrame:
 def match_tables(listing: DataFrame, patterns: Iterable[tuple[str, str | None]]) -> DataFrame:
     """Add ``table_name``: the first table whose pattern matches the whole stem.
 
-    ``patterns`` are (table, pattern) in order of registration; invalid ones are passed over.
+    ``patterns`` are (table, pattern) in order of registration; invalid ones are passed over. A pattern that
+    only generalizes digits matches the stems with that normal form, so such patterns are joined, however
+    many tables there are. Hand-written ones are tried in turn.
     """
-    match = F.lit(None).cast("string")
-    for table, pattern in reversed(list(patterns)):
+    plain: dict[str, tuple[int, str]] = {}
+    written = F.lit(None).cast("struct<place: int, table_name: string>")
+    for place, (table, pattern) in reversed(list(enumerate(patterns))):
         if pattern is None:
             continue
+        if _PLAIN.fullmatch(pattern) and r"\d+\d+" not in pattern:
+            plain[pattern] = (place, table)
+            continue
         try:
             re.compile(pattern)
         except re.error:
             continue
-        match = F.when(F.col("stem").rlike(f"^(?:{pattern})$"), F.lit(table)).otherwise(match)
-    return listing.withColumn("table_name", match)
+        hit = F.struct(F.lit(place).alias("place"), F.lit(table).alias("table_name"))
+        written = F.when(F.col("stem").rlike(f"^(?:{pattern})$"), hit).otherwise(written)
+    spark = listing.sparkSession
+    forms = spark.createDataFrame([(form, *hit) for form, hit in plain.items()], "__form string, __place int, __table string")
+    joined = listing.withColumn("__form", F.coalesce(file_pattern(F.col("stem")), F.col("stem"))).join(forms, "__form", "left")
+    by_form = F.when(F.col("__place").isNotNull(), F.struct(F.col("__place").alias("place"), F.col("__table").alias("table_name")))
+    first = F.least(by_form, written).getField("table_name")
+    return joined.select(*[col(c) for c in listing.columns], first.alias("table_name"))
+
+
+# A pattern that means its own letters and runs of digits, and nothing else.
+_PLAIN = re.compile(r"(?:[A-Za-z_ -]|\\d\+)+")

@@ -20,11 +20,14 @@ from tablewright.operators import keys as K
 from tablewright.operators.casts import plain_cast
 from tablewright.sources.files import (
     ORDER_COLUMNS,
+    as_types,
     infer_schema,
     list_files,
     match_tables,
     name_pattern,
+    narrowest_types,
     read_csv,
+    read_text,
 )
 from tablewright.sources.store import TableSpec, TableStore
 from tablewright.sources.versions import Version, VersionedTable
@@ -71,13 +74,50 @@ def ingest_csv(
     schema: T.StructType | None = None,
     multi_line: bool = False,
 ) -> IngestResult:
-    """Ingest all files in one batch; rows keep the order of (file, row)."""
+    """Ingest all files in one batch; rows keep the order of (file, row).
+
+    The input is read once. Without a schema its fields are written as text next to the table; an aggregate
+    over that finds their types, which tell drift, and the values are read from it.
+    """
+    order = [F.col(name) for name in ORDER_COLUMNS]
+    spec = store.spec(table)
+    method = (method or spec.method).lower()
+    if method not in K.METHODS:
+        return IngestResult(error=f"unknown ingestion method {method!r}")
     try:
-        batch = read_csv(store.spark, paths, schema, multi_line, order=True)
+        if schema is not None:
+            batch = read_csv(store.spark, paths, schema, multi_line, order=True)
+            return ingest_frame(store, table, batch, method, confirm_drift, order)
+        batch = read_text(store.spark, paths, multi_line, order=True)
     except (PlanError, PySparkException) as cause:
         return IngestResult(error=f"cannot read {paths!r}: {cause}")
-    order = [F.col(name) for name in ORDER_COLUMNS]
-    return ingest_frame(store, table, batch, method, confirm_drift, order)
+    rows = store.rows(table)
+    before = rows.latest()
+    try:
+        landed = rows.write_part(batch)
+    except Exception as cause:  # noqa: BLE001 - the input itself is bad; the table is unchanged
+        return IngestResult(error=str(cause))
+    text = rows.spark.read.schema(batch.schema).parquet(rows.folder.url(f"parts/{landed}"))
+    found = narrowest_types(text.drop(*ORDER_COLUMNS))
+    refused = _refused(schema_diff(spec.schema, found), confirm_drift)
+    if refused is not None:
+        rows.drop_part(landed)
+        return refused
+    typed = as_types(text, found)
+    columns = [_registered(typed, field, schema_diff(spec.schema, found)).alias(field.name) for field in _stored_fields(spec)]
+    full = typed.select(*columns, *[position.alias(f"__o{i}") for i, position in enumerate(order)])
+    try:
+        return _publish(rows, before, spec, landed, full, method, len(order), {})
+    except Exception as cause:  # noqa: BLE001 - nothing was published
+        return IngestResult(error=str(cause))
+
+
+def _refused(diff: SchemaDiff, confirm_drift: bool) -> IngestResult | None:
+    if diff and not confirm_drift:
+        return IngestResult(diff=diff)
+    if diff.removed:
+        return IngestResult(error=f"columns missing from the input: {list(diff.removed)}")
+    return None
 
 
 def ingest_frame(
@@ -102,10 +142,9 @@ def ingest_frame(
     incoming = normalize_frame(batch.drop(*hidden))
 
     diff = schema_diff(spec.schema, incoming.schema)
-    if diff and not confirm_drift:
-        return IngestResult(diff=diff)
-    if diff.removed:
-        return IngestResult(error=f"columns missing from the input: {list(diff.removed)}")
+    refused = _refused(diff, confirm_drift)
+    if refused is not None:
+        return refused
 
     rows = store.rows(table)
     before = rows.latest()
@@ -117,8 +156,9 @@ def ingest_frame(
         landed = rows.write_part(batch.select(*typed, *positions))
     except Exception as cause:  # noqa: BLE001 - the input itself is bad; the table is unchanged
         return IngestResult(error=str(cause))
+    full = rows.spark.read.parquet(rows.folder.url(f"parts/{landed}"))
     try:
-        return _publish(rows, before, spec, landed, method, len(positions), notes)
+        return _publish(rows, before, spec, landed, full, method, len(positions), notes)
     except Exception as cause:  # noqa: BLE001 - nothing was published
         return IngestResult(error=str(cause))
 
@@ -139,10 +179,10 @@ def _registered(batch: DataFrame, field: T.StructField, diff: SchemaDiff) -> Col
     return F.when(lost, F.raise_error(message)).otherwise(value)
 
 
-def _publish(rows, before, spec, landed, method, n_order, notes) -> IngestResult:
+def _publish(rows, before, spec, landed, full, method, n_order, notes) -> IngestResult:
+    """``full`` are the batch's rows in registered types and their order, read from the part ``landed``."""
     fields = _stored_fields(spec)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    full = rows.spark.read.parquet(rows.folder.url(f"parts/{landed}"))
     order = [F.col(f"__o{i}") for i in range(n_order)]
     base = rows.read(before).select(schema.names) if before else rows.spark.createDataFrame([], schema)
     old_parts = before.parts if before else ()

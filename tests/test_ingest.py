@@ -340,3 +340,68 @@ def test_one_row_rewrites_one_bucket_after_appends(spark, store):
 def test_a_table_has_a_bucket(spark):
     with pytest.raises(PlanError):
         TableSpec("t", "id", spark.range(1).schema, buckets=0)
+
+
+def test_an_ingest_reads_its_input_once(sales, tmp_path, monkeypatch):
+    import os
+
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from tablewright.sources.versions import VersionedTable
+
+    paths = [csv(tmp_path, f"o_{i}.csv", "id,val", f"a{i},{i}", f"b{i},{i}") for i in range(2)]
+    scans, read, write = [], DataFrameReader.csv, VersionedTable.write_part
+    monkeypatch.setattr(DataFrameReader, "csv", lambda self, *a, **k: scans.append(a) or read(self, *a, **k))
+
+    def gone_after_the_first(self, df):
+        if os.path.exists(paths[0]):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan csv") == 1
+        part = write(self, df)
+        for p in paths:
+            if os.path.exists(p):
+                os.remove(p)  # whatever comes later has only what was written
+        return part
+
+    monkeypatch.setattr(VersionedTable, "write_part", gone_after_the_first)
+    assert ingest_csv(sales, "sales", paths).rows_ingested == 4
+    assert len(scans) == 1
+    assert values(sales.read("sales")) == [("a0", 0), ("a1", 1), ("b0", 0), ("b1", 1)]
+
+
+@pytest.mark.parametrize(
+    ("fields", "kind"),
+    [
+        (["1", "-2", "+3", ""], "BIGINT"),
+        (["1", "99999999999999999999"], "HUGEINT"),
+        (["1", "2.5", "1e3", " 4 ", "NaN", "Inf"], "DOUBLE"),
+        (["99999999999999999999", "1.5"], "DOUBLE"),
+        (["2024-01-02", "2023-12-31"], "DATE"),
+        (["2024-02-30", "2024-01-02"], "VARCHAR"),
+        (["2024-01-02 03:04", "2024-01-02T03:04:05.250000"], "TIMESTAMP"),
+        (["2024-01-02", "2024-01-02 03:04:05"], "VARCHAR"),
+        (["true", "FALSE"], "BOOLEAN"),
+        (["true", "1"], "VARCHAR"),
+        (["1", "x"], "VARCHAR"),
+        (["", ""], "VARCHAR"),
+        (["10:00", "nan"], "VARCHAR"),
+    ],
+)
+def test_the_narrowest_type_of_a_column(spark, tmp_path, fields, kind):
+    path = csv(tmp_path, "n.csv", "k,v", *[f"r{i},{f}" for i, f in enumerate(fields)])
+    assert describe(infer_schema(spark, path)) == [("k", "VARCHAR"), ("v", kind)]
+    got = read_csv(spark, path).select("v").collect()
+    assert sum(r["v"] is None for r in got) == fields.count("")
+
+
+def test_many_tables_match_by_normal_form(spark):
+    stems = ["sales_1", "sales_22", "sales", "a1b2", "ab1", "x", None]
+    listing = spark.createDataFrame([(s, i) for i, s in enumerate(stems)], "stem string, path int")
+    patterns = [(f"t{i}", rf"t{chr(97 + i % 26) * (i // 26 + 1)}_\d+") for i in range(500)]
+    patterns += [("early", r"sales_\d\d"), ("sales", r"sales_\d+"), ("again", r"sales_\d+"), ("any", r"a.\d+"), ("two", r"a\d+b\d+"), ("x", "x"), ("none", None)]
+    matched = match_tables(listing, patterns)
+    assert values(matched, "stem", "table_name") == sorted(
+        [("sales_1", "sales"), ("sales_22", "early"), ("sales", None), ("a1b2", "two"), ("ab1", "any"), ("x", "x"), (None, None)], key=repr
+    )
+    assert matched.columns == ["stem", "path", "table_name"]
+    assert len(matched._jdf.queryExecution().optimizedPlan().toString()) < 5000
