@@ -208,8 +208,8 @@ TEXTS = {
     "empty": "nullif(l_returnflag, l_returnflag)",
 }
 KINDS_SQL = [
-    ("BIGINT", "try_cast(v AS BIGINT)"),
-    ("HUGEINT", "try_cast(v AS HUGEINT)"),
+    ("BIGINT", "if(regexp_full_match(v, '[+-]?[0-9]+'), try_cast(v AS BIGINT), NULL)"),
+    ("HUGEINT", "if(regexp_full_match(v, '[+-]?[0-9]+'), try_cast(v AS HUGEINT), NULL)"),
     ("DOUBLE", "try_cast(v AS DOUBLE)"),
     ("DATE", "if(length(v) = 10, try_cast(v AS DATE), NULL)"),
     ("TIMESTAMP", "try_strptime(v, '%Y-%m-%d %H:%M')"),
