@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import PlanError
+from tablewright.faults import raised_by
 from tablewright.functions.binding import PARAM_TYPES, Call
 from tablewright.naming import col, field_of, quoted
 
@@ -84,7 +85,7 @@ class RowFunction(UserFunction):
 
     def expression(self, df, call):
         names = list(call.columns)
-        run = udf_over(self.fn, names, dict(call.values))
+        run = udf_over(guarded(self.fn, self.name), names, dict(call.values))
         args = self.arguments(df, call)
         return F.udf(run, self.returns, useArrow=True)(*[args[n] for n in names])
 
@@ -109,7 +110,7 @@ class SeriesFunction(UserFunction):
 
     def expression(self, df, call):
         names = list(call.columns)
-        run = udf_over(self.fn, names, dict(call.values))
+        run = udf_over(guarded(self.fn, self.name), names, dict(call.values))
 
         def batch(*series: pd.Series) -> pd.Series:
             return run(*series)
@@ -118,6 +119,20 @@ class SeriesFunction(UserFunction):
         return F.pandas_udf(batch, self.returns)(*[args[n] for n in names])
 
 
+def guarded(fn: Callable, name: str) -> Callable:
+    """The function with its exceptions marked as its own, so that a run can tell them from the machinery's."""
+
+    def run(*args, **values):
+        try:
+            return fn(*args, **values)
+        except MemoryError:
+            raise
+        except Exception as cause:
+            raise raised_by(name, cause) from None
+
+    return run
+
+
 def udf_over(fn: Callable, names: list[str], values: dict) -> Callable:
     """Positional arguments back to the keywords the user function expects."""
 
@@ -162,7 +177,7 @@ class ChunkFunction(UserFunction):
     shape = "table"
 
     def table(self, df, call, tables=None):
-        fn, values = self.fn, dict(call.values)
+        fn, values = guarded(self.fn, self.name), dict(call.values)
 
         def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

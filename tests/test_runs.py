@@ -421,3 +421,31 @@ def test_an_unknown_result_id(spark, tmp_path):
     ws = ten_rows(spark, TableStore(spark, str(tmp_path)))
     with pytest.raises(PlanError):
         compose(ws, "t").failing("nope")
+
+
+@pytest.mark.parametrize("raised", [FileNotFoundError("gone"), OSError(28, "No space left on device"), ConnectionError("x"), ValueError("OSError: no"), KeyError("k")])
+def test_whatever_a_function_raises_is_its_own_fault(spark, tmp_path, raised):
+    kind, args = type(raised), raised.args
+
+    def failing(v):
+        raise kind(*args)
+
+    fragile = RowFunction(name="fragile", params={"v": "int"}, fn=failing, returns="long")
+    store = TableStore(spark, str(tmp_path))
+    ws = ten_rows(spark, store, FunctionStep(fragile, {"v": cols("id")}), Filter("id", "gt", 4))
+    done = compose(ws, "t").execute()
+    first, second = done.results.orderBy("step_no").collect()
+    assert kind.__name__ in first["error"]
+    assert "fragile" in first["error"]
+    assert second["error"] is None
+    assert done.version is not None
+    assert store.snapshot_meta("t").row_count == second["rows_affected"] == 5
+
+
+def test_words_of_the_data_decide_nothing(spark):
+    from tablewright.faults import is_step_fault
+
+    for word in ("OSError", "No space left on device", "FileNotFoundException"):
+        with pytest.raises(Exception) as caught:  # noqa: PT011 - every kind
+            spark.sql(f"SELECT CAST(concat('{word}', id) AS int) FROM range(3)").write.format("noop").mode("overwrite").save()
+        assert is_step_fault(caught.value)
