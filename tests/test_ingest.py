@@ -405,3 +405,11 @@ def test_many_tables_match_by_normal_form(spark):
     )
     assert matched.columns == ["stem", "path", "table_name"]
     assert len(matched._jdf.queryExecution().optimizedPlan().toString()) < 5000
+
+
+def test_the_profile_of_a_stored_table_reads_no_row(sales, tmp_path):
+    ingest_csv(sales, "sales", v1(tmp_path))
+    ingest_csv(sales, "sales", csv(tmp_path, "u.csv", "id,val", "r1,99", "r3,30"))
+    noted = sales.profile("sales")
+    assert "FileScan" not in noted._jdf.queryExecution().executedPlan().toString()
+    assert tuple(noted.first()) == tuple(sales.profile("sales", exact=True).first()) == (3, 3, False)
