@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import pick, written
@@ -230,17 +230,18 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, wit
     """The pieces as sequences in buckets of equal length: ``pieces`` and sequence_id, offset (always 0).
 
     sequence_ids run from 0 without gaps, the longest bucket first, so a training job that wants batches of
-    one length takes a range of ids. The pieces are written once and never shuffled: a piece's number is its
-    place in its part, behind the pieces of its length in earlier parts, whose counts are the only thing
-    that is gathered (a row for each part and length).
+    one length takes a range of ids. The pieces are written once: a piece's number is its place in its part,
+    behind the pieces of greater length and those of its length in earlier parts. These are sums over a row
+    for each part and length, whose join to the pieces needs no shuffle of them as long as adaptive
+    execution finds it small enough to broadcast.
     """
     found = written(pieces(docs, tokenizer, most, end_id, with_ids), "pieces")
-    counted = found.groupBy("part", "length").count().collect()
-    ahead, offsets = 0, []
-    for row in sorted(counted, key=lambda r: (-r["length"], r["part"])):
-        offsets.append((row["part"], row["length"], ahead))
-        ahead += row["count"]
-    before = docs.sparkSession.createDataFrame(offsets, "part int, length long, ahead long")
+    counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    longer = counts.groupBy("length").agg(F.sum("n").alias("n"))  # a row for each binary length
+    longer = longer.select("length", F.coalesce(F.sum("n").over(earlier.orderBy(F.desc("length"))), F.lit(0)).alias("longer"))
+    inside = F.coalesce(F.sum("n").over(earlier.partitionBy("length").orderBy("part")), F.lit(0))
+    before = counts.withColumn("inside", inside).join(longer, "length").select("part", "length", (F.col("longer") + F.col("inside")).alias("ahead"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    joined = found.join(F.broadcast(before), ["part", "length"])
+    joined = found.join(before, ["part", "length"])
     return joined.select(*columns, (F.col("ahead") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
