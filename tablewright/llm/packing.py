@@ -21,6 +21,9 @@ from tablewright.llm.texts import _BYTES, Slice, slices, span_hashes, within
 #: Distinct chunks a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 
+#: Most rows of part, length and number of pieces that are broadcast, about 24 bytes each.
+MOST_SENT = 1_000_000
+
 #: First bytes after a space at which no cut is made: white space, and the UTF-8 lead bytes of characters
 #: that may be white space.
 _NO_CUT = np.zeros(256, bool)
@@ -232,8 +235,8 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, wit
     sequence_ids run from 0 without gaps, the longest bucket first, so a training job that wants batches of
     one length takes a range of ids. The pieces are written once: a piece's number is its place in its part,
     behind the pieces of greater length and those of its length in earlier parts. These are sums over a row
-    for each part and length, whose join to the pieces needs no shuffle of them as long as adaptive
-    execution finds it small enough to broadcast.
+    for each part and length. Up to ``MOST_SENT`` such rows, which are counted first, go to the pieces by
+    broadcast; more are joined by shuffle.
     """
     found = written(pieces(docs, tokenizer, most, end_id, with_ids), "pieces")
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -243,5 +246,5 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, wit
     inside = F.coalesce(F.sum("n").over(earlier.partitionBy("length").orderBy("part")), F.lit(0))
     before = counts.withColumn("inside", inside).join(longer, "length").select("part", "length", (F.col("longer") + F.col("inside")).alias("ahead"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    joined = found.join(before, ["part", "length"])
+    joined = found.join(F.broadcast(before) if counts.count() <= MOST_SENT else before, ["part", "length"])
     return joined.select(*columns, (F.col("ahead") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

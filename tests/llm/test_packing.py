@@ -90,3 +90,16 @@ def test_the_query_writes_the_sequences_themselves(spark):
     pieces = spark.read.parquet(*found.inputFiles()).select("ids", "length", "ids_crc32").collect()
     assert len(pieces) == found.count() > 0
     assert all(r["ids"] is not None and (len(r["ids"]), zlib.crc32(r["ids"])) == (4 * r["length"], r["ids_crc32"]) for r in pieces)
+
+
+def test_numbers_do_not_depend_on_the_way_they_are_joined(spark, monkeypatch):
+    rows = [(i, "hello world " * (i % 50), 0, "") for i in range(80)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+
+    def numbered():
+        return sorted((r["sequence_id"], r["length"], r["ids_crc32"]) for r in packing.pack(df, PATH, most=32).collect())
+
+    sent = numbered()
+    monkeypatch.setattr(packing, "MOST_SENT", 0)
+    assert numbered() == sent
+    assert [n for n, _, _ in sent] == list(range(len(sent)))
