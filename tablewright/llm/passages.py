@@ -25,6 +25,8 @@ MOST_BITS = 29
 BLOCK_BITS = 22
 #: Windows a task gathers before it hands out its part of the sketch.
 FLUSH = 3_000_000
+#: Hashes turned to cells at once, so that the steps between need little memory.
+_STEP = 1 << 16
 #: Groups of windows up to this estimate are put into one task whole; larger ones are aggregated first.
 HOT = 4096
 
@@ -119,7 +121,10 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
             hashes = np.concatenate(held)
             held.clear()
             for row in range(DEPTH):
-                cells = np.sort(_cells(hashes, row, bits).astype(np.uint32))
+                cells = np.empty(len(hashes), np.uint32)
+                for low in range(0, len(hashes), _STEP):
+                    cells[low : low + _STEP] = _cells(hashes[low : low + _STEP], row, bits)
+                cells.sort()
                 block = (cells >> np.uint32(block_bits)).astype(np.int32)
                 first = np.flatnonzero(np.diff(block, prepend=-1))
                 inside = np.uint32((1 << block_bits) - 1)
