@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ BYTES = 8 * EXACT + 2 * LANES
 #: Documents of a range, about. Small ranges spread evenly over tasks; there are at most MOST_PARTS of them.
 PER_TASK = 5_000
 MOST_PARTS = 100_000
+#: Bits of hash by which rows of one frequent id stand; with an id's rank they fit the 53 bits of a double.
+TIE_BITS = 36
 
 
 def fingerprint_arrays(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +119,9 @@ def edit_likeness(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     its own next. Extra columns are ignored; no rows, no rows.
 
     Documents are dealt to ranges of doc_id that begin at ids taken from the data, and each range also gets
-    the first document of the next one. So the texts are shuffled once, and neighbours meet in one task.
+    the first document of the next one. So the texts are shuffled once, and neighbours meet in one task. An id
+    of more rows than a range should have is split: its rows stand by the upper bits of a hash of the text,
+    then by text, and further ranges begin at such hashes. Equal rows that fill several ranges take turns in them.
     """
     rows = pick(docs, doc_id="long", text="string").select(
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")
@@ -123,24 +129,48 @@ def edit_likeness(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     ids = rows.select("id")
     n, lowest = ids.agg(F.count("*"), F.min("id")).first()
     spark = docs.sparkSession
-    wanted = min(MOST_PARTS, max(1, -(-n // per_task)))
-    bounds = sorted(set(_bounds(ids, wanted)) - {lowest}) if n else []
-    first, cuts = lowest or 0, np.array(bounds, np.int64)
-    parts = len(bounds) + 1
+    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 64 - TIE_BITS))
+    most = max(per_task, -(-n // MOST_PARTS))
+    hot = _hot_cuts(rows, most) if n else {}
+    single = set(_bounds(ids, max(1, -(-n // most)))) if n else set()
+    first = (lowest, min(hot[lowest])) if lowest in hot else (lowest, 0)
+    cuts = sorted([(i, 0) for i in single - set(hot)] + [(i, tie) for i, ties in hot.items() for tie in ties])
+    if first in cuts:
+        cuts.remove(first)
+    parts, split = len(cuts) + 1, np.array(sorted(hot), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # How often a place came up does not depend on the order of rows, so a task that runs again deals alike.
+        turns: dict[tuple[int, int], int] = {}
+        least: dict[int, tuple[int, str]] = {}  # per range, the first document of the next that was sent
+        shift = TaskContext.get().partitionId() * 7919
         for batch in batches:
             own = batch["id"].to_numpy()
-            part = np.searchsorted(cuts, own, "right")
-            begins = np.flatnonzero((own == first) | (part > 0) & (cuts[np.maximum(part, 1) - 1] == own) if len(cuts) else own == first)
-            row = np.concatenate([np.arange(len(own)), begins])
-            to = np.concatenate([part, (part[begins] - 1) % parts]).astype(np.int32)
+            ties = np.where(np.isin(own, split), batch["tie"].to_numpy(), 0)
+            to, taken, target = [], [], []
+            for at, place in enumerate(zip(own.tolist(), ties.tolist(), strict=True)):
+                low, high = bisect_left(cuts, place), bisect_right(cuts, place)
+                turn = 0
+                if high - low > 1:
+                    seen = turns[place] = turns.get(place, -1) + 1
+                    turn = (seen + shift) % (high - low) if seen else 0
+                to.append(high - turn)
+                before = ([low] if low < high else []) + ([parts - 1] if place == first else [])
+                for part in before:
+                    key = (place[1], batch["text"][at].as_py())
+                    if part not in least or key < least[part]:
+                        least[part] = key
+                        taken.append(at)
+                        target.append(part)
+            row = np.concatenate([np.arange(len(own)), np.array(taken, np.int64)])
             extra = np.arange(len(row)) >= len(own)
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(extra), *taken.columns], names=["part", "extra", "id", "text"])
+            columns = [pa.array(own[row]), pa.array(ties[row]), batch["text"].take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to + target, pa.int32()), pa.array(extra), *columns], names=["part", "extra", "id", "tie", "text"]
+            )
 
-    dealt = rows.mapInArrow(deal, "part int, extra boolean, id long, text string")
-    dealt = dealt.repartition(max(parts, 1), "part").sortWithinPartitions("part", "extra", "id", "text")
+    dealt = rows.mapInArrow(deal, "part int, extra boolean, id long, tie long, text string")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "extra", "id", "tie", "text").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row before, whose next is not seen yet
@@ -151,21 +181,46 @@ def edit_likeness(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
                 columns = [block[c].to_pylist() for c in ("part", "extra", "id", "text")]
                 own, after = [], []
                 for row in zip(*columns, strict=True):
-                    if held is not None and held[0] == row[0] and not held[1]:
+                    if held is not None and not held[1]:
                         own.append(held)
-                        after.append(row[3])
+                        # A range that ends without a next document lies within equal rows.
+                        after.append(row[3] if held[0] == row[0] else held[3])
                     if row[1] and done == row[0]:
                         continue  # of several first documents of the next part, only the smallest is next
                     done = row[0] if row[1] else done
                     held = row
                 if own:
                     yield _compared(own, after)
+        if held is not None and not held[1]:
+            yield _compared([held], [held[3]])
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = dealt.mapInArrow(run, schema) if n else spark.createDataFrame([], schema)
     return out.select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), *out.columns[1:])
 
 
+def _hot_cuts(rows: DataFrame, most: int) -> dict[int, list[int]]:
+    """Ids of more than ``most`` rows, with the ties at which their ranges begin; as often as equal rows fill one.
+
+    The driver gets at most one id, and one tie, for every ``most`` rows.
+    """
+    counted = rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > most).orderBy("id").collect()
+    if not counted:
+        return {}
+    hot = [r["id"] for r in counted]
+    spark = rows.sparkSession
+    ranks = spark.createDataFrame(list(enumerate(hot)), "rank long, id long")
+    places = rows.select("id", "tie").join(ranks, "id").select("rank", (F.col("rank") * (1 << TIE_BITS) + F.col("tie")).alias("place"))
+    begins = places.groupBy("rank").agg(F.min("place").alias("place")).collect()
+    total = sum(r["n"] for r in counted)
+    steps = [k * most / total for k in range(1, -(-total // most))]
+    found = places.agg(F.percentile_approx("place", F.array(*map(F.lit, steps)), F.lit(max(10_000, 20 * len(steps))))).first()[0]
+    cuts: dict[int, list[int]] = {i: [] for i in hot}
+    for place in [r["place"] for r in begins] + list(found):
+        cuts[hot[place >> TIE_BITS]].append(place & ((1 << TIE_BITS) - 1))
+    return cuts
+
+
 def _bounds(ids: DataFrame, parts: int) -> list[int]:
     """Ids that divide the table into about equal parts."""
     if parts == 1:

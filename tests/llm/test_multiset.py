@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tablewright.llm import multiset
 
@@ -9,9 +10,9 @@ DOCS = "doc_id long, text string, part int, id string"
 WORDS = [f"word{i}" for i in range(3000)]
 
 
-def brute(rows):
+def brute(rows, in_order=False):
     """Rows as the contract states them, without the likenesses."""
-    ordered = sorted(rows, key=lambda r: (2**63 if r[0] is None else r[0], r[1] or ""))
+    ordered = rows if in_order else sorted(rows, key=lambda r: (2**63 if r[0] is None else r[0], r[1] or ""))
     out = []
     for k, (i, t) in enumerate(ordered):
         t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
@@ -72,3 +73,48 @@ def test_one_document_and_none(spark):
     assert row["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert row["near_next"] == 1
     assert multiset.edit_likeness(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def place(text):
+    """Where the rows of a frequent id stand: by the upper bits of XXH64 with seed 42, then by text."""
+    return xxhash.xxh64_intdigest((text or "").encode(), 42) >> (64 - multiset.TIE_BITS), text or ""
+
+
+@pytest.mark.parametrize("hot", [None, 3, -9])
+def test_rows_of_a_frequent_id_are_split(spark, hot):
+    own = [(hot, f"text number {i} of many that share an id\n{i % 7}") for i in range(300)]
+    copies = [(hot, "the same text again")] * 400 + [(hot, None)] * 100
+    rows = own + copies + [(i, f"other {i}") for i in range(0, 40, 2)]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], DOCS).repartition(7)
+    found = multiset.edit_likeness(df, 20)
+    got = [tuple(r) for r in found.collect()]
+    ordered = sorted(rows, key=lambda r: (2**63 if r[0] is None else r[0], place(r[1]) if r[0] == hot else (0, r[1])))
+    assert sorted(got, key=repr) == sorted(brute(ordered, in_order=True), key=repr)
+    sizes = [r["count"] for r in found.groupBy(multiset.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 100
+
+
+def test_many_null_ids_spread_over_tasks(spark):
+    df = spark.range(100_000).selectExpr("cast(null as long) doc_id", "if(id % 2 = 0, null, concat('t', id)) text")
+    per_task = multiset.edit_likeness(df).groupBy(multiset.F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 100_000
+    assert max(r["count"] for r in per_task) < 3 * multiset.PER_TASK
+
+
+def plain_fingerprint(text):
+    """The definition paragraph by paragraph, from Python integers alone but for the mixing of one hash."""
+    exact, lanes = [0] * multiset.EXACT, [0] * multiset.LANES
+    for paragraph in filter(None, text.split("\n")):
+        a, b = multiset._parts(multiset.fingerprint(paragraph))
+        exact = [(x + int(y)) % 2**64 for x, y in zip(exact, a, strict=True)]
+        lanes = [x + int(y) for x, y in zip(lanes, b, strict=True)]
+        shingles = max(len(paragraph.split()) - multiset.SHINGLE + 1, min(len(paragraph.split()), 1))
+        assert all(abs(int(y)) <= shingles and (int(y) - shingles) % 2 == 0 for y in b)
+    return b"".join(x.to_bytes(8, "little") for x in exact) + b"".join((x % 2**16).to_bytes(2, "little") for x in lanes)
+
+
+def test_sums_of_paragraphs_in_plain_integers():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        text = "\n".join(" ".join(rng.choice(WORDS, rng.integers(0, 12))) for _ in range(rng.integers(1, 60)))
+        assert multiset.fingerprint(text) == plain_fingerprint(text)
