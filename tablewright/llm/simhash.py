@@ -21,6 +21,8 @@ _U64 = np.uint64
 FANOUT = 8
 #: Queries that descend the index together.
 TOGETHER = 4096
+#: Nodes that are opened together, a bound of memory: each has up to FANOUT nodes below.
+WALKED = 16_384
 
 
 def simhashes(part: Slice, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -93,41 +95,95 @@ class GrayIndex:
         self.root = np.repeat(np.arange(len(groups)), np.diff(np.r_[groups, len(fps)]))
 
     def links(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places at distance ``most`` or less whose closure links all such pairs."""
-        for low in range(0, len(self.fps), TOGETHER):
-            query = np.arange(low, min(low + TOGETHER, len(self.fps)))
-            yield from self._search(query, most)
-
-    def _search(self, query: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, seen, spent = self.root[query], np.zeros(len(query), _U64), np.zeros(len(query), np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            start, end, leaf_end, value, mask = self.levels[depth]
-            spent = spent + np.bitwise_count((self.fps[query] ^ value[node]) & mask[node] & ~seen)
-            near = (spent <= most) & (leaf_end[node] > query + 1)
-            query, node, spent = query[near], node[near], spent[near]
-            whole = spent + np.bitwise_count(~mask[node]) <= most  # every fingerprint below is a match
-            yield query[whole], leaf_end[node[whole]] - 1
-            query, node, spent = query[~whole], node[~whole], spent[~whole]
-            fan = end[node] - start[node]
-            seen = np.repeat(mask[node], fan)
-            query, spent, node = np.repeat(query, fan), np.repeat(spent, fan), np.repeat(start[node], fan) + within(fan)
-        spent = spent + np.bitwise_count((self.fps[query] ^ self.fps[node]) & ~seen)
-        near = (spent <= most) & (node > query)
-        yield query[near], node[near]
+        """Pairs of places at distance ``most`` or less whose closure links all such pairs.
+
+        At most ``WALKED`` nodes are opened at a time, the deepest first, so memory doesn't grow with the
+        number of pairs. Nodes whose places are all known to be linked to a query aren't entered: what is
+        known is brought up to date whenever about as much was walked as that takes. ``label`` ends as the
+        smallest place that each place is linked to.
+        """
+        n = len(self.fps)
+        self.label = np.arange(n)
+        self._note_known()
+        walked = 0
+        for low in range(0, n, TOGETHER):
+            query = np.arange(low, min(low + TOGETHER, n))
+            depth, node = len(self.levels) - 1, self.root[query]
+            seen, spent = np.zeros(len(query), _U64), np.zeros(len(query), np.int64)
+            waiting: list[tuple] = []
+            while True:
+                walked += len(query)
+                query, node, spent, a, b = self._near(depth, query, node, seen, spent, most)
+                if len(a):
+                    _join(self.label, a, b)
+                    yield a, b
+                if walked > 4 * n:
+                    self._note_known()
+                    walked = 0
+                if len(query):
+                    waiting.append((depth, query, node, spent))
+                if not waiting:
+                    break
+                depth, query, node, spent = waiting.pop()
+                if len(query) > WALKED:
+                    waiting.append((depth, query[WALKED:], node[WALKED:], spent[WALKED:]))
+                    query, node, spent = query[:WALKED], node[:WALKED], spent[:WALKED]
+                fresh = self.known[depth][node] != self.known[-1][query]
+                query, node, spent = query[fresh], node[fresh], spent[fresh]
+                start, end, _, _, mask = self.levels[depth]
+                fan = end[node] - start[node]
+                seen = np.repeat(mask[node], fan)
+                query, spent, node = np.repeat(query, fan), np.repeat(spent, fan), np.repeat(start[node], fan) + within(fan)
+                depth -= 1
+        _settle(self.label)
+
+    def _near(self, depth: int, query: np.ndarray, node: np.ndarray, seen: np.ndarray, spent: np.ndarray, most: int) -> tuple:
+        """Nodes to enter (query, node, spent) and the links found on the way."""
+        if depth < 0:
+            spent = spent + np.bitwise_count((self.fps[query] ^ self.fps[node]) & ~seen)
+            near = (spent <= most) & (node > query)
+            return query[:0], node[:0], spent[:0], query[near], node[near]
+        _, _, leaf_end, value, mask = self.levels[depth]
+        spent = spent + np.bitwise_count((self.fps[query] ^ value[node]) & mask[node] & ~seen)
+        near = (spent <= most) & (leaf_end[node] > query + 1) & (self.known[depth][node] != self.known[-1][query])
+        query, node, spent = query[near], node[near], spent[near]
+        whole = spent + np.bitwise_count(~mask[node]) <= most  # every fingerprint below is a match
+        enter = ~whole
+        return query[enter], node[enter], spent[enter], query[whole], leaf_end[node[whole]] - 1
+
+    def _note_known(self) -> None:
+        """For each level the label that all places of a node have, else -1; last, the labels themselves."""
+        _settle(self.label)
+        low = high = self.label.copy()
+        places, self.known = low, []
+        for start, *_ in self.levels:
+            low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
+            self.known.append(np.where(low == high, low, -1))
+        self.known.append(places)
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give linked places one label, the smallest of their trees, in place."""
+    """Hang the trees of linked places together, larger roots below smaller ones, in place."""
     while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        both = np.concatenate([a, b])
         while True:
-            up = label[label]
-            if (up == label).all():
+            up = label[label[both]]
+            if (up == label[both]).all():
                 break
-            label[:] = up
+            label[both] = up
+        a, b = up[: len(a)], up[len(a) :]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+
+
+def _settle(label: np.ndarray) -> None:
+    """Give every place the root of its tree."""
+    while True:
+        up = label[label]
+        if (up == label).all():
+            break
+        label[:] = up
 
 
 def block_masks(differences: int = 3, blocks: int = 5) -> list[int]:
@@ -186,9 +242,10 @@ def _forest(rows: np.ndarray, differences: int) -> Iterator[pa.RecordBatch]:
     fps = rows[2, shared].view(np.uint64)
     if not len(fps):
         return
-    label = np.arange(len(fps))
-    for a, b in GrayIndex(fps, np.flatnonzero(change[:-1][shared])).links(differences):
-        _join(label, a, b)
+    index = GrayIndex(fps, np.flatnonzero(change[:-1][shared]))
+    for _ in index.links(differences):
+        pass
+    label = index.label
     linked = np.flatnonzero(label != np.arange(len(fps)))
     if len(linked):
         ends = [pa.array(fps[x].view(np.int64)) for x in (linked, label[linked])]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +115,42 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 8), (3, 2), (20, 30), (30, 40), (40, 50), (50, 60), (60, 20)]
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), *[(k, 20) for k in (20, 30, 40, 50, 60)]]
+
+
+def near_copies(n, seed=5):
+    rng = np.random.default_rng(seed)
+    base, bits = np.uint64(0x9E3779B97F4A7C15), set()
+    while len(bits) < n:
+        bits.add(tuple(sorted(rng.choice(52, rng.integers(1, 4), replace=False).tolist())))
+    fps = np.array([base ^ np.uint64(sum(1 << b for b in x)) for x in bits], np.uint64)
+    return fps[np.argsort(simhash.gray_rank(fps))]
+
+
+def test_many_near_copies_take_bounded_memory_and_few_links():
+    fps = near_copies(8_000)
+    index = simhash.GrayIndex(fps, np.array([0]))
+    tracemalloc.start()
+    found = sum(len(a) for a, _ in index.links(3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = sum(int((np.bitwise_count(fps ^ x) <= 3).sum()) - 1 for x in fps) // 2
+    assert found < near / 5
+    assert peak < 64 * 2**20
+    assert set(index.label.tolist()) == {0}
+
+
+def labels_of(fps):
+    index = simhash.GrayIndex(fps, np.array([0]))
+    for _ in index.links(3):
+        pass
+    return index.label.tolist()
+
+
+@pytest.mark.parametrize("walked", [1, 7, 16_384])
+def test_labels_do_not_depend_on_how_much_is_opened_together(monkeypatch, walked):
+    monkeypatch.setattr(simhash, "WALKED", walked)
+    rng = np.random.default_rng(walked)
+    other = rng.integers(0, 2**63, 60).astype(np.uint64)
+    fps = np.unique(np.concatenate([near_copies(200), other, other ^ np.uint64(5), other ^ np.uint64(0x1F)]))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    assert labels_of(fps) == brute_roots([int(x) for x in fps], range(len(fps)))
