@@ -56,6 +56,21 @@ def test_shards(spark):
     assert all(abs(sum(r["size"] for r in own) - total / 8) <= largest for own in by_shard.values())
 
 
+@pytest.mark.parametrize("n_shards", [1, 8, 50])
+def test_shards_like_brute_force(spark, n_shards):
+    rows = [*documents(120, seed=3), (60, "é" * 1_000_000, "a", 1, 0)]  # a very long text under a repeated id
+    got = sharding.byte_shards(spark.createDataFrame(rows, DOCS).repartition(5), n_shards).collect()
+    facts = [(i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t, *_ in rows]
+    facts.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    total, before, slots, want = sum(r[2] for r in facts), 0, Counter(), []
+    for i, crc, size in facts:
+        shard = min(n_shards - 1, n_shards * (2 * before + size) // (2 * total))
+        want.append((i, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        before += size
+    assert sorted(map(tuple, got), key=lambda r: (r[3], r[4])) == want
+
+
 def test_shards_of_few_rows(spark):
     df = spark.createDataFrame([(1, "x" * 100, "", 0, 0), (2, "", "", 0, 0)], DOCS)
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.byte_shards(df, 8).collect()} == {1: (3, 0), 2: (7, 0)}
