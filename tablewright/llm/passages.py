@@ -17,16 +17,16 @@ from tablewright.llm.shared import LAST_ID, pick
 from tablewright.llm.texts import Slice, Words, mixed, slices, span_hashes, windows, word_hashes, words
 
 _U64 = np.uint64
-#: Rows of the sketch, and the most bits of a cell number: two or three bitmaps of 64 MiB are the most
-#: that is broadcast.
+#: Rows of the sketch, and the most bits of a cell number: two or three bitmaps of 32 MiB are the most
+#: that is broadcast, and every worker holds them.
 DEPTH = 2
-MOST_BITS = 29
+MOST_BITS = 28
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 22
 #: Windows a task gathers before it hands out its part of the sketch.
-FLUSH = 3_000_000
-#: Hashes turned to cells at once, so that the steps between need little memory.
-_STEP = 1 << 16
+FLUSH = 1_500_000
+#: Bytes of text hashed at once; the arrays on the way take some fifty times as much.
+_SLICE = 1 << 18
 #: Groups of windows up to this estimate are put into one task whole; larger ones are aggregated first.
 HOT = 4096
 
@@ -47,14 +47,14 @@ class Sketch:
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
-        self._unpack()
-        self.blocks = {}
+        self._unpack(keep=False)
 
-    def _unpack(self) -> list[np.ndarray]:
+    def _unpack(self, keep: bool = True) -> list[np.ndarray]:
         if self._maps is None:
             step = (1 << self.block_bits) // 8
             self._maps = [np.zeros((1 << self.bits) // 8, np.uint8) for _ in range(DEPTH + self.any_hot)]
-            for (row, block), (repeated, often) in self.blocks.items():
+            for row, block in list(self.blocks):
+                repeated, often = self.blocks[row, block] if keep else self.blocks.pop((row, block))
                 span = slice(block * step, (block + 1) * step)
                 self._maps[row][span] = np.frombuffer(zlib.decompress(repeated), np.uint8)
                 if often is not None:
@@ -102,12 +102,45 @@ def _window_hashes(part: Slice, found: Words, width: int) -> tuple[np.ndarray, n
     return word_hashes(part.data, found), at, text
 
 
+def _sparse_cells(batches: Iterator[pa.RecordBatch], width: int, bits: int, block_bits: int) -> Iterator[pa.RecordBatch]:
+    """The cells of all windows of texts, for every row and block of the sketch as steps between sorted cells."""
+    held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for row in range(DEPTH):
+            cells = np.concatenate(held[row])
+            held[row].clear()
+            cells.sort()
+            block = (cells >> np.uint32(block_bits)).astype(np.int32)
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            inside = np.uint32((1 << block_bits) - 1)
+            parts = [_deltas((c & inside).astype(np.int64)) for c in np.split(cells, first[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row] * len(parts), pa.int32()), pa.array(block[first], pa.int32()), pa.array(parts, pa.binary())],
+                names=["row", "block", "cells"],
+            )
+
+    for batch in batches:
+        for part in slices(batch["text"], _SLICE):
+            values, at, text = _window_hashes(part, words(part), width)
+            hashes = span_hashes(values, at, at + width)
+            order = np.argsort(hashes, kind="stable")  # windows of a text stay next to each other
+            h, t = hashes[order], text[order]
+            once = h[np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]] if len(h) else h
+            for row in range(DEPTH):
+                held[row].append(_cells(once, row, bits).astype(np.uint32))
+            if sum(map(len, held[0])) >= FLUSH:
+                yield from flush()
+    if sum(map(len, held[0])):
+        yield from flush()
+
+
 def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
     """Count-min sketch over the windows of all documents; each counts once per document.
 
     Every task sketches its own documents, sparsely: the sorted cells of its windows. Blocks of cells are
     merged by adding, one block at a time, so neither the tasks' memory nor the driver's depends on the
-    number of tasks. There are four cells to a window or more, up to 2**29 in a row; beyond 130 million
+    number of tasks. There are four cells to a window or more, up to 2**28 in a row; beyond 65 million
     windows the bitmaps stay at that size, the estimate is looser, and more windows reach the exact groups.
     """
     texts = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -115,36 +148,7 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
     block_bits = min(BLOCK_BITS, bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate(held)
-            held.clear()
-            for row in range(DEPTH):
-                cells = np.empty(len(hashes), np.uint32)
-                for low in range(0, len(hashes), _STEP):
-                    cells[low : low + _STEP] = _cells(hashes[low : low + _STEP], row, bits)
-                cells.sort()
-                block = (cells >> np.uint32(block_bits)).astype(np.int32)
-                first = np.flatnonzero(np.diff(block, prepend=-1))
-                inside = np.uint32((1 << block_bits) - 1)
-                parts = [_deltas((c & inside).astype(np.int64)) for c in np.split(cells, first[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(parts), pa.int32()), pa.array(block[first], pa.int32()), pa.array(parts, pa.binary())],
-                    names=["row", "block", "cells"],
-                )
-
-        for batch in batches:
-            for part in slices(batch["text"]):
-                values, at, text = _window_hashes(part, words(part), width)
-                hashes = span_hashes(values, at, at + width)
-                order = np.argsort(hashes, kind="stable")  # windows of a text stay next to each other
-                h, t = hashes[order], text[order]
-                held.append(h[np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]] if len(h) else h)
-                if sum(map(len, held)) >= FLUSH:
-                    yield from flush()
-        if sum(map(len, held)):
-            yield from flush()
+        return _sparse_cells(batches, width, bits, block_bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, counts = None, np.zeros(0, np.uint32)
@@ -177,35 +181,38 @@ def sketch_windows(docs: DataFrame, width: int, hot: int = HOT) -> Sketch:
     return Sketch(bits, block_bits, blocks)
 
 
+def _candidate_rows(batches: Iterator[pa.RecordBatch], known: Sketch, width: int, hot: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, tags = batch["id"].to_numpy(), batch["tag"]
+        for part in slices(batch["text"], _SLICE):
+            found = words(part)
+            values, at, text = _window_hashes(part, found, width)
+            hashes = span_hashes(values, at, at + width)
+            left = known.estimated_repeated(hashes)
+            left = left[known.estimated_hot(hashes[left]) == hot]
+            if not len(left):
+                continue
+            order = left[np.lexsort((text[left], hashes[left]))]
+            h, t = hashes[order], text[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
+            begin = (at[order] - found.first[t]).astype(np.int32)
+            others = np.diff(np.r_[first, len(order)]) - 1
+            rest = np.delete(begin, first)
+            offsets = np.r_[0, np.cumsum(others)].astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[others == 0, False]), pa.array(rest))
+            second = span_hashes(mixed(values, 3), at[order[first]], at[order[first]] + width, 1)
+            row = t[first] + part.first
+            out = (h[first].view(np.int64), (second >> _U64(32)).astype(np.uint32).view(np.int32), ids[row])
+            rest = [tags.take(pa.array(row)), pa.array(begin[first]), more]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), *rest], names=["h", "g", "id", "tag", "place", "more"])
+
+
 def _candidates(docs: DataFrame, sketch: Broadcast, width: int, hot: bool) -> DataFrame:
     """Windows estimated repeated (hot or not), one row to a document: 96 bits of hash, document, tag, first
     word; and, if the window comes more than once in its document, the first words of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Sketch = sketch.value
-        for batch in batches:
-            ids, tags = batch["id"].to_numpy(), batch["tag"]
-            for part in slices(batch["text"]):
-                found = words(part)
-                values, at, text = _window_hashes(part, found, width)
-                hashes = span_hashes(values, at, at + width)
-                left = known.estimated_repeated(hashes)
-                left = left[known.estimated_hot(hashes[left]) == hot]
-                if not len(left):
-                    continue
-                order = left[np.lexsort((text[left], hashes[left]))]
-                h, t = hashes[order], text[order]
-                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
-                begin = (at[order] - found.first[t]).astype(np.int32)
-                others = np.diff(np.r_[first, len(order)]) - 1
-                rest = np.delete(begin, first)
-                offsets = np.r_[0, np.cumsum(others)].astype(np.int32)
-                more = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[others == 0, False]), pa.array(rest))
-                second = span_hashes(mixed(values, 3), at[order[first]], at[order[first]] + width, 1)
-                row = t[first] + part.first
-                out = (h[first].view(np.int64), (second >> _U64(32)).astype(np.uint32).view(np.int32), ids[row])
-                rest = [tags.take(pa.array(row)), pa.array(begin[first]), more]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out), *rest], names=["h", "g", "id", "tag", "place", "more"])
+        return _candidate_rows(batches, sketch.value, width, hot)
 
     kind = docs.schema["tag"].dataType.simpleString()
     return docs.mapInArrow(run, f"h long, g int, id long, tag {kind}, place int, more array<int>")
@@ -256,7 +263,7 @@ def _trimmed(docs: DataFrame, width: int, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch["row"].field(column).cast(pa.string())):
+            for part in slices(batch["row"].field(column).cast(pa.string()), _SLICE):
                 found = words(part)
                 raw = part.data.tobytes()
                 kept, removed = [], []

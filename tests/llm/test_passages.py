@@ -123,3 +123,27 @@ def test_sketch_never_underestimates(spark):
 def test_deltas():
     for cells in ([0], [0, 0, 1], [254, 255, 256, 5000, 5000], [255], [510, 765]):
         assert passages._from_deltas(passages._deltas(np.array(cells))).tolist() == cells
+
+
+def test_a_worker_needs_little_memory_beside_its_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 700))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([0] * 3000), pa.array(texts)], names=["id", "tag", "text"])
+    sketch = passages.Sketch(passages.MOST_BITS, passages.BLOCK_BITS, {})
+    assert sum(m.nbytes for m in sketch._unpack()) <= 64 << 20
+    for m in sketch._unpack():
+        m[:] = 255
+
+    def peak(found):
+        tracemalloc.start()
+        assert sum(1 for _ in found)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(passages._candidate_rows(iter([batch]), sketch, 50, False)) < 24 << 20
+    assert peak(passages._sparse_cells(iter([batch] * 2), 50, passages.MOST_BITS, passages.BLOCK_BITS)) < 60 << 20
