@@ -394,6 +394,42 @@ def test_the_narrowest_type_of_a_column(spark, tmp_path, fields, kind):
     assert sum(r["v"] is None for r in got) == fields.count("")
 
 
+def test_only_texts_like_a_timestamp_meet_its_parser(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablewright.sources.files import narrowest_types
+
+    rows = [("1", "2.5", "2024-01-02", "true", "n/a", "2024-01-02T03:04:05Z"), ("2", "x", "2024-01-03", None, "10:00", "--:")]
+    text = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string")
+    monkeypatch.setattr(F, "try_to_timestamp", lambda text, form: F.raise_error(F.concat(F.lit("parsed "), text)).cast("timestamp"))
+    assert [kind for _, kind in describe(narrowest_types(text))] == ["BIGINT", "VARCHAR", "DATE", "BOOLEAN", "VARCHAR", "VARCHAR"]
+
+
+@pytest.mark.parametrize(
+    ("text", "moment"),
+    [
+        ("+12345-01-02 03:04", "+12345-01-02 03:04:00"),
+        ("-2024-01-02 03:04", "-2024-01-02 03:04:00"),
+        ("2024-01-02 T03:04", "2024-01-02 03:04:00"),
+        ("2024-01-02t03:04:05.1", "2024-01-02 03:04:05.1"),
+        ("2024-01-0203:04", "2024-01-02 03:04:00"),
+        ("2024-01-02 03:04.5", "2024-01-02 03:04:00.5"),
+        ("2024-02-30 03:04", None),
+        ("2024-01-02 03:04:05Z", None),
+        ("2024-01-02 03:04\n", None),
+    ],
+)
+def test_spellings_of_a_timestamp(spark, text, moment):
+    from pyspark.sql import functions as F
+
+    from tablewright.sources.files import as_types, narrowest_types
+
+    df = spark.createDataFrame([(text,)], "v string")
+    kinds = narrowest_types(df)
+    assert describe(kinds) == [("v", "TIMESTAMP" if moment else "VARCHAR")]
+    assert as_types(df, kinds).select(F.col("v").cast("string")).first()[0] == (moment or text)
+
+
 def test_many_tables_match_by_normal_form(spark):
     stems = ["sales_1", "sales_22", "sales", "a1b2", "ab1", "x", None]
     listing = spark.createDataFrame([(s, i) for i, s in enumerate(stems)], "stem string, path int")
