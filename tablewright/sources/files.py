@@ -93,32 +93,27 @@ def _readings(text: Column) -> list[tuple[T.DataType, Column]]:
         (T.LongType(), whole(_LONG).try_cast("long")),
         (huge, whole(_LONGEST).try_cast(huge)),
         (T.DoubleType(), number.try_cast("double")),
-        (T.DateType(), F.when(text.rlike(_DAY), text).try_cast("date")),
-        (T.TimestampNTZType(), F.when(text.rlike(_MOMENT), F.try_to_timestamp(text, F.lit(_CSV["timestampFormat"]))).cast("timestamp_ntz")),
+        (T.DateType(), F.when(text.contains("-") & text.rlike(_DAY), text).try_cast("date")),
+        (T.TimestampNTZType(), F.when(text.contains(":") & text.rlike(_MOMENT), F.try_to_timestamp(text, F.lit(_CSV["timestampFormat"]))).cast("timestamp_ntz")),
         (T.BooleanType(), F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")),
     ]
 
 
-def _fitting(text: Column) -> Column:
-    """A number whose bit k is set if the k-th reading holds the text; NULL without a text."""
-    values = [value for _, value in _readings(text)]
-    bits = [F.when(value.isNotNull(), 1 << k).otherwise(0) for k, value in enumerate(values)]
-    long = 0b111  # a BIGINT is a HUGEINT and a DOUBLE as well, and nothing else
-    return F.when(text.isNotNull(), F.when(values[0].isNotNull(), long).otherwise(reduce(Column.bitwiseOR, bits)))
-
-
 def narrowest_types(text: DataFrame) -> T.StructType:
     """The narrowest type that holds every value of each text column; text for a column without values.
 
-    One aggregate finds, for every column, the types that hold all its values, one number a column. They are
-    intersected on the map side, so a task sends one row, whatever its share of the input; types of mixed
-    columns follow from the same numbers, and how the rows are dealt to tasks or files doesn't matter.
+    One aggregate counts, for every column, the values that each type can hold. Counts add up on the map
+    side, so a task sends one row, whatever its share of the input; types of mixed columns follow from the
+    same counts, and how the rows are dealt to tasks or files doesn't matter.
     """
-    fits = [F.bit_and(_fitting(col(name))).alias(f"n{i}") for i, name in enumerate(text.columns)]
-    row = text.agg(*fits).first() if fits else {}
+    counts = []
+    for i, name in enumerate(text.columns):
+        counts.append(F.count(col(name)).alias(f"n{i}"))
+        counts += [F.count(value).alias(f"n{i}_{k}") for k, (_, value) in enumerate(_readings(col(name)))]
+    row = text.agg(*counts).first() if counts else {}
     fields = []
     for i, name in enumerate(text.columns):
-        fitting = [kind for k, (kind, _) in enumerate(_readings(col(name))) if (row[f"n{i}"] or 0) >> k & 1]
+        fitting = [kind for k, (kind, _) in enumerate(_readings(col(name))) if 0 < row[f"n{i}"] == row[f"n{i}_{k}"]]
         fields.append(T.StructField(name, fitting[0] if fitting else T.StringType()))
     return T.StructType(fields)
 
